@@ -56,7 +56,7 @@ def ts(value: datetime | str | Column) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
 
-def before(now, *, days: int = 0, hours: int = 0) -> Column:
+def before(now, *, days: float = 0, hours: float = 0) -> Column:
     """``now`` minus a fixed span."""
     seconds = days * 86400 + hours * 3600
     return ts(now) - F.make_dt_interval(secs=F.lit(float(seconds)))

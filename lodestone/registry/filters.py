@@ -12,6 +12,7 @@ from lodestone.registry.base import (
     docs,
     gappy,
     register,
+    sql_collapse,
     sql_strip,
     table,
 )
@@ -216,8 +217,8 @@ def decision_status_filter(spark, sf):
 
 @register(
     "parse_search_syntax",
-    """
-    SELECT query_id, text, CASE WHEN query_id % 3 = 1 THEN 'src' || (query_id % 20) END AS project,
+    f"""
+    SELECT query_id, {sql_collapse("text")} AS text, CASE WHEN query_id % 3 = 1 THEN 'src' || (query_id % 20) END AS project,
       CASE WHEN query_id % 3 = 2 THEN 'zzyzx' || query_id ELSE '' END AS excluded FROM asked""",
     "asked",
 )
