@@ -110,25 +110,31 @@ def lines(text: Column) -> Column:
     return F.split(text, LINE_BREAK)
 
 
-def front_matter(text: Column) -> Column:
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value`` evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def front_matter(body: Column) -> Column:
     """Lines between a leading ``---`` and the next one; empty when there is no such block."""
-    body = lines(text)
-    rest = F.slice(body, F.lit(2), F.size(body))
-    end = F.array_position(F.transform(rest, strip), F.lit("---"))
-    empty = F.array().cast("array<string>")
-    return F.when(
-        (strip(F.element_at(body, 1)) == "---") & (end > 0),
-        F.slice(rest, F.lit(1), (end - 1).cast("int")),
-    ).otherwise(empty)
+
+    def block(rest: Column) -> Column:
+        end = F.array_position(F.transform(rest, strip), F.lit("---"))
+        opened = (strip(F.element_at(body, 1)) == "---") & (end > 0)
+        return F.when(opened, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    return let(F.slice(body, F.lit(2), F.size(body)), block)
 
 
 def front_matter_value(block: Column, key: str) -> Column:
-    """Value of a flat ``key: value`` line, the last one winning; NULL when absent or null."""
+    """Value of a flat ``key: value`` line, the last one winning; NULL when absent, null or blank."""
     found = F.filter(block, lambda line: line.rlike(rf"^{key}\s*:(\s|$)"))
     raw = strip(F.regexp_replace(F.get(found, F.size(found) - 1), rf"^{key}\s*:", ""))
     raw = strip(F.regexp_replace(raw, r"(^|\s)#.*$", ""))
     value = F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")
-    return F.when(~raw.isin("", "~", "null", "Null", "NULL"), value)
+    return F.when(~raw.isin("", "~", "null", "Null", "NULL") & (strip(value) != ""), value)
 
 
 def _iso(found: Column) -> Column:
@@ -142,42 +148,52 @@ def _iso(found: Column) -> Column:
     return clock - F.make_dt_interval(secs=F.coalesce(sign * minutes, F.lit(0)).cast("double"))
 
 
-def _named(text: Column, pattern: str, month: int, day: int) -> Column:
-    name = F.lower(F.regexp_extract(text, pattern, month))
+def _named(found: Column, pattern: str, month: int, day: int) -> Column:
+    """Date with a month name. "sept" is found but is no month name, so it gives no date."""
+    name = F.lower(F.regexp_extract(found, pattern, month))
     number = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.substring(name, 1, 3)) + 2) / 3
     iso = F.format_string(
         "%s-%02d-%02d",
-        F.regexp_extract(text, pattern, 3),
+        F.regexp_extract(found, pattern, 3),
         number.cast("int"),
-        F.regexp_extract(text, pattern, day).try_cast("int"),
+        F.regexp_extract(found, pattern, day).try_cast("int"),
     )
-    # "sept" is found but is no month name, so it gives no date.
-    return F.when((name != "") & (name != "sept"), iso.try_cast("timestamp_ntz"))
+    return F.when(name != "sept", iso.try_cast("timestamp_ntz"))
 
 
 def first_date(text: Column) -> Column:
     """First date by notation: ISO, slashes, dots, ``Month d, yyyy``, ``d Month yyyy``."""
+
+    def numeric(separator: str):
+        return lambda found: F.replace(found, F.lit(separator), F.lit("-")).try_cast("timestamp_ntz")
+
+    def attempt(pattern: str, parse) -> Column:
+        return let(F.regexp_extract(text, pattern, 0), lambda found: F.when(found != "", parse(found)))
+
     return F.coalesce(
-        _iso(F.regexp_extract(text, ISO_RE, 0)),
-        F.replace(F.regexp_extract(text, SLASH_RE, 0), F.lit("/"), F.lit("-")).try_cast(
-            "timestamp_ntz"
-        ),
-        F.replace(F.regexp_extract(text, DOT_RE, 0), F.lit("."), F.lit("-")).try_cast(
-            "timestamp_ntz"
-        ),
-        _named(text, MONTH_DAY_RE, 1, 2),
-        _named(text, DAY_MONTH_RE, 2, 1),
+        attempt(ISO_RE, _iso),
+        attempt(SLASH_RE, numeric("/")),
+        attempt(DOT_RE, numeric(".")),
+        attempt(MONTH_DAY_RE, lambda found: _named(found, MONTH_DAY_RE, 1, 2)),
+        attempt(DAY_MONTH_RE, lambda found: _named(found, DAY_MONTH_RE, 2, 1)),
     )
 
 
 def extract_date(text: Column) -> Column:
     """Date of a document: front matter first, then its first 40 lines, dating lines preferred."""
-    block = front_matter(text)
-    head = F.slice(lines(text), 1, HEAD_LINES)
-    marked = F.filter(head, lambda line: F.lower(line).rlike("|".join(DATING_WORDS)))
-    dated = F.filter(F.transform(marked, first_date), lambda d: d.isNotNull())
-    return F.coalesce(
-        *[first_date(front_matter_value(block, key)) for key in FRONT_MATTER_KEYS],
-        F.get(dated, F.lit(0)),
-        first_date(F.array_join(head, "\n")),
+
+    def candidates(body: Column) -> Column:
+        head = F.slice(body, 1, HEAD_LINES)
+        marked = F.filter(head, lambda line: F.lower(line).rlike("|".join(DATING_WORDS)))
+        values = let(
+            front_matter(body),
+            lambda block: F.array(*[front_matter_value(block, key) for key in FRONT_MATTER_KEYS]),
+        )
+        return F.concat(values, marked, F.array(F.array_join(head, "\n")))
+
+    # The fold stops looking once a date is found.
+    return F.aggregate(
+        let(lines(text), candidates),
+        F.lit(None).cast("timestamp_ntz"),
+        lambda found, candidate: F.coalesce(found, first_date(candidate)),
     )

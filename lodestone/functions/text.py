@@ -185,7 +185,7 @@ def highlight_pattern(terms: Column) -> Column:
     """Case-insensitive whole-word alternation of the terms; NULL when there is none."""
     quoted = F.transform(terms, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1"))
     return F.when(
-        F.size(terms) > 0, F.concat(F.lit(r"(?iu)\b("), F.array_join(quoted, "|"), F.lit(r")\b"))
+        F.size(terms) > 0, F.concat(F.lit(r"(?iU)\b("), F.array_join(quoted, "|"), F.lit(r")\b"))
     )
 
 
