@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import strip
+from lodestone.functions.text import let, strip
 
 # Age limits in days and the recency floor.
 HIGH_MAX_DAYS = 30
@@ -110,11 +110,6 @@ def lines(text: Column) -> Column:
     return F.split(text, LINE_BREAK)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` applied to ``value`` evaluated once, however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def front_matter(body: Column) -> Column:
     """Lines between a leading ``---`` and the next one; empty when there is no such block."""
 

@@ -39,6 +39,11 @@ DECISION_STATUSES = ["active", "superseded", "deprecated"]
 HIGHLIGHT_STOP_WORDS = ["the", "and", "for", "with", "how", "what", "why"]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value`` evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
 
@@ -97,27 +102,22 @@ def is_boilerplate(text: Column) -> Column:
 
 
 def has_minimal_content(text: Column) -> Column:
-    found = words(text)
-    distinct = F.array_distinct(
-        F.transform(F.filter(found, lambda w: F.length(w) > 1), lambda w: F.lower(w))
-    )
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    def enough_words(found: Column) -> Column:
+        distinct = F.array_distinct(
+            F.transform(F.filter(found, lambda w: F.length(w) > 1), lambda w: F.lower(w))
+        )
+        return (F.size(found) >= MIN_WORDS) & (F.size(distinct) >= MIN_DISTINCT_WORDS)
+
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     visible = F.length(F.replace(text, F.lit(" "), F.lit("")))
-    return (
-        (F.size(found) >= MIN_WORDS)
-        & (F.size(distinct) >= MIN_DISTINCT_WORDS)
-        & ((visible == 0) | (letters / F.nullif(visible, F.lit(0)) >= MIN_LETTER_SHARE))
-    )
+    return let(words(text), enough_words) & (letters >= visible * MIN_LETTER_SHARE)
 
 
 def validate_chunk(text: Column, token_count: Column) -> Column:
-    body = strip(text)
-    return (
-        (body != "")
-        & (token_count >= MIN_TOKENS)
-        & ~is_boilerplate(body)
-        & has_minimal_content(body)
-    )
+    def good(body: Column) -> Column:
+        return (body != "") & ~is_boilerplate(body) & has_minimal_content(body)
+
+    return (token_count >= MIN_TOKENS) & let(strip(text), good)
 
 
 def parse_query(raw: Column) -> Column:

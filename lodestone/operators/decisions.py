@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from lodestone.functions import dates
 from lodestone.functions.text import strip
-from lodestone.operators.matching import spread
 from lodestone.operators.ranking import first_per
 from lodestone.schemas import DECISION_MATCH
 
@@ -134,7 +133,7 @@ def with_matches(
             out = pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "matches"])
             yield out.filter(found.is_valid())
 
-    return spread(likely).mapInArrow(scan, schema)
+    return likely.mapInArrow(scan, schema)
 
 
 def decision_matches(chunks: DataFrame, **options) -> DataFrame:

@@ -30,12 +30,6 @@ DECIMALS = 9  # scores are compared after rounding, so equal texts tie and the i
 RESULT = "query_id long, chunk_id long, score double"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input that arrives in few splits one partition per core; leave others alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def slices(queries: DataFrame) -> Iterator[DataFrame]:
     if small_enough(queries, QUERY_SLICE):
         yield queries
@@ -163,7 +157,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _scan(corpus: DataFrame, kernel: Callable, k: int, order: Column, parts: list[DataFrame]):
-    found = spread(corpus).mapInArrow(kernel, RESULT)
+    found = corpus.mapInArrow(kernel, RESULT)
     parts.append(top_k(found, ["query_id"], [order, F.col("chunk_id").asc()], k))
 
 
@@ -250,7 +244,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: floa
     for part in slices(queries):
         asked = part.select("query_id", F.explode_outer(tokens(F.col("text"))).alias("term"))
         stats = term_statistics(
-            spread(docs.select("chunk_id", "tokens")), asked.select("term").distinct()
+            docs.select("chunk_id", "tokens"), asked.select("term").distinct()
         ).toArrow()
         known = dict(zip(stats.column("term").to_pylist(), stats.column("df").to_pylist(), strict=True))
         n = known.pop("", 0)

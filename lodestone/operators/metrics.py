@@ -51,12 +51,12 @@ def project_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def _document_counts(documents: DataFrame) -> DataFrame:
+    return documents.groupBy("project").agg(F.count("*").alias("document_count"))
+
+
 def project_document_counts(documents: DataFrame) -> DataFrame:
-    return (
-        documents.groupBy("project")
-        .agg(F.count("*").alias("document_count"))
-        .orderBy("document_count", "project")
-    )
+    return _document_counts(documents).orderBy("document_count", "project")
 
 
 def within(df: DataFrame, column: str, now, hours: int | None) -> DataFrame:
@@ -71,6 +71,10 @@ def search_hit_rate(
     log: DataFrame, *, now, window_hours: int = SEARCH_WINDOW_HOURS, min_count: int = 1
 ) -> DataFrame:
     """project, total, not_found, hit_rate over the window; the blank project is 'all'."""
+    return _hit_rates(log, now, window_hours, min_count).orderBy(F.desc("total"), "project")
+
+
+def _hit_rates(log: DataFrame, now, window_hours: int, min_count: int) -> DataFrame:
     grouped = within(log, "searched_at", now, window_hours).groupBy(label("project", "all"))
     return (
         grouped.agg(
@@ -78,7 +82,6 @@ def search_hit_rate(
         )
         .where(F.col("total") >= min_count)
         .withColumn("hit_rate", (F.col("total") - F.col("not_found")) / F.col("total"))
-        .orderBy(F.desc("total"), "project")
     )
 
 
@@ -210,7 +213,7 @@ def list_documents_page(
 
 
 def low_volume_projects(documents: DataFrame, *, threshold: int = LOW_VOLUME) -> DataFrame:
-    counts = project_document_counts(documents).where(F.col("document_count") < threshold)
+    counts = _document_counts(documents).where(F.col("document_count") < threshold)
     return counts.withColumn("gap", F.greatest(F.lit(0), F.lit(threshold) - F.col("document_count")))
 
 
@@ -222,5 +225,5 @@ def low_hit_rate_projects(
     window_hours: int = SEARCH_WINDOW_HOURS,
     min_count: int = MIN_SEARCHES,
 ) -> DataFrame:
-    rates = search_hit_rate(log, now=now, window_hours=window_hours, min_count=min_count)
+    rates = _hit_rates(log, now, window_hours, min_count)
     return rates.where(F.col("hit_rate") < threshold)

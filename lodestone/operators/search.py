@@ -100,19 +100,29 @@ def bm25_candidates(candidates: DataFrame, *, k1: float = 1.2, b: float = 0.75)
     rows = rows.withColumn("_len", F.size("_words")).withColumn(
         "_tf", _term_counts(F.col("_ask"), F.col("_words"))
     )
-    totals = rows.groupBy("query_id").agg(
-        F.count("*").alias("_n"), (F.sum("_len") / F.count("*")).alias("_mean")
+    # Position 0 carries the length, the others the counts, so one scan gives all statistics. The
+    # outer form keeps Catalyst from copying the whole array expression into a size filter.
+    marks = F.concat(F.array("_len"), F.col("_tf"))
+    per_place = (
+        rows.select("query_id", F.posexplode_outer(marks).alias("_pos", "_count"))
+        .groupBy("query_id", "_pos")
+        .agg(
+            F.count("*").alias("_n"),
+            F.sum("_count").alias("_sum"),
+            F.count_if(F.col("_count") > 0).alias("_df"),
+        )
     )
-    # The outer form keeps Catalyst from copying the whole array expression into a size filter.
-    hits = rows.select("query_id", F.posexplode_outer("_tf").alias("_pos", "_count"))
-    per_term = hits.groupBy("query_id", "_pos").agg(F.count_if(F.col("_count") > 0).alias("_df"))
-    # One entry per word of the query text.
-    lists = per_term.groupBy("query_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_df"))), lambda s: s["_df"]).alias("_dfs")
+    # One entry per word of the query text, and the leading one.
+    entries = F.array_sort(F.collect_list(F.struct("_pos", "_n", "_sum", "_df")))
+    lists = per_place.groupBy("query_id").agg(entries.alias("_all")).select(
+        "query_id",
+        F.get("_all", F.lit(0))["_n"].alias("_n"),
+        (F.get("_all", F.lit(0))["_sum"] / F.get("_all", F.lit(0))["_n"]).alias("_mean"),
+        F.transform(F.slice("_all", F.lit(2), F.size("_all")), lambda s: s["_df"]).alias("_dfs"),
     )
     score = _bm25_sum(F.col("_tf"), F.col("_dfs"), F.col("_n"), F.col("_len"), F.col("_mean"), k1, b)
     return (
-        rows.join(totals.join(lists, "query_id", "left"), "query_id")
+        rows.join(lists, "query_id")
         .withColumn("bm25", F.coalesce(score, F.lit(0.0)))
         .drop("_ask", "_words", "_len", "_tf", "_n", "_mean", "_dfs")
     )

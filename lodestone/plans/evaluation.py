@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.matching import slices, spread
+from lodestone.operators.matching import slices
 from lodestone.operators.ranking import running_total
 
 # Reciprocal rank that passes, and the tolerance of comparisons.
@@ -25,7 +25,7 @@ def passages_in_documents(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     import ahocorasick
 
     spark = chunks.sparkSession
-    texts = spread(chunks.select("chunk_id", F.lower("content").alias("content")))
+    texts = chunks.select("chunk_id", F.lower("content").alias("content"))
     found: list[DataFrame] = []
     needles = passages.select(F.col("item_id").alias("query_id"), F.lower("text").alias("text"))
     for part in slices(needles.where("text <> ''")):

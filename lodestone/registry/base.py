@@ -45,6 +45,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """One partition per core for a table kept in fewer files than that, as the test tables are.
+
+    Only for heavy work per row. A table of many files is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def sql_strip(x: str) -> str:
     return f"regexp_replace({x}, '^[{SPACES}]+|[{SPACES}]+$', '', 'g')"
 
@@ -100,10 +109,16 @@ SELECT doc_id AS document_id, doc_id AS chunk_id, text AS content, source AS pro
 FROM documents"""
 
 
-def docs(spark: SparkSession, sf: str) -> DataFrame:
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same view for heavy work on the texts."""
+    return docs(spark, sf, spread(table(spark, sf, "documents")))
+
+
+def docs(spark: SparkSession, sf: str, documents: DataFrame | None = None) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in ("markdown", "pdf", "word", "excel", "recipe")])
     doc_id = F.col("doc_id")
-    return table(spark, sf, "documents").select(
+    source = documents if documents is not None else table(spark, sf, "documents")
+    return source.select(
         doc_id.alias("document_id"),
         doc_id.alias("chunk_id"),
         F.col("text").alias("content"),

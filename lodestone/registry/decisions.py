@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import decisions as ops
-from lodestone.registry.base import NOW, NOW_SQL, VIEWS, decided, docs, register, sql_strip, table
+from lodestone.registry.base import NOW, NOW_SQL, VIEWS, decided, docs, register, spread, sql_strip, table
 
 # Texts with decision phrases, one per order.
 VIEWS["phrased"] = """
@@ -49,7 +49,7 @@ def phrased(spark, sf):
     body = F.when(key % 6 == 0, bodies[0])
     for i in range(1, 6):
         body = body.when(key % 6 == i, bodies[i])
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         key.alias("chunk_id"),
         F.concat(F.lit("Intro line "), key, F.lit(".\n\n"), body).alias("content"),
         F.col("o_orderdate").alias("source_date"),

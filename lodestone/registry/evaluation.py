@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import search
 from lodestone.plans import evaluation as ev
-from lodestone.registry.base import docs, register, table
+from lodestone.registry.base import register, table, texts
 from lodestone.registry.retrieval import BM25_SQL
 
 
@@ -16,12 +16,12 @@ def golden(spark, sf):
 
 
 def expected(spark, sf):
-    found = ev.passages_in_documents(docs(spark, sf), table(spark, sf, "benchmark"))
+    found = ev.passages_in_documents(texts(spark, sf), table(spark, sf, "benchmark"))
     return found.select(F.col("item_id").alias("id"), "chunk_id")
 
 
 def retriever(spark, sf):
-    return lambda asked: search.bm25_corpus(docs(spark, sf), asked, k=10)
+    return lambda asked: search.bm25_corpus(texts(spark, sf), asked, k=10)
 
 
 def retrieved(spark, sf):

@@ -15,6 +15,7 @@ from lodestone.registry.base import (
     sql_collapse,
     sql_strip,
     table,
+    texts,
 )
 from lodestone.functions.text import BOILERPLATE_RE, SPACES
 
@@ -93,7 +94,7 @@ def filter_required_phrases(spark, sf):
     """Which documents contain which benchmark passage, the passage being a required phrase."""
     from lodestone.plans.evaluation import passages_in_documents
 
-    return passages_in_documents(docs(spark, sf), table(spark, sf, "benchmark")).select(
+    return passages_in_documents(texts(spark, sf), table(spark, sf, "benchmark")).select(
         "item_id", F.col("chunk_id").alias("doc_id")
     )
 

@@ -10,7 +10,7 @@ from lodestone.registry.base import (
     ev,
     register,
     searches,
-    shown,
+    spread,
     sql_collapse,
     sql_confidence,
     sql_count_priority,
@@ -26,7 +26,7 @@ from lodestone.registry.base import (
     f"SELECT doc_id, array_to_string({sql_tokens('text')}, ' ') AS tokens FROM documents",
 )
 def tokenize(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens")
     )
 
@@ -231,7 +231,7 @@ def extract_date(spark, sf):
         F.concat(F.lit("as of "), fmt("yyyy.MM.dd")),
     ]
     body = F.get(F.array(*texts), (F.col("o_orderkey") % 8).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", dates.extract_date(body).alias("found"))
+    return spread(table(spark, sf, "orders")).select("o_orderkey", dates.extract_date(body).alias("found"))
 
 
 @register(

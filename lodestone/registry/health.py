@@ -22,6 +22,7 @@ from lodestone.registry.base import (
     sql_count_priority,
     sql_ratio_priority,
     sql_tokens,
+    texts,
 )
 from lodestone.registry.metrics import HIT_RATE, REPEATED
 from lodestone.registry.preparation import LINT_SQL, notes
@@ -211,7 +212,7 @@ def spiced(spark, sf):
         *[F.lit(w) for w in ("open loop", "recent context", "decisions today", "weekly notes", "trip checklist", "missing metadata", "travel")]
     )
     extra = F.get(words, (F.col("document_id") % 7).cast("int"))
-    return docs(spark, sf).withColumn("content", F.concat("content", F.lit(" "), extra))
+    return texts(spark, sf).withColumn("content", F.concat("content", F.lit(" "), extra))
 
 
 SPICED_SQL = VIEWS["docs"].replace(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking
-from lodestone.registry.base import VIEWS, docs, ev, gappy, register, sql_strip, table
+from lodestone.registry.base import VIEWS, docs, register, spread, sql_strip, table, texts
 from lodestone.registry.filters import LINES_SQL, document_lines, minimal_sql
 from lodestone.functions.text import BOILERPLATE_RE
 from lodestone.session import scratch_path
@@ -86,7 +86,7 @@ def _first_words(path, content):
     "docs",
 )
 def parse_error_rows(spark, sf):
-    parsed = sections.custom_sections(docs(spark, sf), _first_words)
+    parsed = sections.custom_sections(texts(spark, sf), _first_words)
     return files.parse_errors(parsed).select("source_path", "project", "error_type", "error_message")
 
 
@@ -219,7 +219,7 @@ def chunk_documents(spark, sf):
 @register("chunk_text")
 def chunk_text(spark, sf):
     """Chunks of all documents; those above the size limit go through the packing kernel."""
-    chunks = chunking.chunk_documents(sections.markdown_sections(docs(spark, sf).select("document_id", "content")))
+    chunks = chunking.chunk_documents(sections.markdown_sections(texts(spark, sf).select("document_id", "content")))
     return chunks.select(
         "document_id", "chunk_index", "token_count", "locator.chunk_part", "locator.chunk_total", "content"
     )
@@ -345,7 +345,7 @@ def git_locator(spark, sf):
 
 @register("embed_chunks")
 def embed_chunks(spark, sf):
-    return chunking.embed_chunks(docs(spark, sf).select("chunk_id", "content"), dimension=64).drop("content")
+    return chunking.embed_chunks(texts(spark, sf).select("chunk_id", "content"), dimension=64).drop("content")
 
 
 # Lint notes, one per part, in folders that ask for different sections.
@@ -375,7 +375,7 @@ def notes(spark, sf):
         F.when(k % 10 == 2, "### Checklist Seeds\nz").otherwise(""),
     )
     path = F.concat(F.lit("vault/"), folder, F.lit("/n"), k, F.lit(".md"))
-    return table(spark, sf, "part").select(path.alias("path"), content.alias("content"))
+    return spread(table(spark, sf, "part")).select(path.alias("path"), content.alias("content"))
 
 
 LINT_SQL = """

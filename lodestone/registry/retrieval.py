@@ -11,6 +11,7 @@ from lodestone.registry.base import (
     sql_recency,
     sql_tokens,
     table,
+    texts,
     vecs,
 )
 
@@ -83,7 +84,7 @@ def batch_vector_search(spark, sf):
     "docs",
 )
 def idf(spark, sf):
-    return search.idf(docs(spark, sf)).withColumn("idf", F.round("idf", 6))
+    return search.idf(texts(spark, sf)).withColumn("idf", F.round("idf", 6))
 
 
 BM25_SQL = f"""
@@ -107,7 +108,7 @@ BM25_SQL = f"""
     "docs asked",
 )
 def bm25_corpus(spark, sf):
-    found = search.bm25_corpus(docs(spark, sf), asked(spark, sf).select("query_id", "text"), k=10)
+    found = search.bm25_corpus(texts(spark, sf), asked(spark, sf).select("query_id", "text"), k=10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -129,7 +130,7 @@ CANDIDATES_SQL = f"""
 
 
 def _residue_candidates(spark, sf):
-    left = docs(spark, sf).withColumn("_r", F.col("chunk_id") % 40)
+    left = texts(spark, sf).withColumn("_r", F.col("chunk_id") % 40)
     right = asked(spark, sf).select(F.col("query_id"), F.col("text").alias("query_text"))
     return left.join(right, F.col("_r") == F.col("query_id")).drop("_r")
 
@@ -268,7 +269,7 @@ def hybrid_search(spark, sf):
 
 def hybrid_results(spark, sf, k=5):
     return search.hybrid_search(
-        docs(spark, sf),
+        texts(spark, sf),
         vecs(spark, sf),
         asked(spark, sf).drop("text"),
         now=NOW,
