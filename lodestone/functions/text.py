@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 SPACES = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+SPACE_CHARACTERS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
+) + "\u2028\u2029\u202f\u205f\u3000"
 WORD = r"\p{L}\p{N}_"
 
 # Lines that carry no content when a whole chunk consists of them.
@@ -45,7 +48,8 @@ def let(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    """Trim Unicode white space; looks at the two ends only."""
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def words(text: Column) -> Column:

@@ -372,18 +372,19 @@ def coach_suggestions(
         F.coalesce("override_cooldown", F.lit(False)).alias("_override"),
     )
     rows = own.unionByName(advised).join(asked, "request_id")
-    rows = rows.withColumn("cooldown_project", F.coalesce(F.nullif("project", F.lit("")), "_project_key"))
-    cooled = cooldown_anti_join(rows.where("NOT _override"), log, now=now, cooldown_days=cooldown_days)
-    rows = cooled.unionByName(rows.where("_override"))
+    # Without a project to look up, an overridden row meets no log entry and stays.
+    key = F.when(~F.col("_override"), F.coalesce(F.nullif("project", F.lit("")), "_project_key"))
+    rows = cooldown_anti_join(
+        rows.withColumn("cooldown_project", key), log, now=now, cooldown_days=cooldown_days
+    )
     rows = rows.withColumn("fingerprint", text.fingerprint(F.col("suggestion_type"), F.col("text")))
     order = [F.asc("stage"), F.asc("priority"), F.col("routine_action").isNull().asc(), F.asc("position")]
     rows = first_per(rows, ["request_id", "fingerprint"], order)
-    # Rows without a routine are alone in their group, so only repeated routines compete.
-    routine_key = F.coalesce("routine_action", "fingerprint")
-    answers = rows.where("stage = 1 AND routine_action IS NULL")
-    rivals = rows.where("NOT (stage = 1 AND routine_action IS NULL)").withColumn("_routine", routine_key)
-    kept = first_per(rivals, ["request_id", "_routine"], order).drop("_routine")
-    ranked = top_k(answers.unionByName(kept), ["request_id"], order, limit, "place")
+    # Rows without a routine are alone in their group, so only repeated routines compete; answer rules
+    # never share a routine with each other.
+    rows = rows.withColumn("_routine", F.coalesce("routine_action", "fingerprint"))
+    rows = first_per(rows, ["request_id", "_routine"], order)
+    ranked = top_k(rows, ["request_id"], order, limit, "place")
     return ranked.select(
         "request_id",
         "place",

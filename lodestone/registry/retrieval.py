@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import ranking, search
+from lodestone.session import small_enough
 from lodestone.registry.base import (
     NOW,
     asked,
@@ -132,6 +133,8 @@ CANDIDATES_SQL = f"""
 def _residue_candidates(spark, sf):
     left = texts(spark, sf).withColumn("_r", F.col("chunk_id") % 40)
     right = asked(spark, sf).select(F.col("query_id"), F.col("text").alias("query_text"))
+    if small_enough(right):
+        right = F.broadcast(right)
     return left.join(right, F.col("_r") == F.col("query_id")).drop("_r")
 
 
