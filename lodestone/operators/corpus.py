@@ -107,7 +107,8 @@ def latest_suggestion_context(log: DataFrame) -> DataFrame:
 def enrich_with_decisions(results: DataFrame, decisions: DataFrame) -> DataFrame:
     """Results with the array of decisions of their chunk, empty when there is none.
 
-    Only decisions of chunks in the results are grouped.
+    Only decisions of chunks in the results are grouped. A chunk is a few kilobytes of text and its
+    decisions are phrases in it, so the array is short by nature.
     """
     info = F.struct("decision_id", "decision_text", "status", "superseded_by", "confidence")
     wanted = decisions.join(results.select("chunk_id").distinct(), "chunk_id", "left_semi")

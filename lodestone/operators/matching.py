@@ -25,6 +25,8 @@ from lodestone.session import small_enough
 
 QUERY_SLICE = 20_000
 QUERY_TILE = 512
+TILE_WORDS = 20_000  # words of the queries scored together, which bounds the matrix of a tile
+ROW_BLOCK = 128
 DECIMALS = 9  # scores are compared after rounding, so equal texts tie and the id decides
 
 RESULT = "query_id long, chunk_id long, score double"
@@ -232,6 +234,27 @@ def inverse_frequency(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
+def _tiles(asks: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Consecutive queries of up to TILE_WORDS words and QUERY_TILE queries."""
+    lo = words = 0
+    for i, ask in enumerate(asks):
+        if i > lo and (i - lo >= QUERY_TILE or words + len(ask) > TILE_WORDS):
+            yield lo, i
+            lo, words = i, 0
+        words += len(ask)
+    if asks:
+        yield lo, len(asks)
+
+
+def _wishes(tile: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of a tile and how often each query names each of them."""
+    everything = np.concatenate([*tile, np.empty(0, np.int64)])
+    used, where = np.unique(everything, return_inverse=True)
+    times = np.zeros((len(used), len(tile)))
+    np.add.at(times, (where, np.repeat(np.arange(len(tile)), [len(a) for a in tile])), 1)
+    return used, times
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 with corpus-wide statistics, best k per query among chunks sharing a term with it.
 
@@ -267,29 +290,30 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: floa
             query_ids, terms, idf, asks, limits = shared.value
             best = Best(query_ids, k)
             names = pa.array(terms, pa.string())
-            tiles = []
-            for lo in range(0, len(query_ids), QUERY_TILE):
-                tile = asks[lo : lo + QUERY_TILE]
-                used, where = np.unique(np.concatenate([*tile, np.empty(0, np.int64)]), return_inverse=True)
-                times = np.zeros((len(used), len(tile)))
-                np.add.at(times, (where, np.repeat(np.arange(len(tile)), [len(a) for a in tile])), 1)
-                tiles.append((lo, used, times))
-            for whole in batches:
-                for start in range(0, whole.num_rows, 512):
-                    batch = whole.slice(start, 512)
-                    words = batch.column("tokens")
-                    length = np.asarray(pc.list_value_length(words).fill_null(0))
-                    at = pc.index_in(words.flatten(), names).fill_null(-1).to_numpy(zero_copy_only=False)
-                    row = np.repeat(np.arange(len(length)), length)[at >= 0]
-                    tf = np.zeros((len(length), len(terms)))
-                    np.add.at(tf, (row, at[at >= 0]), 1)
-                    damp = k1 * (1 - b + b * length / mean)
-                    tf *= idf * (k1 + 1) / (tf + damp[:, None])
-                    ids = batch.column("chunk_id").to_numpy()
-                    for lo, used, times in tiles:
-                        score = np.round(tf[:, used] @ times, DECIMALS)
-                        ok = limits.mask(batch, lo, lo + times.shape[1]) & (score > 0)
-                        best.offer(np.where(ok, -score, np.inf), ids, lo)
+            for batch in batches:
+                words = batch.column("tokens")
+                ids = batch.column("chunk_id").to_numpy()
+                length = np.asarray(pc.list_value_length(words).fill_null(0)).astype(np.int64)
+                at = pc.index_in(words.flatten(), names).fill_null(-1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(length)), length)[at >= 0]
+                pair, tf = np.unique(row * max(len(terms), 1) + at[at >= 0], return_counts=True)
+                row, term = np.divmod(pair, max(len(terms), 1))
+                damp = k1 * (1 - b + b * length / mean)
+                part = idf[term] * tf * (k1 + 1) / (tf + damp[row])
+                for lo, hi in _tiles(asks):
+                    used, times = _wishes(asks[lo:hi])
+                    place = np.full(len(terms), -1)
+                    place[used] = np.arange(len(used))
+                    hit = place[term] >= 0
+                    rows, columns, values = row[hit], place[term[hit]], part[hit]
+                    for start in range(0, len(length), ROW_BLOCK):
+                        block = batch.slice(start, ROW_BLOCK)
+                        a, z = np.searchsorted(rows, (start, start + block.num_rows))
+                        dense = np.zeros((block.num_rows, len(used)))
+                        dense[rows[a:z] - start, columns[a:z]] = values[a:z]
+                        score = np.round(dense @ times, DECIMALS)
+                        ok = limits.mask(block, lo, hi) & (score > 0)
+                        best.offer(np.where(ok, -score, np.inf), ids[start : start + block.num_rows], lo)
             yield from best.result(-1.0)
 
         needed = {c for q, c in Scope.NEEDS.items() if q in part.columns}
