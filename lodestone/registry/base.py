@@ -41,8 +41,17 @@ def with_views(views: str, sql: str) -> str:
     return "WITH " + ", ".join(parts) + " " + body
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A test table. Its footer is read once per application, not once per use in a plan."""
+    if not isinstance(spark, SparkSession):
+        return spark.read.parquet(f"{sf}/{name}.parquet")
+    key = (spark.sparkContext.applicationId, id(spark), f"{sf}/{name}.parquet")
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(key[-1])
+    return _TABLES[key]
 
 
 def spread(df: DataFrame) -> DataFrame:

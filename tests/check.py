@@ -1,5 +1,6 @@
 """python tests/check.py [sf] [name ...] compares registered queries with DuckDB."""
 
+import os
 import sys
 import time
 import traceback
@@ -8,11 +9,16 @@ sys.path[:0] = [".", "tests"]
 
 from compare import TIMES, connect, differences  # noqa: E402
 
+from pyspark.sql import SparkSession  # noqa: E402
+
 from lodestone import build_session  # noqa: E402
 from lodestone.registry import ORACLE, QUERIES  # noqa: E402
 
 sf, names = sys.argv[1], sys.argv[2:]
-spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+if os.environ.get("PLAIN"):  # a session without this package's settings
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+else:
+    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
 spark.sparkContext.setLogLevel("ERROR")
 path = f"/root/testdata/sf{sf}"
 con = connect(path)
