@@ -120,7 +120,8 @@ def enrich_with_decisions(results: DataFrame, decisions: DataFrame) -> DataFrame
 
 def decision_badges(results: DataFrame, decisions: DataFrame) -> DataFrame:
     """query_id, chunk_id with the number of active and superseded decisions."""
-    counts = decisions.groupBy("chunk_id").agg(
+    shown = decisions.join(results.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    counts = shown.groupBy("chunk_id").agg(
         F.count_if(F.col("status") == "active").alias("active_count"),
         F.count_if(F.col("status") == "superseded").alias("superseded_count"),
     )

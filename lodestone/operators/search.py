@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import dates, text
 from lodestone.operators import matching
+from lodestone.operators.chunking import embed_chunks
 from lodestone.operators.filters import filter_metadata, resolve_scope
 from lodestone.operators.ranking import minmax_normalize, scale, top_k
 from lodestone.session import BROADCAST_ROW_LIMIT, small_enough
@@ -139,12 +140,49 @@ def metadata_boost(
     ).otherwise(1.0)
 
 
+def _combined(rows: DataFrame, config: ScoringConfig, now, vector_part: Column, keyword_part: Column, k: int) -> DataFrame:
+    """Weighted, decayed and boosted score of scaled parts, best k per query."""
+    boost = metadata_boost(
+        F.col("project"), F.col("language"), F.col("query_projects"), F.col("query_language"), config
+    )
+    recency = dates.recency(F.col("source_date"), now, config.half_life_days) if config.recency else F.lit(1.0)
+    rows = (
+        rows.withColumn("vector_part", vector_part)
+        .withColumn("keyword_part", keyword_part)
+        .withColumn("recency", recency)
+        .withColumn("boost", boost)
+    )
+    base = config.vector_weight * F.col("vector_part") + config.keyword_weight * F.col("keyword_part")
+    final = F.least(F.lit(1.0), base * F.col("recency") * F.col("boost"))
+    rows = rows.withColumn("final_score", F.round(final, matching.DECIMALS))
+    return top_k(rows, ["query_id"], [F.desc("final_score"), F.desc("boost"), F.asc("position")], k)
+
+
 def hybrid_score(candidates: DataFrame, config: ScoringConfig, *, now, k: int) -> DataFrame:
-    """Hybrid score and rank of candidate lists that were already cut to a fetch limit.
+    """Hybrid score and rank of candidate lists of any length.
 
     Input: query_id, query_text, query_projects, query_language, chunk_id, content, vector_score,
-    position (order of the candidate list), project, language, source_date. The lists hold a few
-    rows per query, so one shuffle on query_id serves statistics, scaling and rank.
+    position (order of the candidate list, the last tie-break), project, language, source_date.
+    Statistics and bounds are aggregates joined back, so no list has to fit into a task.
+    """
+    rows = bm25_candidates(candidates, k1=config.k1, b=config.b)
+    rows = rows.withColumn("bm25", F.round("bm25", matching.DECIMALS))
+    bounds = rows.groupBy("query_id").agg(
+        F.min("vector_score").alias("_v0"),
+        F.max("vector_score").alias("_v1"),
+        F.min("bm25").alias("_k0"),
+        F.max("bm25").alias("_k1"),
+    )
+    rows = rows.join(bounds, "query_id")
+    vector_part = scale(F.col("vector_score"), F.col("_v0"), F.col("_v1"))
+    keyword_part = scale(F.col("bm25"), F.col("_k0"), F.col("_k1"))
+    return _combined(rows, config, now, vector_part, keyword_part, k).drop("_v0", "_v1", "_k0", "_k1")
+
+
+def _score_fetched(candidates: DataFrame, config: ScoringConfig, *, now, k: int) -> DataFrame:
+    """The same for lists already cut to a fetch limit of a few times k rows.
+
+    Such lists are tiny, so one shuffle on query_id serves statistics, scaling and rank.
     """
     group = Window.partitionBy("query_id")
     rows = candidates.withColumn("_words", text.tokens(F.col("content"))).withColumn(
@@ -166,27 +204,16 @@ def hybrid_score(candidates: DataFrame, config: ScoringConfig, *, now, k: int) -
     def scaled(column: str) -> Column:
         return scale(F.col(column), F.min(column).over(group), F.max(column).over(group))
 
-    boost = metadata_boost(
-        F.col("project"), F.col("language"), F.col("query_projects"), F.col("query_language"), config
-    )
-    recency = dates.recency(F.col("source_date"), now, config.half_life_days) if config.recency else F.lit(1.0)
-    rows = (
-        rows.withColumn("vector_part", scaled("vector_score"))
-        .withColumn("keyword_part", scaled("bm25"))
-        .withColumn("recency", recency)
-        .withColumn("boost", boost)
-    )
-    base = config.vector_weight * F.col("vector_part") + config.keyword_weight * F.col("keyword_part")
-    final = F.least(F.lit(1.0), base * F.col("recency") * F.col("boost"))
-    rows = rows.withColumn("final_score", F.round(final, matching.DECIMALS))
-    order = [F.desc("final_score"), F.desc("boost"), F.asc("position")]
-    return top_k(rows, ["query_id"], order, k)
+    return _combined(rows, config, now, scaled("vector_score"), scaled("bm25"), k)
 
 
-def prepare_queries(queries: DataFrame, *, raw_text_scoring: bool = False) -> DataFrame:
+def prepare_queries(
+    queries: DataFrame, *, raw_text_scoring: bool = False, encoder=None, dimension: int | None = None
+) -> DataFrame:
     """Parse the query strings and resolve scopes.
 
-    Input: query_id, raw and optionally embedding, project, projects, language. Output adds text,
+    Input: query_id, raw and optionally embedding, project, projects, language. Queries without an
+    embedding get one of their text when an encoder or a dimension is given. Output adds text,
     query_text (for BM25; the raw string when ``raw_text_scoring``), phrases, excluded,
     decision_status, the scope as ``projects`` and has_filters.
     """
@@ -215,6 +242,8 @@ def prepare_queries(queries: DataFrame, *, raw_text_scoring: bool = False) -> Da
             | F.col("_q.decision_status").isNotNull()
         ).alias("has_filters"),
     )
+    if "embedding" not in have and (encoder is not None or dimension is not None):
+        parsed = embed_chunks(parsed, column="text", dimension=dimension or 384, encoder=encoder)
     scored = F.col("raw") if raw_text_scoring else F.col("text")
     return parsed.withColumn("query_text", scored)
 
@@ -285,6 +314,8 @@ def hybrid_search(
     mode: str = "candidate",
     decisions: DataFrame | None = None,
     raw_text_scoring: bool = False,
+    encoder=None,
+    dimension: int | None = None,
     projects: list[str] | None = None,
     source_types: list[str] | None = None,
     date_after=None,
@@ -303,13 +334,15 @@ def hybrid_search(
         date_before=date_before,
         language=language,
     )
-    asked = prepare_queries(queries, raw_text_scoring=raw_text_scoring)
+    asked = prepare_queries(
+        queries, raw_text_scoring=raw_text_scoring, encoder=encoder, dimension=dimension
+    )
     if language is not None:
         asked = asked.withColumn("query_language", F.lit(language))
     rows = _candidates(
         chunks, embeddings, asked, decisions, k=k, multiplier=3, mode=mode, filters=filters
     )
-    return hybrid_score(rows, config or ScoringConfig(), now=now, k=k)
+    return _score_fetched(rows, config or ScoringConfig(), now=now, k=k)
 
 
 def vector_only_search(
@@ -320,11 +353,14 @@ def vector_only_search(
     k: int = 5,
     mode: str = "candidate",
     decisions: DataFrame | None = None,
+    encoder=None,
+    dimension: int | None = None,
     **filters,
 ) -> DataFrame:
     """The same retrieval ranked by max(0, 1 - distance) alone."""
+    asked = prepare_queries(queries, encoder=encoder, dimension=dimension)
     rows = _candidates(
-        chunks, embeddings, prepare_queries(queries), decisions, k=k, multiplier=1, mode=mode, filters=filters
+        chunks, embeddings, asked, decisions, k=k, multiplier=1, mode=mode, filters=filters
     )
     ranked = top_k(rows, ["query_id"], [F.asc("position")], k)
     return ranked.withColumn("final_score", F.col("vector_score"))

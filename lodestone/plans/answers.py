@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,3 +108,46 @@ def search_history_from_results(queries: DataFrame, results: DataFrame, *, now)
         (F.col("results_count") == 0).cast("int").alias("not_found"),
         dates.ts(now).alias("searched_at"),
     )
+
+
+def highlight(rows: DataFrame) -> DataFrame:
+    """Adds the query terms found in the content, in order of appearance, and the content with
+    ``**`` around them."""
+    pattern = text.highlight_pattern(text.highlight_words(F.col("query")))
+    rows = rows.withColumn("_pattern", pattern)
+    none = F.array().cast("array<string>")
+    found = F.regexp_extract_all("content", F.col("_pattern"), F.lit(1))
+    marked = F.regexp_replace("content", F.col("_pattern"), F.lit("**$1**"))
+    return (
+        rows.withColumn("terms", F.coalesce(F.array_distinct(found), none))
+        .withColumn("marked", F.coalesce(marked, "content"))
+        .drop("_pattern")
+    )
+
+
+@dataclass(frozen=True)
+class Answered:
+    """Everything an answered table of queries gives."""
+
+    sources: DataFrame
+    answers: DataFrame
+    footer: DataFrame
+    audit: DataFrame
+    history: DataFrame
+
+
+def answer_queries(queries: DataFrame, results: DataFrame, *, now) -> Answered:
+    """Citations, answers, footers, grounding audit and search history of ranked results.
+
+    ``queries`` is the output of ``prepare_queries``; ``results`` that of a search over it.
+    """
+    cited = citations(results, now=now)
+    answered = top_answer(queries, cited)
+    used = results.where("rank = 1").select("query_id", F.col("content").alias("used_chunk"))
+    return Answered(
+        sources=cited,
+        answers=answered,
+        footer=answer_footer(queries, cited),
+        audit=grounding_audit(answered.join(used, "query_id", "left")),
+        history=search_history_from_results(queries, results, now=now),
+    )

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions import dates, scoring, text
+from lodestone.plans.answers import highlight
 from lodestone.registry.base import (
     NOW,
     NOW_SQL,
@@ -19,6 +20,7 @@ from lodestone.registry.base import (
     sql_tokens,
     table,
 )
+from lodestone.sources.sections import parse_locators
 
 
 @register(
@@ -195,20 +197,6 @@ def highlight_terms(spark, sf):
     return highlight(rows).select("p_partkey", F.array_join("terms", ",").alias("terms"), "marked")
 
 
-def highlight(rows):
-    """Adds the matched terms in order of appearance and the text with ``**`` around them."""
-    pattern = text.highlight_pattern(text.highlight_words(F.col("query")))
-    rows = rows.withColumn("_pattern", pattern)
-    none = F.array().cast("array<string>")
-    found = F.regexp_extract_all("content", F.col("_pattern"), F.lit(1))
-    marked = F.regexp_replace("content", F.col("_pattern"), F.lit("**$1**"))
-    return (
-        rows.withColumn("terms", F.coalesce(F.array_distinct(found), none))
-        .withColumn("marked", F.coalesce(marked, "content"))
-        .drop("_pattern")
-    )
-
-
 @register(
     "extract_date",
     """
@@ -250,14 +238,3 @@ def parse_locator_json(spark, sf):
     )
     rows = table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
     return parse_locators(rows, "raw").select("doc_id", "locator.heading", "locator.start_line", F.col("extra")["note"].alias("note"))
-
-
-def parse_locators(rows, column):
-    """JSON locator text to the struct of known keys and a map of the others."""
-    from lodestone.schemas import LOCATOR
-
-    known = [f.name for f in LOCATOR.fields]
-    everything = F.from_json(column, "map<string,string>")
-    return rows.withColumn("locator", F.from_json(column, LOCATOR)).withColumn(
-        "extra", F.map_filter(everything, lambda k, _: ~k.isin(known))
-    )

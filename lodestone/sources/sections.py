@@ -121,19 +121,14 @@ def html_links(pages: DataFrame, *, html: str = "html") -> DataFrame:
     ).where("url <> ''")
 
 
-def bookmark_links(exports: DataFrame, *, html: str = "html") -> DataFrame:
-    """Links of bookmark exports with the path of folders they sit in.
+def bookmark_entries(html: Column) -> Column:
+    """Array of (folder, title, url, added_at) of one bookmark export.
 
-    A fold over the tags of one export keeps the stack of open lists. A list pushes the folder named
-    by the heading before it, or an empty mark when there is none.
+    A fold over its tags keeps the stack of open lists. A list pushes the folder named by the
+    heading before it, or an empty mark when there is none.
     """
     tags_re = rf"(?is)<h3[^>]*>.*?</h3\s*>|<dl\b|</dl\s*>|{LINK_RE[5:]}"
     link_type = "array<struct<folder:string,title:string,url:string,added_at:timestamp_ntz>>"
-    start = F.struct(
-        F.array().cast("array<string>").alias("open"),
-        F.lit("").alias("pending"),
-        F.array().cast(link_type).alias("links"),
-    )
 
     def state(open_: Column, pending: Column, links: Column) -> Column:
         return F.struct(open_.alias("open"), pending.alias("pending"), links.alias("links"))
@@ -143,42 +138,64 @@ def bookmark_links(exports: DataFrame, *, html: str = "html") -> DataFrame:
         name = strip(unescape(F.regexp_replace(tag, r"<[^>]*>", "")))
         link = _link(tag)
         folder = F.array_join(F.filter(acc["open"], lambda f: f != ""), " / ")
-        row = F.struct(folder.alias("folder"), link["title"].alias("title"), link["url"].alias("url"), link["added_at"].alias("added_at"))
+        row = F.struct(
+            folder.alias("folder"),
+            link["title"].alias("title"),
+            link["url"].alias("url"),
+            link["added_at"].alias("added_at"),
+        )
         shorter = F.slice(acc["open"], F.lit(1), F.greatest(F.size(acc["open"]) - 1, F.lit(0)))
+        named = F.when(name == "", acc["pending"]).otherwise(name)
         return (
-            F.when(low.startswith("<h3"), state(acc["open"], F.when(name == "", acc["pending"]).otherwise(name), acc["links"]))
+            F.when(low.startswith("<h3"), state(acc["open"], named, acc["links"]))
             .when(low.startswith("<dl"), state(F.array_append(acc["open"], acc["pending"]), F.lit(""), acc["links"]))
             .when(low.startswith("</dl"), state(shorter, acc["pending"], acc["links"]))
             .when(link["url"] == "", acc)
             .otherwise(state(acc["open"], acc["pending"], F.array_append(acc["links"], row)))
         )
 
-    folded = F.aggregate(
-        F.regexp_extract_all(html, F.lit(tags_re), F.lit(0)), start, step, lambda acc: acc["links"]
-    )
+    none = F.array().cast("array<string>")
+    start = state(none, F.lit(""), F.array().cast(link_type))
+    tags = F.regexp_extract_all(html, F.lit(tags_re), F.lit(0))
+    return F.aggregate(tags, start, step, lambda acc: acc["links"])
+
+
+def bookmark_links(exports: DataFrame, *, html: str = "html") -> DataFrame:
+    """One row per link of bookmark exports, with the path of folders it sits in."""
     keep = [c for c in exports.columns if c != html]
-    rows = exports.select(*keep, F.posexplode_outer(folded).alias("position", "_l")).where("_l IS NOT NULL")
+    entries = bookmark_entries(F.col(html))
+    rows = exports.select(*keep, F.posexplode_outer(entries).alias("position", "_l")).where("_l IS NOT NULL")
     return rows.select(*keep, "position", "_l.*")
 
 
-def bookmark_sections(links: DataFrame) -> DataFrame:
-    """Section rows of bookmark links: ``[title](url)`` and the folder line."""
-    folder = F.when(F.col("folder") == "", "Unfiled").otherwise(F.col("folder"))
+def bookmark_section(entry: Column) -> Column:
+    """Section of a bookmark entry: ``[title](url)`` and the folder line."""
+    folder = F.when(entry["folder"] == "", "Unfiled").otherwise(entry["folder"])
     extra = F.map_filter(
         F.create_map(
             F.lit("folder"),
-            F.nullif("folder", F.lit("")),
+            F.nullif(entry["folder"], F.lit("")),
             F.lit("added_at"),
-            F.date_format("added_at", "yyyy-MM-dd'T'HH:mm:ss"),
+            F.date_format(entry["added_at"], "yyyy-MM-dd'T'HH:mm:ss"),
         ),
         lambda _, v: v.isNotNull(),
     )
-    content = F.concat(F.lit("["), "title", F.lit("]("), "url", F.lit(")\nFolder: "), folder)
-    return links.withColumn("section", section(content, "section", locator(section=F.col("title")), extra))
+    content = F.concat(F.lit("["), entry["title"], F.lit("]("), entry["url"], F.lit(")\nFolder: "), folder)
+    return section(content, "section", locator(section=entry["title"]), extra)
+
+
+def bookmark_sections(documents: DataFrame) -> DataFrame:
+    """Adds ``sections`` of bookmark exports, and ``error`` where there is no link."""
+    entries = documents.withColumn("_entries", bookmark_entries(F.col("content")))
+    return (
+        entries.withColumn("sections", F.transform("_entries", bookmark_section))
+        .withColumn("error", F.when(F.size("_entries") == 0, "No bookmark entries found."))
+        .drop("_entries")
+    )
 
 
 def recipe_sections(recipes: DataFrame, *, column: str = "json") -> DataFrame:
-    """Section rows of JSON recipes: description, metadata, ingredients, instructions, notes."""
+    """Adds ``sections`` of JSON recipes, and ``error`` where the JSON is broken: description, metadata, ingredients, instructions, notes."""
     text_keys = ["name", "description", "notes", *RECIPE_METADATA]
     schema = T.StructType(
         [T.StructField(k, T.StringType()) for k in text_keys]
@@ -217,7 +234,13 @@ def recipe_sections(recipes: DataFrame, *, column: str = "json") -> DataFrame:
     sections = F.array_compact(
         F.array(*[F.when(c.isNotNull(), section(c, "section", locator(section=F.lit(n)))) for n, c in parts])
     )
-    return recipes.withColumn("_r", F.from_json(column, schema)).withColumn("sections", sections).drop("_r")
+    parsed = recipes.withColumn("_r", F.from_json(column, schema))
+    broken = r.isNull() | F.forall(F.array(*[r[f.name].isNull() for f in schema.fields]), lambda missing: missing)
+    return (
+        parsed.withColumn("sections", sections)
+        .withColumn("error", F.when(broken, "Invalid recipe JSON."))
+        .drop("_r")
+    )
 
 
 def git_locator(documents: DataFrame, *, url: str, commit: str) -> DataFrame:
@@ -267,3 +290,39 @@ def custom_sections(documents: DataFrame, sectioner: Sectioner) -> DataFrame:
             )
 
     return documents.mapInArrow(run, schema)
+
+
+def parse_locators(rows: DataFrame, column: str) -> DataFrame:
+    """JSON locator text to the struct of known keys and a map of the others."""
+    known = [f.name for f in LOCATOR.fields]
+    everything = F.from_json(column, "map<string,string>")
+    return rows.withColumn("locator", F.from_json(column, LOCATOR)).withColumn(
+        "extra", F.map_filter(everything, lambda k, _: ~k.isin(known))
+    )
+
+
+def sections_by_type(documents: DataFrame, sectioners: dict[str, Sectioner] | None = None) -> DataFrame:
+    """Adds ``sections`` and ``error`` by source type.
+
+    Markdown, bookmarks and recipes are built in; ``sectioners`` adds or replaces types. Documents
+    of other types drop out.
+    """
+    sectioners = sectioners or {}
+    no_error = F.lit(None).cast("string")
+    built_in = {
+        "markdown": lambda d: markdown_sections(d).withColumn("error", no_error),
+        "bookmarks": bookmark_sections,
+        "recipe": lambda d: recipe_sections(d, column="content"),
+    }
+    parts = [
+        custom_sections(documents.where(F.col("source_type") == kind), fn) for kind, fn in sectioners.items()
+    ]
+    parts += [
+        fn(documents.where(F.col("source_type") == kind))
+        for kind, fn in built_in.items()
+        if kind not in sectioners
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import dates, scoring, text
 from lodestone.operators import chunking, corpus, decisions, metrics, ranking, search
 from lodestone.plans import answers, coach, evaluation, health
-from lodestone.registry.functions import highlight, parse_locators
+from lodestone.plans.answers import highlight
 from lodestone.sources import files, sections
+from lodestone.sources.sections import parse_locators
 
 NOW = datetime(2024, 1, 31)
 
@@ -261,7 +262,10 @@ def test_bookmarks(spark):
         ("Folder One", "Example", "https://example.com", 1700000001),
         ("", "OpenAI", "https://openai.com", None),
     ]
-    first = sections.bookmark_sections(links).first().section
+    page = spark.createDataFrame([(html,), ("<p>nothing</p>",)], "content string")
+    sectioned = sections.bookmark_sections(page).orderBy("error").collect()
+    assert sectioned[1].error == "No bookmark entries found."
+    first = sectioned[0].sections[0]
     assert first.content == "[Example](https://example.com)\nFolder: Folder One"
     assert first.extra == {"folder": "Folder One", "added_at": "2023-11-14T22:13:21"}
 
