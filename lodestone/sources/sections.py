@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.functions.text import SPACES, strip
+from lodestone.functions.text import SPACES, let, strip
 from lodestone.schemas import LOCATOR, SECTION
 
 # ATX heading, title of the part before the first one.
 HEADING_RE = rf"(?d)^(#{{1,6}})[{SPACES}]+(.+)$"
 DOCUMENT_START = "(document start)"
 
+NO_BOOKMARKS = "No bookmark entries found."
+BROKEN_RECIPE = "Invalid recipe JSON."
+
 # Keys of the metadata section of a recipe, in order.
 RECIPE_METADATA = ["prep_time", "cook_time", "servings", "difficulty", "cuisine"]
 
@@ -40,37 +43,42 @@ def section(content: Column, kind: str, where: Column, extra: Column | None = No
     )
 
 
-def markdown_sections(documents: DataFrame) -> DataFrame:
-    """Adds ``sections``: one per ATX heading, with heading, level and line range.
+def markdown_section_array(content: Column) -> Column:
+    """One section per ATX heading, with heading, level and line range.
 
-    The lines are split once into a column of their own; every section is a slice of it.
+    The lines are split once and bound; every section is a slice of them.
     """
-    split = documents.withColumn("_lines", F.split("content", "\n"))
-    all_lines = F.col("_lines")
-    marked = split.withColumn(
-        "_starts",
-        F.filter(
-            F.sequence(F.lit(1), F.size(all_lines)),
-            lambda i: (i == 1) | F.get(all_lines, i - 1).rlike(HEADING_RE),
-        ),
-    )
 
-    def build(start: Column, place: Column) -> Column:
-        first = F.get(all_lines, start - 1)
-        end = F.coalesce(F.get(F.col("_starts"), place + 1) - 1, F.size(all_lines))
-        heading = F.nullif(strip(F.regexp_extract(first, HEADING_RE, 2)), F.lit(""))
-        return section(
-            strip(F.array_join(F.slice(all_lines, start, end - start + 1), "\n")),
-            "heading",
-            locator(
-                heading=F.coalesce(heading, F.lit(DOCUMENT_START)),
-                heading_level=F.length(F.regexp_extract(first, HEADING_RE, 1)),
-                start_line=start,
-                end_line=end,
-            ),
+    def build(body: Column, starts: Column):
+        def one(start: Column, place: Column) -> Column:
+            first = F.get(body, start - 1)
+            end = F.coalesce(F.get(starts, place + 1) - 1, F.size(body))
+            heading = F.nullif(strip(F.regexp_extract(first, HEADING_RE, 2)), F.lit(""))
+            return section(
+                strip(F.array_join(F.slice(body, start, end - start + 1), "\n")),
+                "heading",
+                locator(
+                    heading=F.coalesce(heading, F.lit(DOCUMENT_START)),
+                    heading_level=F.length(F.regexp_extract(first, HEADING_RE, 1)),
+                    start_line=start,
+                    end_line=end,
+                ),
+            )
+
+        return one
+
+    def cut(body: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(body)), lambda i: (i == 1) | F.get(body, i - 1).rlike(HEADING_RE)
         )
+        return let(starts, lambda found: F.transform(found, build(body, found)))
+
+    return let(F.split(content, "\n"), cut)
 
-    return marked.withColumn("sections", F.transform("_starts", build)).drop("_lines", "_starts")
+
+def markdown_sections(documents: DataFrame) -> DataFrame:
+    """Adds ``sections`` of Markdown texts."""
+    return documents.withColumn("sections", markdown_section_array(F.col("content")))
 
 
 def section_windows(lines: DataFrame, *, by: str = "document_id") -> DataFrame:
@@ -184,24 +192,25 @@ def bookmark_section(entry: Column) -> Column:
     return section(content, "section", locator(section=entry["title"]), extra)
 
 
+def bookmark_section_array(content: Column) -> Column:
+    return F.transform(bookmark_entries(content), bookmark_section)
+
+
 def bookmark_sections(documents: DataFrame) -> DataFrame:
     """Adds ``sections`` of bookmark exports, and ``error`` where there is no link."""
-    entries = documents.withColumn("_entries", bookmark_entries(F.col("content")))
-    return (
-        entries.withColumn("sections", F.transform("_entries", bookmark_section))
-        .withColumn("error", F.when(F.size("_entries") == 0, "No bookmark entries found."))
-        .drop("_entries")
+    return documents.withColumn("sections", bookmark_section_array(F.col("content"))).withColumn(
+        "error", F.when(F.size("sections") == 0, NO_BOOKMARKS)
     )
 
 
-def recipe_sections(recipes: DataFrame, *, column: str = "json") -> DataFrame:
-    """Adds ``sections`` of JSON recipes, and ``error`` where the JSON is broken: description, metadata, ingredients, instructions, notes."""
-    text_keys = ["name", "description", "notes", *RECIPE_METADATA]
-    schema = T.StructType(
-        [T.StructField(k, T.StringType()) for k in text_keys]
-        + [T.StructField(k, T.ArrayType(T.StringType())) for k in ("ingredients", "instructions")]
-    )
-    r = F.col("_r")
+RECIPE = T.StructType(
+    [T.StructField(k, T.StringType()) for k in ("name", "description", "notes", *RECIPE_METADATA)]
+    + [T.StructField(k, T.ArrayType(T.StringType())) for k in ("ingredients", "instructions")]
+)
+
+
+def recipe_section_array(json: Column) -> Column:
+    """Description, metadata, ingredients, instructions and notes; NULL when the JSON is broken."""
 
     def ingredient(item: Column) -> Column:
         both = F.concat_ws(
@@ -209,37 +218,41 @@ def recipe_sections(recipes: DataFrame, *, column: str = "json") -> DataFrame:
             F.coalesce(F.get_json_object(item, "$.amount"), F.lit("")),
             F.coalesce(F.get_json_object(item, "$.item"), F.lit("")),
         )
-        return F.when(item.startswith("{"), strip(F.concat(F.lit("- "), both))).otherwise(F.concat(F.lit("- "), item))
+        return F.when(item.startswith("{"), strip(F.concat(F.lit("- "), both))).otherwise(
+            F.concat(F.lit("- "), item)
+        )
 
-    metadata = F.array_compact(
-        F.array(*[F.concat(F.lit(f"{k.replace('_', ' ').title()}: "), r[k]) for k in RECIPE_METADATA])
-    )
-    steps = F.transform(r["instructions"], lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s))
-    parts = [
-        ("description", F.when(r["description"] != "", F.concat(F.lit("# "), r["name"], F.lit("\n\n"), r["description"]))),
-        ("metadata", F.when(F.size(metadata) > 0, F.array_join(metadata, "\n"))),
-        (
-            "ingredients",
-            F.when(
-                F.size(r["ingredients"]) > 0,
-                F.concat(F.lit("## Ingredients\n"), F.array_join(F.transform(r["ingredients"], ingredient), "\n")),
-            ),
-        ),
-        (
-            "instructions",
-            F.when(F.size(r["instructions"]) > 0, F.concat(F.lit("## Instructions\n"), F.array_join(steps, "\n"))),
-        ),
-        ("notes", F.when(r["notes"] != "", F.concat(F.lit("## Notes\n\n"), r["notes"]))),
-    ]
-    sections = F.array_compact(
-        F.array(*[F.when(c.isNotNull(), section(c, "section", locator(section=F.lit(n)))) for n, c in parts])
-    )
-    parsed = recipes.withColumn("_r", F.from_json(column, schema))
-    broken = r.isNull() | F.forall(F.array(*[r[f.name].isNull() for f in schema.fields]), lambda missing: missing)
-    return (
-        parsed.withColumn("sections", sections)
-        .withColumn("error", F.when(broken, "Invalid recipe JSON."))
-        .drop("_r")
+    def listed(heading: str, items: Column) -> Column:
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"## {heading}\n"), F.array_join(items, "\n")))
+
+    def build(r: Column) -> Column:
+        metadata = F.array_compact(
+            F.array(*[F.concat(F.lit(f"{k.replace('_', ' ').title()}: "), r[k]) for k in RECIPE_METADATA])
+        )
+        steps = F.transform(
+            r["instructions"], lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)
+        )
+        title = F.concat(F.lit("# "), r["name"], F.lit("\n\n"), r["description"])
+        parts = {
+            "description": F.when(r["description"] != "", title),
+            "metadata": F.when(F.size(metadata) > 0, F.array_join(metadata, "\n")),
+            "ingredients": listed("Ingredients", F.transform(r["ingredients"], ingredient)),
+            "instructions": listed("Instructions", steps),
+            "notes": F.when(r["notes"] != "", F.concat(F.lit("## Notes\n\n"), r["notes"])),
+        }
+        found = [
+            F.when(c.isNotNull(), section(c, "section", locator(section=F.lit(n)))) for n, c in parts.items()
+        ]
+        names = F.array(*[r[f.name].isNull() for f in RECIPE.fields])
+        return F.when(~F.forall(names, lambda missing: missing), F.array_compact(F.array(*found)))
+
+    return let(F.from_json(json, RECIPE), build)
+
+
+def recipe_sections(recipes: DataFrame, *, column: str = "json") -> DataFrame:
+    """Adds ``sections`` of JSON recipes, and ``error`` where the JSON is broken."""
+    return recipes.withColumn("sections", recipe_section_array(F.col(column))).withColumn(
+        "error", F.when(F.col("sections").isNull(), BROKEN_RECIPE)
     )
 
 
@@ -304,25 +317,24 @@ def parse_locators(rows: DataFrame, column: str) -> DataFrame:
 def sections_by_type(documents: DataFrame, sectioners: dict[str, Sectioner] | None = None) -> DataFrame:
     """Adds ``sections`` and ``error`` by source type.
 
-    Markdown, bookmarks and recipes are built in; ``sectioners`` adds or replaces types. Documents
-    of other types drop out.
+    Markdown, bookmarks and recipes are built in and share one pass over the texts; ``sectioners``
+    adds or replaces types. Documents of other types drop out.
     """
     sectioners = sectioners or {}
-    no_error = F.lit(None).cast("string")
     built_in = {
-        "markdown": lambda d: markdown_sections(d).withColumn("error", no_error),
-        "bookmarks": bookmark_sections,
-        "recipe": lambda d: recipe_sections(d, column="content"),
+        "markdown": (markdown_section_array, None),
+        "bookmarks": (bookmark_section_array, NO_BOOKMARKS),
+        "recipe": (recipe_section_array, BROKEN_RECIPE),
     }
-    parts = [
-        custom_sections(documents.where(F.col("source_type") == kind), fn) for kind, fn in sectioners.items()
-    ]
-    parts += [
-        fn(documents.where(F.col("source_type") == kind))
-        for kind, fn in built_in.items()
-        if kind not in sectioners
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+    kind, content = F.col("source_type"), F.col("content")
+    sections = error = F.lit(None)
+    for name, (fn, message) in built_in.items():
+        if name not in sectioners:
+            sections = F.when(kind == name, fn(content)).otherwise(sections)
+            empty = F.coalesce(F.size("sections"), F.lit(0)) <= 0
+            error = F.when((kind == name) & empty, F.lit(message)).otherwise(error)
+    native = documents.where(kind.isin([n for n in built_in if n not in sectioners]))
+    result = native.withColumn("sections", sections).withColumn("error", error.cast("string"))
+    for name, fn in sectioners.items():
+        result = result.unionByName(custom_sections(documents.where(kind == name), fn))
     return result
