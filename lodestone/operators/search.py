@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,23 +30,29 @@ class ScoringConfig:
     language_boost: float = 1.05
 
 
-def cosine_distance(left: Column, right: Column) -> Column:
-    """1 - cosine in double precision; NULL when a vector is zero."""
+def _dot(a: Column, b: Column) -> Column:
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
-    def dot(a: Column, b: Column) -> Column:
-        products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
-    norms = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
-    return F.lit(1.0) - dot(left, right) / F.nullif(norms, F.lit(0.0))
+def cosine_distance(left: Column, right: Column) -> Column:
+    """1 - cosine in double precision; NULL when a vector is zero."""
+    norms = F.sqrt(_dot(left, left)) * F.sqrt(_dot(right, right))
+    return F.lit(1.0) - _dot(left, right) / F.nullif(norms, F.lit(0.0))
 
 
 def vector_search(corpus: DataFrame, vector: list[float], *, k: int = 5) -> DataFrame:
-    """The k chunks nearest to one vector: a projection and TakeOrderedAndProject."""
-    wanted = F.lit([float(x) for x in vector])
-    distance = F.round(cosine_distance(F.col("embedding"), wanted), matching.DECIMALS)
+    """The k chunks nearest to one vector: a projection and TakeOrderedAndProject.
+
+    The query vector becomes a unit literal, so a row costs two passes over its own vector.
+    """
+    size = math.sqrt(sum(float(x) ** 2 for x in vector))
+    # A zero vector has no direction: NULL distances.
+    unit = F.lit([float(x) / size for x in vector]) if size else F.lit(None).cast("array<double>")
+    embedding = F.col("embedding")
+    cosine = _dot(embedding, unit) / F.nullif(F.sqrt(_dot(embedding, embedding)), F.lit(0.0))
     return (
-        corpus.withColumn("distance", distance)
+        corpus.withColumn("distance", F.round(1.0 - cosine, matching.DECIMALS))
         .orderBy(F.col("distance").asc_nulls_last(), "chunk_id")
         .limit(k)
     )

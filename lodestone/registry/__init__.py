@@ -20,8 +20,7 @@ MODULES = [
     "streams",
 ]
 
-from importlib.util import find_spec
 for _name in MODULES:
-    if find_spec(f"lodestone.registry.{_name}"): importlib.import_module(f"lodestone.registry.{_name}")
+    importlib.import_module(f"lodestone.registry.{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.scoring import priority_from_count  # noqa: F401
 from lodestone.plans import coach
 from lodestone.registry.base import (
     NOW,
@@ -15,7 +14,16 @@ from lodestone.registry.base import (
     sql_ratio_priority,
     table,
 )
-from lodestone.registry.health import LOGS, SIGNALS_SQL, THRESHOLDS, _scope, health_tables, RECENT_ERRORS, LOW_RATES, LOW_VOLUMES
+from lodestone.registry.health import (
+    LOGS,
+    LOW_RATES,
+    LOW_VOLUMES,
+    RECENT_ERRORS,
+    SIGNALS_SQL,
+    THRESHOLDS,
+    _scope,
+    health_tables,
+)
 
 
 @register(

@@ -12,6 +12,7 @@ from lodestone.registry.base import (
     docs,
     gappy,
     register,
+    spread,
     sql_collapse,
     sql_strip,
     table,
@@ -144,7 +145,7 @@ def document_lines(spark, sf):
         *[F.lit(x) for x in ("Page 3 of 10", " 1/10 ", "Copyright 2024 X", "----", "Back to top", "Chapter 12")]
     )
     full = F.concat("text", F.lit("\n"), F.get(tails, (F.col("doc_id") % 6).cast("int")))
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", F.posexplode_outer(F.split(full, "\n")).alias("line_no", "line")
     )
 

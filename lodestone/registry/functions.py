@@ -10,7 +10,6 @@ from lodestone.registry.base import (
     docs,
     ev,
     register,
-    searches,
     spread,
     sql_collapse,
     sql_confidence,

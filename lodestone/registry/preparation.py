@@ -13,12 +13,16 @@ NL = "chr(10)"
 
 
 def page_files(spark, sf, label):
-    """Every page as one .htm file in a scratch folder, line breaks turned into blanks."""
+    """Pages in .htm files of fifty, one page per line, each file in a folder of its own."""
     path = scratch_path(spark, label)
     (
         table(spark, sf, "pages")
-        .select(F.regexp_replace("html", r"[\r\n]", " ").alias("html"))
-        .write.option("maxRecordsPerFile", 1)
+        .select(
+            F.regexp_replace("html", r"[\r\n]", " ").alias("html"),
+            F.floor(F.col("page_id") / 50).alias("folder"),
+        )
+        .repartition("folder")
+        .write.partitionBy("folder")
         .option("extension", "htm")
         .option("quote", "\u0000")
         .option("sep", "\u0001")
@@ -38,10 +42,11 @@ def scan_corpus(spark, sf):
     found = files.scan_corpus(spark, page_files(spark, sf, "scan"), project="web")
     from lodestone.functions.text import strip
 
-    return found.select(F.sha2(strip(F.col("content")), 256).alias("content_hash"), "source_type")
+    lines = found.select("source_type", F.explode_outer(F.split("content", "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.sha2(strip(F.col("line")), 256).alias("content_hash"), "source_type")
 
 
-@register("count_scan_targets", "SELECT '.htm' AS extension, count(*) AS files FROM pages")
+@register("count_scan_targets", "SELECT '.htm' AS extension, count(DISTINCT page_id // 50) AS files FROM pages")
 def count_scan_targets(spark, sf):
     return files.count_scan_targets(spark, page_files(spark, sf, "count"))
 

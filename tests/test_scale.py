@@ -70,6 +70,13 @@ def test_nearest_equals_brute_force_with_ties_and_filters(world):
     assert got == brute(rows, asked, 7)
 
 
+def test_zero_vectors_rank_last(spark):
+    corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], "chunk_id long, embedding array<float>")
+    got = [(r.chunk_id, r.distance) for r in search.vector_search(corpus, [1.0, 1.0], k=2).collect()]
+    assert got == [(2, 0.0), (1, None)]
+    assert {r.distance for r in search.vector_search(corpus, [0.0, 0.0], k=2).collect()} == {None}
+
+
 def test_query_slices_give_the_same_result(world, monkeypatch):
     corpus, queries, rows, asked = world
     monkeypatch.setattr(matching, "QUERY_SLICE", 10)
