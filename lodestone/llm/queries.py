@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import encode_decode
 from lodestone.llm.fuzzy_lines import dedup_lines
+from lodestone.llm.iblt import fingerprints
 from lodestone.llm.language_id import held_out, identify
 from lodestone.llm.mixing import mix, word_count
 from lodestone.llm.ngram_join import ngram_components
+from lodestone.llm.pii import digest, personal_data
 from lodestone.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +103,13 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(table(spark, sf_dir, "documents")))
