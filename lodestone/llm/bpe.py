@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,8 +185,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
                     packed.update(ids)
                     decoded.update(own.decode(ids))
                     if with_ids:
-                        kept.extend(array("I", ids))
-                rows.append((n, packed.hexdigest(), decoded.hexdigest(), kept)[: 3 + with_ids])
+                        kept.append(np.frombuffer(ids, "<i4"))
+                row = [n, packed.hexdigest(), decoded.hexdigest()]
+                rows.append([*row, np.concatenate(kept)] if with_ids else row)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + with_ids])
 
     return docs.select("doc_id", run("text").alias("_r")).select("doc_id", "_r.*")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import encode_decode
 from lodestone.llm.fuzzy_lines import dedup_lines
+from lodestone.llm.graph_search import nearest
 from lodestone.llm.iblt import fingerprints
 from lodestone.llm.language_id import held_out, identify
+from lodestone.llm.licenses import license_scan
 from lodestone.llm.mixing import mix, word_count
 from lodestone.llm.ngram_join import ngram_components
 from lodestone.llm.pii import digest, personal_data
@@ -113,3 +115,13 @@ def op10_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
