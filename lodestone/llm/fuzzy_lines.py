@@ -4,7 +4,7 @@ A line's signature has one minimum per class of a hash of its character shingles
 by further rounds with other hash functions, so short lines have signatures of full quality too. Lines that agree in
 any band of the signature are candidates; those of a true shingle similarity of at least ``percent`` hundredths are
 linked (see ``links``), and of each component of lines only the first occurrence is kept, by doc_id, then by place.
-With 12 bands of 5, a pair of similarity 0.8 becomes a candidate with probability 0.99, one of 0.9 with 0.9999.
+With 10 bands of 5, a pair of similarity 0.8 becomes a candidate with probability 0.98, one of 0.9 with 0.9998.
 
 Lines are compared without white space at their ends and in lower case. Lines shorter than ``min_chars`` are kept:
 they repeat by chance.
@@ -23,27 +23,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import let, stored
-from lodestone.llm.links import linked_components
+from lodestone.llm.links import linked_components, only
 from lodestone.llm.ngram_join import mixed
 
 SHINGLE = 8
 PERCENT = 80
-BANDS = 12
+BANDS = 10
 ROWS = 5
 MIN_CHARS = 24
 #: Lines a task remembers so as not to sign them twice.
 REMEMBERED = 500_000
 #: Characters signed at a time.
-STEP = 1 << 20
+STEP = 1 << 16
 
 _random = np.random.default_rng(20240229)
 _SEEDS = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = _SEEDS[:64] * np.uint64(2) + np.uint64(1)
+_LOW = np.uint64(0xFFFFFFFF)
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"^\s+|\s+$", "")))
+    return F.lower(F.btrim(line, F.lit(" \t\r\f\v\u00a0")))
 
 
 def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +58,7 @@ def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(lines)), lengths)
     starts = np.arange(len(h))
     inside = starts + SHINGLE <= np.cumsum(lengths)[owner[: len(h)]]
-    return mixed(h[inside]), owner[: len(h)][inside]
+    return h[inside], owner[: len(h)][inside]
 
 
 def signatures(lines: list[str], size: int) -> np.ndarray:
@@ -67,11 +68,16 @@ def signatures(lines: list[str], size: int) -> np.ndarray:
     flat = out.reshape(-1)
     for seed in _SEEDS:
         h = mixed(hashes ^ seed)
-        place = owner * size + ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
-        free = flat[place] == _FREE
-        fresh = np.full(len(flat), _FREE)
-        np.minimum.at(fresh, place[free], h[free] * _ODD[1])
-        np.minimum(flat, fresh, out=flat)
+        # the low half names the class, the high half decides the minimum
+        place = owner * size + ((h & _LOW) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+        if seed != _SEEDS[0]:  # only classes that are still empty
+            free = flat[place] == _FREE
+            place, h = place[free], h[free]
+            fresh = np.full(len(flat), _FREE)
+            np.minimum.at(fresh, place, h)
+            np.minimum(flat, fresh, out=flat)
+        else:
+            np.minimum.at(flat, place, h)
         open_lines = (out == _FREE).any(axis=1)
         if not open_lines.any():
             break
@@ -120,7 +126,6 @@ def line_components(lines: DataFrame, percent: int, bands: int = BANDS, rows: in
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
         def sets(batches):
             for batch in batches:
@@ -130,7 +135,7 @@ def line_components(lines: DataFrame, percent: int, bands: int = BANDS, rows: in
                     grams = [np.unique(part).view(np.int64) for part in np.split(hashes, ends)]
                     yield pd.DataFrame({"node": nodes, "grams": grams})
 
-        found = lines.select("node", "line").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
+        found = only(lines.select("node", "line"), "node", pairs).groupBy("node").agg(F.min("line").alias("line"))
         found = stored(found.mapInPandas(sets, "node long, grams array<long>"), "sets")
         both = pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))

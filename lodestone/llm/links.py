@@ -15,7 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import broadcast_checked, stored
+
+#: Rows of one 64-bit column that may be broadcast: at most 16 bytes each, 32 MB in all.
+BROADCAST_IDS = 2_000_000
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -53,6 +56,12 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(label.join(roots, "label").select("node", "root"), "components")
 
 
+def only(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is one of the nodes of ``pairs`` (a, b)."""
+    wanted = stored(pairs.select(F.col("a").alias(column)).union(pairs.select("b")).distinct(), "wanted")
+    return df.join(broadcast_checked(wanted, BROADCAST_IDS), column, "left_semi")
+
+
 def linked_components(
     members: DataFrame, verify: Verify, facts: list[str] | None = None, star: str = "true", pair: str = "true"
 ) -> DataFrame:
@@ -63,8 +72,9 @@ def linked_components(
     """
     facts = facts or []
     shared = members.groupBy("bucket").agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
-    shared = shared.where("_low <> _high").select("bucket")
-    members = stored(members.join(shared, "bucket").select("bucket", "node", *facts), "members")
+    shared = stored(shared.where("_low <> _high").select("bucket"), "shared")
+    members = members.join(broadcast_checked(shared, BROADCAST_IDS), "bucket")
+    members = stored(members.select("bucket", "node", *facts), "members")
 
     def sided(df: DataFrame, side: str, *more: str) -> DataFrame:
         return df.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", *facts, *more)])

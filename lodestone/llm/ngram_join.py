@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
-from lodestone.llm.links import linked_components
+from lodestone.llm.links import linked_components, only
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -180,14 +180,13 @@ def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY)
             .select("a", "b")
         )
         kept = stored(kept, "pairs")
-        wanted = kept.select(F.col("a").alias("doc_id")).union(kept.select("b")).distinct()
 
         def sets(batches):
             for batch in batches:
                 found = [shingle_set(text, n).view(np.int64) for text in batch.text]
                 yield pd.DataFrame({"node": batch.doc_id, "grams": found})
 
-        grams = docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "node long, grams array<long>")
+        grams = only(docs, "doc_id", kept).mapInPandas(sets, "node long, grams array<long>")
         grams = stored(grams, "sets")
         both = kept.join(grams.toDF("a", "set_a"), "a").join(grams.toDF("b", "set_b"), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
