@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import let, stored
-from lodestone.llm.links import linked_components, only
+from lodestone.llm.links import compared, linked_components
 from lodestone.llm.ngram_join import mixed
 
 SHINGLE = 8
@@ -126,20 +126,8 @@ def line_components(lines: DataFrame, percent: int, bands: int = BANDS, rows: in
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
-
-        def sets(batches):
-            for batch in batches:
-                for nodes, texts in _groups(batch):
-                    hashes, owner = line_shingles(texts)
-                    ends = np.searchsorted(owner, np.arange(1, len(texts)))
-                    grams = [np.unique(part).view(np.int64) for part in np.split(hashes, ends)]
-                    yield pd.DataFrame({"node": nodes, "grams": grams})
-
-        found = only(lines.select("node", "line"), "node", pairs).groupBy("node").agg(F.min("line").alias("line"))
-        found = stored(found.mapInPandas(sets, "node long, grams array<long>"), "sets")
-        both = pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        return both.where(common * (100 + percent) >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+        texts = lines.select("node", F.col("line").alias("text"))
+        return compared(texts, pairs, lambda text: np.unique(line_shingles([text])[0]), percent)
 
     return linked_components(members, verify)
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,9 @@ from lodestone.llm.common import broadcast_checked, stored
 #: Rows of one 64-bit column that may be broadcast: at most 16 bytes each, 32 MB in all.
 BROADCAST_IDS = 2_000_000
 
+#: Ways in which lots fall: a group of nodes that share all their buckets has so many centres.
+CENTRES = 3
+
 Verify = Callable[[DataFrame], DataFrame]
 
 
@@ -62,6 +66,36 @@ def only(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
     return df.join(broadcast_checked(wanted, BROADCAST_IDS), column, "left_semi")
 
 
+def compared(texts: DataFrame, pairs: DataFrame, grams, percent: int) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose sets are similar: percent hundredths of their union is common to both.
+
+    ``texts`` (node, text) are joined to the pairs, and ``grams`` makes a text's sorted set of hashes in the task:
+    texts are a fraction of the size of their sets. The sets last made are remembered, as a centre is in many pairs.
+    """
+    own = stored(only(texts, "node", pairs).distinct(), "texts")
+
+    def check(batches):
+        last: dict[int, tuple[str, np.ndarray]] = {}
+
+        def found(node: int, text: str) -> np.ndarray:
+            if node not in last or last[node][0] != text:
+                if len(last) > 64:
+                    last.clear()
+                last[node] = (text, grams(text))
+            return last[node][1]
+
+        for batch in batches:
+            keep = []
+            for a, b, text_a, text_b in zip(batch.a, batch.b, batch.text_a, batch.text_b):
+                x, y = found(a, text_a), found(b, text_b)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common * (100 + percent) >= percent * (len(x) + len(y)) and common > 0)
+            yield batch.loc[keep, ["a", "b"]]
+
+    both = pairs.join(own.toDF("a", "text_a"), "a").join(own.toDF("b", "text_b"), "b")
+    return both.mapInPandas(check, "a long, b long").distinct()
+
+
 def linked_components(
     members: DataFrame, verify: Verify, facts: list[str] | None = None, star: str = "true", pair: str = "true"
 ) -> DataFrame:
@@ -82,7 +116,7 @@ def linked_components(
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
-    lot = F.xxhash64("bucket", "node")
+    lot = F.xxhash64(F.pmod("bucket", F.lit(CENTRES)), "node")
     centres = members.groupBy("bucket").agg(F.min_by(F.struct("node", *facts), lot).alias("_c")).select("bucket", "_c.*")
     stars = sided(members, "x").join(sided(centres, "y"), "bucket").where(f"node_x <> node_y and ({star})")
     links = stored(verify(ordered(stars)).select("a", "b"), "links")

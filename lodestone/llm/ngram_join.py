@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
-from lodestone.llm.links import linked_components, only
+from lodestone.llm.links import compared, linked_components
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -181,17 +181,8 @@ def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY)
         )
         kept = stored(kept, "pairs")
 
-        def sets(batches):
-            for batch in batches:
-                found = [shingle_set(text, n).view(np.int64) for text in batch.text]
-                yield pd.DataFrame({"node": batch.doc_id, "grams": found})
-
-        grams = only(docs, "doc_id", kept).mapInPandas(sets, "node long, grams array<long>")
-        grams = stored(grams, "sets")
-        both = kept.join(grams.toDF("a", "set_a"), "a").join(grams.toDF("b", "set_b"), "b")
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        linked = common * (100 + percent) >= percent * (F.size("set_a") + F.size("set_b"))
-        return both.where(linked).select("a", "b").distinct()
+        texts = docs.select(F.col("doc_id").alias("node"), "text")
+        return compared(texts, kept, lambda text: shingle_set(text, n), percent)
 
     most_before = "least(at_x, at_y) + 1 + least(n_x - at_x, n_y - at_y) - 1"
     first_common = "least(n_x - at_x, n_y - at_y)"
