@@ -163,15 +163,22 @@ def parse_query(raw: Column) -> Column:
     )
 
 
+def _beside(content: Column, values: Column) -> Column:
+    """Each value with the lower-cased content beside it.
+
+    The lambdas below then use nothing but their own variable: a lambda over an outer column may be
+    moved below a join, where that column does not exist.
+    """
+    return F.arrays_zip(values.alias("value"), F.array_repeat(F.lower(content), F.size(values)).alias("low"))
+
+
 def has_all_phrases(content: Column, phrases: Column) -> Column:
     """Every phrase is a case-insensitive substring (true for an empty list)."""
-    low = F.lower(content)
-    return F.forall(phrases, lambda p: F.contains(low, F.lower(p)))
+    return F.forall(_beside(content, phrases), lambda z: F.contains(z["low"], F.lower(z["value"])))
 
 
 def has_any_term(content: Column, terms: Column) -> Column:
-    low = F.lower(content)
-    return F.exists(terms, lambda t: F.contains(low, t))
+    return F.exists(_beside(content, terms), lambda z: F.contains(z["low"], z["value"]))
 
 
 def highlight_words(query: Column) -> Column:

@@ -14,6 +14,7 @@ from lodestone.functions import dates
 from lodestone.functions.text import strip
 from lodestone.operators.ranking import first_per
 from lodestone.schemas import DECISION_MATCH
+from lodestone.session import scratch_path
 
 # Name, pattern, confidence and type of decision phrases, most explicit first.
 DECISION_PATTERNS = [
@@ -72,7 +73,6 @@ DECISION_TYPES = [
 MIN_DECISION_CHARS = 10
 MIN_REJECTED_CHARS = 5
 CONTEXT_CHARS = 100
-CHAIN_LIMIT = 10
 
 
 def decision_type(text: Column) -> Column:
@@ -260,14 +260,17 @@ def supersede(decisions: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def supersession_chain(decisions: DataFrame, *, max_depth: int = CHAIN_LIMIT) -> DataFrame:
+def supersession_chain(decisions: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """root_id, position, decision_id along superseded_by, for every decision as a root.
 
-    Follows at most ``max_depth`` rows and stops at a cycle or a missing decision. Each step is one
-    left join of the open paths with the same (id, next) table, whose shuffle is reused; ids are
-    unique there, so a decision many others point to is a skewed left side that AQE can split. Only
-    ids travel; a path is a short array in its root's row.
+    A chain stops at a cycle or a missing decision. By default it is followed to its end: every open
+    path is extended by the path of the decision it points to, so paths double in length per step. With
+    ``max_depth`` rows at most, each step is one left join with the same (id, next) table, whose
+    shuffle is reused. Ids are unique there, so a decision many others point to is a skewed left side
+    that AQE can split. Only ids travel; a path is a short array in its root's row.
     """
+    if max_depth is None:
+        return _whole_chains(decisions)
     links = decisions.select(F.col("decision_id").alias("_id"), F.col("superseded_by").alias("_to"))
     paths = decisions.select(
         F.col("decision_id").alias("root_id"),
@@ -286,7 +289,33 @@ def supersession_chain(decisions: DataFrame, *, max_depth: int = CHAIN_LIMIT) ->
     return paths.select("root_id", F.posexplode("_path").alias("position", "decision_id"))
 
 
-def decision_history(decisions: DataFrame, *, max_depth: int = CHAIN_LIMIT) -> DataFrame:
+def _whole_chains(decisions: DataFrame) -> DataFrame:
+    spark = decisions.sparkSession
+    paths = decisions.select(
+        F.col("decision_id").alias("root_id"),
+        F.array("decision_id").alias("_path"),
+        F.col("superseded_by").alias("_next"),
+    )
+    while not paths.where("_next is not null").isEmpty():
+        after = paths.select(F.col("root_id").alias("_id"), F.col("_path").alias("_more"), F.col("_next").alias("_to"))
+        # Finished paths have no next id; a key of their own keeps them from meeting in one partition.
+        key = F.coalesce("_next", -1 - F.col("root_id"))
+        joined = paths.join(after, (key == F.col("_id")) & F.col("_next").isNotNull(), "left")
+        # where the further path comes back to this one
+        back = F.array_position(F.transform(F.arrays_zip("_more", F.array_repeat("_path", F.size("_more")).alias("_own")), lambda z: F.array_contains(z["_own"], z["_more"])), True)
+        cut = F.when(back > 0, F.slice("_more", F.lit(1), (back - 1).cast("int"))).otherwise(F.col("_more"))
+        paths = joined.select(
+            "root_id",
+            F.when(F.col("_more").isNull(), F.col("_path")).otherwise(F.concat("_path", cut)).alias("_path"),
+            F.when((back > 0) | F.col("_more").isNull(), F.lit(None)).otherwise(F.col("_to")).alias("_next"),
+        )
+        folder = scratch_path(spark, "chains")
+        paths.write.parquet(folder)
+        paths = spark.read.schema(paths.schema).parquet(folder)
+    return paths.select("root_id", F.posexplode("_path").alias("position", "decision_id"))
+
+
+def decision_history(decisions: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """decision_id, relation (predecessor or successor), other_id, distance.
 
     Every decision has at most one successor, so the forward chains hold the predecessors too:

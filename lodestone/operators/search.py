@@ -255,6 +255,15 @@ def prepare_queries(
     return parsed.withColumn("query_text", scored)
 
 
+def _scoped(queries: DataFrame, projects: list[str] | None) -> DataFrame:
+    """``queries`` with the projects asked for in a call, where a query names none in its own column."""
+    if projects is None:
+        return queries
+    given = F.array(*[F.lit(p) for p in projects]).cast("array<string>")
+    own = F.col("projects") if "projects" in queries.columns else F.lit(None).cast("array<string>")
+    return queries.withColumn("projects", F.coalesce(own, given))
+
+
 def chunk_statuses(decisions: DataFrame) -> DataFrame:
     """chunk_id and the set of statuses its decisions have (a handful of values)."""
     return decisions.groupBy("chunk_id").agg(F.collect_set("status").alias("statuses"))
@@ -318,7 +327,7 @@ def hybrid_search(
     now,
     k: int = 5,
     config: ScoringConfig | None = None,
-    mode: str = "candidate",
+    mode: str = "exhaustive",
     decisions: DataFrame | None = None,
     raw_text_scoring: bool = False,
     encoder=None,
@@ -331,11 +340,12 @@ def hybrid_search(
 ) -> DataFrame:
     """Vector candidates re-ranked with keywords, recency and metadata boosts.
 
-    ``mode='candidate'`` filters phrases, exclusions and decision status after the fetch limit, so
-    fewer than k rows may come back; ``'exhaustive'`` filters first.
+    ``mode='exhaustive'`` filters phrases, exclusions and decision status before the fetch limit;
+    ``'candidate'`` filters them afterwards, so fewer than k rows may come back. ``projects`` and a
+    query's own ``project:`` form one scope, in which either suffices.
     """
+    queries = _scoped(queries, projects)
     filters = dict(
-        projects=projects,
         source_types=source_types,
         date_after=date_after,
         date_before=date_before,
@@ -358,13 +368,15 @@ def vector_only_search(
     queries: DataFrame,
     *,
     k: int = 5,
-    mode: str = "candidate",
+    mode: str = "exhaustive",
     decisions: DataFrame | None = None,
     encoder=None,
     dimension: int | None = None,
+    projects: list[str] | None = None,
     **filters,
 ) -> DataFrame:
     """The same retrieval ranked by max(0, 1 - distance) alone."""
+    queries = _scoped(queries, projects)
     asked = prepare_queries(queries, encoder=encoder, dimension=dimension)
     rows = _candidates(
         chunks, embeddings, asked, decisions, k=k, multiplier=1, mode=mode, filters=filters

@@ -88,14 +88,20 @@ def first_relevant_rank(expected: DataFrame, retrieved: DataFrame) -> DataFrame:
     return _hits(expected, retrieved).groupBy("id").agg(F.min("rank").alias("first_rank"))
 
 
-def average_precision(expected: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Sum of precision at every hit over the number of expected chunks; 0 without hits."""
+def average_precision(expected: DataFrame, retrieved: DataFrame, golden: DataFrame | None = None) -> DataFrame:
+    """Sum of precision at every hit over the number of expected chunks; 0 without hits.
+
+    With ``golden``, its queries that expect nothing are listed too, with 1.
+    """
     running = running_total(_hits(expected, retrieved), ["id"], "rank", F.lit(1), "found")
     sums = running.groupBy("id").agg(F.sum(F.col("found") / F.col("rank")).alias("_sum"))
     sizes = expected.groupBy("id").agg(F.count("*").alias("_size"))
-    return sizes.join(sums, "id", "left").select(
+    scored = sizes.join(sums, "id", "left").select(
         "id", (F.coalesce("_sum", F.lit(0.0)) / F.col("_size")).alias("average_precision")
     )
+    if golden is None:
+        return scored
+    return golden.select("id").distinct().join(scored, "id", "left").na.fill(1.0, ["average_precision"])
 
 
 def f1(precision: Column, recall: Column) -> Column:

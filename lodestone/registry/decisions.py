@@ -222,7 +222,7 @@ def supersede(spark, sf):
 CHAIN_SQL = """
     WITH RECURSIVE ch AS (SELECT decision_id AS root_id, 0 AS position, decision_id FROM decided
       UNION ALL SELECT root_id, position + 1, d.superseded_by FROM ch JOIN decided d USING (decision_id)
-      WHERE d.superseded_by IS NOT NULL AND position < 9)"""
+      WHERE d.superseded_by IS NOT NULL)"""
 
 
 def _recursive(sql: str) -> str:

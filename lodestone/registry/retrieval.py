@@ -278,6 +278,7 @@ def hybrid_results(spark, sf, k=5):
         now=NOW,
         k=k,
         config=search.ScoringConfig(recency=True),
+        mode="candidate",
     )
 
 
@@ -297,4 +298,4 @@ def vector_only_search(spark, sf):
 
 
 def vector_only_results(spark, sf, k=5):
-    return search.vector_only_search(docs(spark, sf), vecs(spark, sf), asked(spark, sf).drop("text"), k=k)
+    return search.vector_only_search(docs(spark, sf), vecs(spark, sf), asked(spark, sf).drop("text"), k=k, mode="candidate")

@@ -229,8 +229,8 @@ def test_chain_stops_at_cycle_and_missing(spark):
 
 def test_chain_depth(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(30)], "decision_id long, superseded_by long")
-    got = decisions.supersession_chain(df).where("root_id = 0").count()
-    assert got == 10
+    assert decisions.supersession_chain(df).where("root_id = 0").count() == 30
+    assert decisions.supersession_chain(df, max_depth=10).where("root_id = 0").count() == 10
 
 
 LINT = [
