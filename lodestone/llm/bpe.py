@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.token_counts import apart, stretches
 
 #: Entries of a worker's caches, and the longest piece that is kept there.
-CACHE_SIZE = 300_000
+CACHE_SIZE = 600_000
 LONGEST_KEPT = 64
 
 _WORKER: dict = {}
@@ -46,9 +46,8 @@ class RankQueue:
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
+        if rank in self.buckets:
+            heappush(self.buckets[rank], position)
             return
         self.buckets[rank] = [position]
         word = rank >> 6
@@ -91,15 +90,16 @@ class Codec:
         if whole is not None:
             return [whole]
         rank_of, queue, n = self.ranks.get, self.queue, len(data)
+        push, pop = queue.push, queue.pop
         symbols = [data[i : i + 1] for i in range(n)]
         following = list(range(1, n + 1))
         preceding = list(range(-1, n - 1))
         for i in range(n - 1):
             rank = rank_of(data[i : i + 2])
             if rank is not None:
-                queue.push(rank, i)
+                push(rank, i)
         while queue.top:
-            rank, i = queue.pop()
+            rank, i = pop()
             j = following[i]
             if symbols[i] is None or j >= n or rank_of(symbols[i] + symbols[j]) != rank:
                 continue
@@ -110,19 +110,18 @@ class Codec:
                 preceding[after] = i
                 fresh = rank_of(symbols[i] + symbols[after])
                 if fresh is not None:
-                    queue.push(fresh, i)
+                    push(fresh, i)
             before = preceding[i]
             if before >= 0:
                 fresh = rank_of(symbols[before] + symbols[i])
                 if fresh is not None:
-                    queue.push(fresh, before)
+                    push(fresh, before)
         return [self.ranks[s] for s in symbols if s is not None]
 
     def plain(self, text: str) -> bytes:
         """Packed ids of a text: little-endian, 32 bits each; every match of the pattern is encoded separately."""
         out = []
-        for match in self.split.finditer(text):
-            word = match.group()
+        for word in self.split.findall(text):
             ids = self.pretokens.get(word)
             if ids is None:
                 ids = array("I", self.pretoken(word.encode("utf-8"))).tobytes()
