@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding with a rank queue of hierarchical bitmaps.
 
 Every merge rank has a bucket of positions in a linked list of symbols. Three levels of 64-bit words mark the ranks
-whose bucket holds something, so the next rank is found by three find-first-set steps whatever the pre-token's
-length. Entries whose symbols have changed meanwhile are skipped when they come up. A very long pre-token costs a
-constant number of queue steps per byte, and no scan of the whole list per merge.
+whose bucket holds something, so the next rank is found by three find-first-set steps whatever the list's length.
+Entries whose symbols have changed meanwhile are skipped when they come up. A very long pre-token costs a constant
+number of queue steps per byte, and no scan of the whole list per merge.
+
+One list holds all new pre-tokens of a group of texts, with a barrier between them that no merge crosses. Merges of
+different pre-tokens don't depend on each other, so a whole bucket is worked off at a time.
 
 Defined results: null text is empty and has no tokens; repeated rows are encoded each; an empty table gives no rows;
 long texts are encoded in bounded stretches and their digests built up piece by piece.
@@ -14,8 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
-from heapq import heappop, heappush
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,10 @@ from lodestone.llm.token_counts import apart, stretches
 #: Entries of a worker's caches, and the longest piece that is kept there.
 CACHE_SIZE = 300_000
 LONGEST_KEPT = 64
+#: Characters of texts whose new pre-tokens are encoded together, and bytes of pre-tokens in one queue.
+GROUP = 1 << 21
+STEP = 1 << 18
+NO_RANK = -1
 
 _WORKER: dict = {}
 
@@ -36,7 +42,7 @@ def _lowest(word: int) -> int:
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the smallest rank, and of its positions the leftmost."""
+    """Positions by rank; ``pop`` gives the smallest rank and all its positions from left to right."""
 
     def __init__(self, ranks: int):
         words = (ranks >> 6) + 1
@@ -45,31 +51,26 @@ class RankQueue:
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def open(self, rank: int, positions: list[int]) -> None:
+        """Gives a rank that has no bucket one with these positions."""
+        self.buckets[rank] = positions
         word = rank >> 6
         self.low[word] |= 1 << (rank & 63)
         self.middle[word >> 6] |= 1 << (word & 63)
         self.top |= 1 << (word >> 6)
 
-    def pop(self) -> tuple[int, int]:
+    def pop(self) -> tuple[int, list[int]]:
         part = _lowest(self.top)
         word = part << 6 | _lowest(self.middle[part])
         rank = word << 6 | _lowest(self.low[word])
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= self.low[word] - 1
-            if not self.low[word]:
-                self.middle[part] &= self.middle[part] - 1
-                if not self.middle[part]:
-                    self.top &= self.top - 1
-        return rank, position
+        self.low[word] &= self.low[word] - 1
+        if not self.low[word]:
+            self.middle[part] &= self.middle[part] - 1
+            if not self.middle[part]:
+                self.top &= self.top - 1
+        positions = self.buckets.pop(rank)
+        positions.sort()
+        return rank, positions
 
 
 class Codec:
@@ -82,79 +83,172 @@ class Codec:
         self.split = regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.symbols = {i: b for b, i in ranks.items()}
+        self.bytes = [bytes([i]) for i in range(256)]
+        # longer than any symbol, so nothing merges with it
+        self.barrier = bytes(max(map(len, ranks), default=0) + 1)
+        self.first = np.full(256, NO_RANK, np.int64)
+        self.pairs = np.full(1 << 16, NO_RANK, np.int64)
+        for symbol, rank in ranks.items():
+            if len(symbol) == 1:
+                self.first[symbol[0]] = rank
+            elif len(symbol) == 2:
+                self.pairs[symbol[0] << 8 | symbol[1]] = rank
         self.pretokens: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def pretoken(self, data: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        rank_of, queue, n = self.ranks.get, self.queue, len(data)
-        symbols = [data[i : i + 1] for i in range(n)]
-        following = list(range(1, n + 1))
-        preceding = list(range(-1, n - 1))
-        for i in range(n - 1):
-            rank = rank_of(data[i : i + 2])
-            if rank is not None:
-                queue.push(rank, i)
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each pre-token, from one queue over all of them."""
+        data = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
+        bars = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+        barred = np.zeros(len(data), bool)
+        barred[bars] = True
+        symbols = list(map(self.bytes.__getitem__, data.tolist()))
+        for bar in bars.tolist():
+            symbols[bar] = self.barrier
+        ids = np.where(barred, NO_RANK, self.first[data]).tolist()
+        ranks = np.where(barred[:-1] | barred[1:], NO_RANK, self.pairs[data[:-1] << 8 | data[1:]])
+        at = np.flatnonzero(ranks != NO_RANK)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        if len(at):
+            borders = np.flatnonzero(np.diff(ranks[at])) + 1
+            for part in np.split(at, borders):
+                self.queue.open(int(ranks[part[0]]), part.tolist())
+        self._merge(symbols, ids)
+        kept = np.array(ids, np.int64)
+        live = kept != NO_RANK
+        ends = (np.cumsum(live) * 4)[bars].tolist()
+        packed = kept[live].astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _merge(self, symbols: list, ids: list[int]) -> None:
+        """Works the queue off; ids of symbols that went into others become NO_RANK."""
+        rank_of, queue = self.ranks.get, self.queue
+        buckets = queue.buckets
+        following = list(range(1, len(symbols) + 1))
+        preceding = list(range(-1, len(symbols) - 1))
         while queue.top:
-            rank, i = queue.pop()
-            j = following[i]
-            if symbols[i] is None or j >= n or rank_of(symbols[i] + symbols[j]) != rank:
-                continue
-            symbols[i] += symbols[j]
-            symbols[j] = None
-            after = following[i] = following[j]
-            if after < n:
+            rank, positions = queue.pop()
+            whole = self.symbols[rank]
+            for turn, i in enumerate(positions):
+                symbol = symbols[i]
+                if symbol is None:
+                    continue
+                j = following[i]
+                if symbol + symbols[j] != whole:
+                    continue
+                symbols[i], symbols[j] = whole, None
+                ids[i], ids[j] = rank, NO_RANK
+                after = following[i] = following[j]
                 preceding[after] = i
-                fresh = rank_of(symbols[i] + symbols[after])
-                if fresh is not None:
-                    queue.push(fresh, i)
-            before = preceding[i]
-            if before >= 0:
-                fresh = rank_of(symbols[before] + symbols[i])
-                if fresh is not None:
-                    queue.push(fresh, before)
-        return [self.ranks[s] for s in symbols if s is not None]
-
-    def plain(self, text: str) -> bytes:
-        """Packed ids of a text: little-endian, 32 bits each; every match of the pattern is encoded separately."""
-        out = []
-        for match in self.split.finditer(text):
-            word = match.group()
-            ids = self.pretokens.get(word)
-            if ids is None:
-                ids = array("I", self.pretoken(word.encode("utf-8"))).tobytes()
-                if len(word) <= LONGEST_KEPT:
-                    if len(self.pretokens) > CACHE_SIZE:
-                        self.pretokens.clear()
-                    self.pretokens[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """As ``plain``, by way of pieces cut before single spaces, which are looked up first."""
-        first, *rest = text.split(" ")
-        found = list(map(self.pieces.get, rest))
-        if None in found:
-            missing = {p for p, ids in zip(rest, found) if ids is None}
-            if not apart(first, missing):
-                return self.plain(text)
-            fresh = {p: self.plain(" " + p) for p in missing}
-            found = [fresh[p] if ids is None else ids for p, ids in zip(rest, found)]
-            if len(self.pieces) > CACHE_SIZE:
-                self.pieces.clear()
-            self.pieces.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST_KEPT)
-        elif first[-1:].isspace():
-            return self.plain(text)
-        return self.plain(first) + b"".join(found)
+                before = preceding[i]
+                lowest = rank
+                right = rank_of(whole + symbols[after])
+                if right is not None:
+                    if right in buckets:
+                        buckets[right].append(i)
+                    else:
+                        queue.open(right, [i])
+                    if right < lowest:
+                        lowest = right
+                left = rank_of(symbols[before] + whole)
+                if left is not None:
+                    if left in buckets:
+                        buckets[left].append(before)
+                    else:
+                        queue.open(left, [before])
+                    if left < lowest:
+                        lowest = left
+                if lowest < rank and turn + 1 < len(positions):
+                    # a smaller rank comes first; a new symbol is longer than this one, so this rank has no bucket
+                    queue.open(rank, positions[turn + 1 :])
+                    break
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of pre-tokens that no cache holds."""
+        known, todo = {}, []
+        for word in words:
+            data = word.encode("utf-8")
+            rank = self.ranks.get(data)
+            if rank is None:
+                todo.append((word, data))
+            else:
+                known[word] = rank.to_bytes(4, "little")
+        for step in _steps(todo):
+            known.update(zip((w for w, _ in step), self.merged([d for _, d in step])))
+        return known
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text: little-endian, 32 bits each; every match of the pattern is encoded separately.
+
+        Texts go by way of pieces cut before single spaces, which are looked up first. Texts with other white space
+        next to such a space, or at the ends of pieces, are matched whole.
+        """
+        if len(self.pieces) > CACHE_SIZE:
+            self.pieces.clear()
+        if len(self.pretokens) > CACHE_SIZE:
+            self.pretokens.clear()
+        cut, missing, whole = [], set(), {}
+        for text in texts:
+            first, *rest = text.split(" ")
+            strange = {p for p in rest if p not in self.pieces}
+            if apart(first, strange):
+                missing |= strange
+                cut.append((first, rest))
+                whole.setdefault(first)
+            else:
+                cut.append((text, []))
+                whole.setdefault(text)
+        split = self.split.finditer
+        matches = {p: [m.group() for m in split(" " + p)] for p in missing}
+        heads = {t: [m.group() for m in split(t)] for t in whole}
+        wanted = {w for words in matches.values() for w in words}
+        wanted.update(w for words in heads.values() for w in words)
+        wanted.difference_update(self.pretokens)
+        fresh = self._words(wanted)
+        self.pretokens.update(fresh)
+        ids_of = self.pretokens.__getitem__
+        self.pieces.update((p, b"".join(map(ids_of, words))) for p, words in matches.items())
+        of_heads = {t: b"".join(map(ids_of, words)) for t, words in heads.items()}
+        out = [of_heads[first] + b"".join(map(self.pieces.__getitem__, rest)) for first, rest in cut]
+        # very long ones aren't kept beyond their group
+        for kept, new in ((self.pretokens, fresh), (self.pieces, matches)):
+            for word in new:
+                if len(word) > LONGEST_KEPT:
+                    del kept[word]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of packed ids."""
         return b"".join(map(self.symbols.__getitem__, array("I", ids)))
 
 
+def _steps(todo: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+    """The pre-tokens in steps of about STEP bytes; one that is longer makes a step of its own."""
+    step, size = [], 0
+    for word, data in todo:
+        if step and size + len(data) > STEP:
+            yield step
+            step, size = [], 0
+        step.append((word, data))
+        size += len(data)
+    if step:
+        yield step
+
+
+def _groups(texts: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
+    """(place of the text, stretch) in groups of about GROUP characters."""
+    group, size = [], 0
+    for place, text in enumerate(texts):
+        for part in stretches(text or ""):
+            group.append((place, part))
+            size += len(part)
+            if size > GROUP:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def codec(content: bytes, pattern: str) -> Codec:
     """The worker's codec for the content of a rank file: lines of base64 bytes and rank."""
     if _WORKER.get("of") != (content, pattern):
@@ -176,18 +270,18 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(*shared.value)
         for texts in batches:
-            rows = []
-            for text in texts:
-                n, packed, decoded, kept = 0, hashlib.sha256(), hashlib.sha256(), []
-                for part in stretches(text or ""):
-                    ids = own.encode(part)
-                    n += len(ids) // 4
-                    packed.update(ids)
-                    decoded.update(own.decode(ids))
+            states = [[0, hashlib.sha256(), hashlib.sha256(), []] for _ in range(len(texts))]
+            for group in _groups(texts):
+                for (place, _), ids in zip(group, own.encode_all([part for _, part in group])):
+                    state = states[place]
+                    state[0] += len(ids) // 4
+                    state[1].update(ids)
+                    state[2].update(own.decode(ids))
                     if with_ids:
-                        kept.append(np.frombuffer(ids, "<i4"))
-                row = [n, packed.hexdigest(), decoded.hexdigest()]
-                rows.append([*row, np.concatenate(kept)] if with_ids else row)
+                        state[3].append(np.frombuffer(ids, "<i4"))
+            rows = [[n, packed.hexdigest(), decoded.hexdigest()] for n, packed, decoded, _ in states]
+            if with_ids:
+                rows = [[*row, np.concatenate(state[3])] for row, state in zip(rows, states)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + with_ids])
 
     return docs.select("doc_id", run("text").alias("_r")).select("doc_id", "_r.*")
