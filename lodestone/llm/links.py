@@ -31,16 +31,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (a, b); root is the smallest node of the component.
 
     Distributed union-find: per round every node hooks to its neighbour of lowest lot, if that is lower than its
-    own, and the edges are drawn anew between the hooks. Lots change per round, so chains shorten by a constant
-    factor on average, and the tables of edges shrink until none is left.
+    own, and the edges are drawn anew between the hooks. Lots are hashes, so they fall alike whatever the order of
+    ids; a node keeps its lot, so a star of any size takes two rounds, and chains shorten by a constant factor on
+    average. The node of highest lot in a component always goes, so the tables of edges shrink until none is left.
     """
     hooks: list[DataFrame] = []
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while not edges.isEmpty():
-        lot = F.xxhash64(F.lit(len(hooks)), F.col("other"))
+        lot = F.xxhash64("other")
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
         best = both.groupBy("node").agg(F.min(F.struct(lot.alias("lot"), F.col("other"))).alias("best"))
-        lower = F.col("best.lot") < F.xxhash64(F.lit(len(hooks)), F.col("node"))
+        lower = F.col("best.lot") < F.xxhash64("node")
         hook = stored(
             best.select("node", F.when(lower, F.col("best.other")).otherwise(F.col("node")).alias("hook")), "hooks"
         )
