@@ -24,6 +24,9 @@ BROADCAST_IDS = 2_000_000
 #: Ways in which lots fall: a group of nodes that share all their buckets has so many centres.
 CENTRES = 3
 
+#: Hashes and characters of the texts that a task remembers while it compares pairs.
+REMEMBERED = 2_000_000
+
 Verify = Callable[[DataFrame], DataFrame]
 
 
@@ -71,18 +74,23 @@ def compared(texts: DataFrame, pairs: DataFrame, grams, percent: int) -> DataFra
     """Those of the ``pairs`` (a, b) whose sets are similar: percent hundredths of their union is common to both.
 
     ``texts`` (node, text) are joined to the pairs, and ``grams`` makes a text's sorted set of hashes in the task:
-    texts are a fraction of the size of their sets. The sets last made are remembered, as a centre is in many pairs.
+    texts are a fraction of the size of their sets. The sets last made are remembered up to a
+    bounded size, as a text may be in many pairs.
     """
     own = stored(only(texts, "node", pairs).distinct(), "texts")
 
     def check(batches):
         last: dict[int, tuple[str, np.ndarray]] = {}
+        elements = 0
 
         def found(node: int, text: str) -> np.ndarray:
+            nonlocal elements
             if node not in last or last[node][0] != text:
-                if len(last) > 64:
+                if elements > REMEMBERED:
                     last.clear()
+                    elements = 0
                 last[node] = (text, grams(text))
+                elements += len(last[node][1]) + len(text)
             return last[node][1]
 
         for batch in batches:
