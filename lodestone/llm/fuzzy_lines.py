@@ -4,6 +4,9 @@ A line's signature has one minimum per class of a hash of its character shingles
 by further rounds with other hash functions, so short lines have signatures of full quality too. Lines that agree in
 any band of the signature are candidates; those of a true shingle similarity of at least ``percent`` hundredths are
 linked (see ``links``), and of each component of lines only the first occurrence is kept, by doc_id, then by place.
+Lines of one frame share bands without being similar enough. Where a band still holds several components after the
+first comparisons, its lines are compared only if they share one of their rarest shingles: of two lines similar
+enough, the first fifth of each in a common rare-first order has one in common, so no candidate link is lost.
 With 12 bands of 5, a pair of similarity 0.8 becomes a candidate with probability 0.99, one of 0.9 with 0.9999.
 
 Lines are compared without white space at their ends and in lower case. Lines shorter than ``min_chars`` are kept:
@@ -23,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import let, stored
-from lodestone.llm.links import compared, linked_components
-from lodestone.llm.ngram_join import mixed
+from lodestone.llm.links import compared, first_common, linked_components, only
+from lodestone.llm.ngram_join import heavy_classes, mixed, rarest
 
 SHINGLE = 8
 PERCENT = 80
@@ -35,6 +38,8 @@ MIN_CHARS = 24
 REMEMBERED = 500_000
 #: Characters signed at a time.
 STEP = 1 << 16
+#: Hash classes in which shingles of lines that share a band are counted, to know the rare ones.
+CLASSES = 1 << 20
 
 _random = np.random.default_rng(20240229)
 _SEEDS = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -61,6 +66,10 @@ def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[inside], owner[: len(h)][inside]
 
 
+def line_set(line: str) -> np.ndarray:
+    return np.unique(line_shingles([line])[0])
+
+
 def signatures(lines: list[str], size: int) -> np.ndarray:
     """One row of ``size`` minima per line; each line has at least one shingle."""
     hashes, owner = line_shingles(lines)
@@ -124,12 +133,26 @@ def line_components(lines: DataFrame, percent: int, bands: int = BANDS, rows: in
 
     members = stored(lines.select("node", "line").mapInPandas(sign, "bucket long, node long"), "bands")
 
+    texts = lines.select("node", F.col("line").alias("text"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        texts = lines.select("node", F.col("line").alias("text"))
-        return compared(texts, pairs, lambda text: np.unique(line_shingles([text])[0]), percent)
+        return compared(texts, stored(pairs, "pairs"), line_set, percent)
+
+    def by_rare_shingles(nodes: DataFrame) -> DataFrame:
+        nonlocal texts
+        texts = only(texts, nodes)
+        frequency = lines.sparkSession.sparkContext.broadcast(heavy_classes(texts, line_set, CLASSES, 0))
+
+        def rare(batches):
+            for batch in batches:
+                found = [line_set(text) for text in batch.text]
+                first = [rarest(x, frequency.value, percent).view(np.int64) for x in found]
+                yield pd.DataFrame({"node": batch.node, "n": [len(x) for x in found], "prefix": first})
+
+        placed = texts.mapInPandas(rare, "node long, n long, prefix array<long>")
+        return stored(placed.select("node", "n", F.posexplode("prefix").alias("at", "bucket")), "rare")
 
-    return linked_components(members, verify)
+    return linked_components(members, verify, pair=first_common(percent), finer=by_rare_shingles)
 
 
 def dedup_lines(

@@ -6,6 +6,9 @@ lot as its centre, and every node is compared with the centres of its buckets: a
 links found join most groups. Then only pairs of a bucket whose nodes lie in different components are compared: all
 nodes outside the bucket's most frequent component with all others. Every pair that shares a bucket is thus either
 compared or known to lie in one component, so the components are those of all links.
+
+Buckets that say little of similarity can hold many nodes that do not link. The second step may then deal the nodes
+of mixed buckets into finer buckets, of which any two that link share one.
 """
 
 from __future__ import annotations
@@ -30,6 +33,17 @@ REMEMBERED = 2_000_000
 Verify = Callable[[DataFrame], DataFrame]
 
 
+def shortest_overlap(percent: int, a: str = "na", b: str = "nb") -> str:
+    """SQL of the smallest intersection of sets of ``a`` and ``b`` elements that links them."""
+    return f"cast(ceil({percent} * ({a} + {b}) / {100 + percent}) as long)"
+
+
+def first_common(percent: int) -> str:
+    """SQL that any linked pair meets in its first common element in one order of all: n elements, this one at ``at``."""
+    least = shortest_overlap(percent, "n_x", "n_y")
+    return f"least(n_x, n_y) >= {least} and least(n_x - at_x, n_y - at_y) >= {least}"
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (a, b); root is the smallest node of the component.
 
@@ -64,10 +78,10 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(label.join(roots, "label").select("node", "root"), "components")
 
 
-def only(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is one of the nodes of ``pairs`` (a, b)."""
-    wanted = stored(pairs.select(F.col("a").alias(column)).union(pairs.select("b")).distinct(), "wanted")
-    return df.join(broadcast_checked(wanted, BROADCAST_IDS), column, "left_semi")
+def only(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The different rows of ``texts`` whose node is one of ``nodes`` (node)."""
+    wanted = stored(nodes.distinct(), "wanted")
+    return stored(texts.join(broadcast_checked(wanted, BROADCAST_IDS), "node", "left_semi").distinct(), "texts")
 
 
 def compared(texts: DataFrame, pairs: DataFrame, grams, percent: int) -> DataFrame:
@@ -77,7 +91,7 @@ def compared(texts: DataFrame, pairs: DataFrame, grams, percent: int) -> DataFra
     texts are a fraction of the size of their sets. The sets last made are remembered up to a
     bounded size, as a text may be in many pairs.
     """
-    own = stored(only(texts, "node", pairs).distinct(), "texts")
+    own = only(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
 
     def check(batches):
         last: dict[int, tuple[str, np.ndarray]] = {}
@@ -106,7 +120,12 @@ def compared(texts: DataFrame, pairs: DataFrame, grams, percent: int) -> DataFra
 
 
 def linked_components(
-    members: DataFrame, verify: Verify, facts: list[str] | None = None, star: str = "true", pair: str = "true"
+    members: DataFrame,
+    verify: Verify,
+    facts: list[str] | None = None,
+    star: str = "true",
+    pair: str = "true",
+    finer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, root) of the nodes that link to any other. ``verify`` keeps those of the pairs (a, b) that link.
 
@@ -119,8 +138,8 @@ def linked_components(
     members = members.join(broadcast_checked(shared, BROADCAST_IDS), "bucket")
     members = stored(members.select("bucket", "node", *facts), "members")
 
-    def sided(df: DataFrame, side: str, *more: str) -> DataFrame:
-        return df.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", *facts, *more)])
+    def sided(df: DataFrame, side: str) -> DataFrame:
+        return df.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "bucket"])
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
@@ -131,16 +150,21 @@ def linked_components(
     links = stored(verify(ordered(stars)).select("a", "b"), "links")
     known = components(links)
 
-    labelled = members.join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
-    labelled = stored(labelled.join(mixed.where("_low <> _high").select("bucket"), "bucket"), "labelled")
+    def of_mixed(members: DataFrame) -> DataFrame:
+        labelled = members.join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+        return stored(labelled.join(mixed.where("_low <> _high").select("bucket"), "bucket"), "labelled")
+
+    labelled = of_mixed(members)
+    if finer:
+        labelled = of_mixed(finer(labelled.select("node")))
     most = (
         labelled.groupBy("bucket", "label")
         .count()
         .groupBy("bucket")
         .agg(F.max_by("label", F.struct("count", "label")).alias("most"))
     )
-    rest = sided(labelled.join(most, "bucket").where("label <> most"), "x", "label")
-    pairs = rest.join(sided(labelled, "y", "label"), "bucket").where(f"label_x <> label_y and ({pair})")
+    rest = sided(labelled.join(most, "bucket").where("label <> most").drop("most"), "x")
+    pairs = rest.join(sided(labelled, "y"), "bucket").where(f"label_x <> label_y and ({pair})")
     more = stored(verify(ordered(pairs)).select("a", "b"), "links")
     return known if more.isEmpty() else components(links.union(more))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
-from lodestone.llm.links import compared, linked_components
+from lodestone.llm.links import compared, first_common, linked_components, shortest_overlap
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -103,19 +103,17 @@ def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(mixed(sums)) if many else sums
 
 
-def _shortest_overlap(percent: int) -> str:
-    """SQL of the smallest intersection of sets of na and nb elements that links them."""
-    return f"cast(ceil({percent} * (na + nb) / {100 + percent}) as long)"
+def heavy_classes(texts: DataFrame, grams, classes: int = CLASSES, least: int = 3) -> np.ndarray:
+    """Counts of hash classes of the ``grams`` of all ``texts`` (text), where a task found a class well above its mean.
 
-
-def heavy_classes(docs: DataFrame, n: int, classes: int = CLASSES) -> np.ndarray:
-    """Counts of n-gram hash classes over all documents, where a task found a class well above its mean."""
+    A class found at most ``least`` times in a task is none of these.
+    """
 
     def count(batches):
         table, waiting, size = np.zeros(classes, np.int32), [], 0
         for batch in batches:
             for text in batch.text:
-                found = shingle_set(text, n) & np.uint64(classes - 1)
+                found = grams(text) & np.uint64(classes - 1)
                 waiting.append(found.astype(np.int64))
                 size += len(found)
                 if size > 4 * classes:
@@ -124,19 +122,27 @@ def heavy_classes(docs: DataFrame, n: int, classes: int = CLASSES) -> np.ndarray
         if waiting:
             table += np.bincount(np.concatenate(waiting), minlength=classes).astype(np.int32)
         mean = table.sum() / classes
-        high = np.flatnonzero(table > 3 + mean + 4 * mean**0.5)
+        high = np.flatnonzero(table > least + mean + 4 * mean**0.5)
         yield pd.DataFrame({"class": high, "n": table[high]})
 
-    counted = docs.select("text").mapInPandas(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInPandas(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"))
     table = np.zeros(classes, np.int64)
     found = counted.toPandas()
     table[found["class"].to_numpy(np.int64)] = found["n"]
     return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
 
 
+def rarest(found: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest of the sorted hashes ``found``: so many that two similar sets have one in common."""
+    if not len(found):
+        return found
+    order = np.argsort(count[(found & np.uint64(len(count) - 1)).astype(np.int64)], kind="stable")
+    return found[order[: len(found) + percent * -len(found) // 100 + 1]]
+
+
 def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, digest, prefix, sketch) of every document."""
-    frequency = docs.sparkSession.sparkContext.broadcast(heavy_classes(docs, n))
+    frequency = docs.sparkSession.sparkContext.broadcast(heavy_classes(docs, lambda text: shingle_set(text, n)))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = frequency.value
@@ -145,9 +151,7 @@ def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for doc_id, text in zip(batch.doc_id, batch.text):
                 found = shingle_set(text, n)
                 size = len(found)
-                often = count[(found & np.uint64(CLASSES - 1)).astype(np.int64)]
-                order = np.argsort(often, kind="stable")
-                prefix = found[order[: size + percent * -size // 100 + 1]] if size else found
+                prefix = rarest(found, count, percent)
                 bits = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
                 sketch = np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest() if size else None
@@ -175,8 +179,8 @@ def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY)
         kept = (
             pairs.join(fact_a, "a")
             .join(fact_b, "b")
-            .where(f"least(na, nb) >= {_shortest_overlap(percent)}")
-            .where(f"{differ} <= na + nb - 2 * {_shortest_overlap(percent)}")
+            .where(f"least(na, nb) >= {shortest_overlap(percent)}")
+            .where(f"{differ} <= na + nb - 2 * {shortest_overlap(percent)}")
             .select("a", "b")
         )
         kept = stored(kept, "pairs")
@@ -185,12 +189,9 @@ def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY)
         return compared(texts, kept, lambda text: shingle_set(text, n), percent)
 
     most_before = "least(at_x, at_y) + 1 + least(n_x - at_x, n_y - at_y) - 1"
-    first_common = "least(n_x - at_x, n_y - at_y)"
-    least = _shortest_overlap(percent).replace("na", "n_x").replace("nb", "n_y")
-    sizes = f"least(n_x, n_y) >= {least}"
-    linked = linked_components(
-        placed, verify, ["n", "at"], f"{sizes} and {most_before} >= {least}", f"{sizes} and {first_common} >= {least}"
-    )
+    least = shortest_overlap(percent, "n_x", "n_y")
+    star = f"least(n_x, n_y) >= {least} and {most_before} >= {least}"
+    linked = linked_components(placed, verify, ["n", "at"], star, first_common(percent))
     roots = first.join(linked, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     alone = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     by_row = described.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
