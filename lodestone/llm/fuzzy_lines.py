@@ -6,7 +6,8 @@ any band of the signature are candidates; those of a true shingle similarity of
 linked (see ``links``), and of each component of lines only the first occurrence is kept, by doc_id, then by place.
 Lines of one frame share bands without being similar enough. Where a band still holds several components after the
 first comparisons, its lines are compared only if they share one of their rarest shingles: of two lines similar
-enough, the first fifth of each in a common rare-first order has one in common, so no candidate link is lost.
+enough, the first fifth of each in a common rare-first order has one in common. Nor may sketches of their shingles
+differ in more places than similar lines can. Neither loses a candidate link.
 With 12 bands of 5, a pair of similarity 0.8 becomes a candidate with probability 0.99, one of 0.9 with 0.9999.
 
 Lines are compared without white space at their ends and in lower case. Lines shorter than ``min_chars`` are kept:
@@ -26,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import let, stored
-from lodestone.llm.links import compared, first_common, linked_components, only
-from lodestone.llm.ngram_join import heavy_classes, mixed, rarest
+from lodestone.llm.links import alike, compared, first_common, linked_components, only
+from lodestone.llm.ngram_join import heavy_classes, mixed, parities, rarest
 
 SHINGLE = 8
 PERCENT = 80
@@ -39,7 +40,7 @@ REMEMBERED = 500_000
 #: Characters signed at a time.
 STEP = 1 << 16
 #: Hash classes in which shingles of lines that share a band are counted, to know the rare ones.
-CLASSES = 1 << 20
+CLASSES = 1 << 21
 
 _random = np.random.default_rng(20240229)
 _SEEDS = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -67,7 +68,7 @@ def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_set(line: str) -> np.ndarray:
-    return np.unique(line_shingles([line])[0])
+    return np.unique(mixed(line_shingles([line])[0]))
 
 
 def signatures(lines: list[str], size: int) -> np.ndarray:
@@ -135,22 +136,33 @@ def line_components(lines: DataFrame, percent: int, bands: int = BANDS, rows: in
 
     texts = lines.select("node", F.col("line").alias("text"))
 
+    facts = None
+
     def verify(pairs: DataFrame) -> DataFrame:
-        return compared(texts, stored(pairs, "pairs"), line_set, percent)
+        kept = pairs if facts is None else alike(pairs, facts, percent)
+        return compared(texts, stored(kept, "pairs"), line_set, percent)
 
     def by_rare_shingles(nodes: DataFrame) -> DataFrame:
-        nonlocal texts
+        nonlocal texts, facts
         texts = only(texts, nodes)
         frequency = lines.sparkSession.sparkContext.broadcast(heavy_classes(texts, line_set, CLASSES, 0))
 
-        def rare(batches):
+        def describe(batches):
             for batch in batches:
-                found = [line_set(text) for text in batch.text]
-                first = [rarest(x, frequency.value, percent).view(np.int64) for x in found]
-                yield pd.DataFrame({"node": batch.node, "n": [len(x) for x in found], "prefix": first})
-
-        placed = texts.mapInPandas(rare, "node long, n long, prefix array<long>")
-        return stored(placed.select("node", "n", F.posexplode("prefix").alias("at", "bucket")), "rare")
+                sets = [line_set(text) for text in batch.text]
+                yield pd.DataFrame(
+                    {
+                        "node": batch.node,
+                        "n": [len(x) for x in sets],
+                        "sketch": [parities(x) for x in sets],
+                        "prefix": [rarest(x, frequency.value, percent).view(np.int64) for x in sets],
+                    }
+                )
+
+        described = texts.mapInPandas(describe, "node long, n long, sketch array<long>, prefix array<long>")
+        described = stored(described, "rare")
+        facts = described.select("node", "n", "sketch")
+        return described.select("node", "n", F.posexplode("prefix").alias("at", "bucket"))
 
     return linked_components(members, verify, pair=first_common(percent), finer=by_rare_shingles)
 

@@ -119,6 +119,22 @@ def compared(texts: DataFrame, pairs: DataFrame, grams, percent: int) -> DataFra
     return both.mapInPandas(check, "a long, b long").distinct()
 
 
+def alike(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) that may link by their ``facts`` (node, n, sketch).
+
+    A sketch has the parities of the counts of elements in hash classes: linked sets differ in few of them.
+    """
+    differ = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    least = shortest_overlap(percent)
+    return (
+        pairs.join(facts.toDF("a", "na", "sketch_a"), "a")
+        .join(facts.toDF("b", "nb", "sketch_b"), "b")
+        .where(f"least(na, nb) >= {least}")
+        .where(f"{differ} <= na + nb - 2 * {least}")
+        .select("a", "b")
+    )
+
+
 def linked_components(
     members: DataFrame,
     verify: Verify,

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
-from lodestone.llm.links import compared, first_common, linked_components, shortest_overlap
+from lodestone.llm.links import alike, compared, first_common, linked_components, shortest_overlap
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -140,6 +140,12 @@ def rarest(found: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
     return found[order[: len(found) + percent * -len(found) // 100 + 1]]
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """SKETCH words with a bit for each hash class: whether it holds an odd number of the hashes."""
+    bits = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
+    return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
+
+
 def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, digest, prefix, sketch) of every document."""
     frequency = docs.sparkSession.sparkContext.broadcast(heavy_classes(docs, lambda text: shingle_set(text, n)))
@@ -152,8 +158,7 @@ def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 found = shingle_set(text, n)
                 size = len(found)
                 prefix = rarest(found, count, percent)
-                bits = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
-                sketch = np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
+                sketch = parities(found)
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest() if size else None
                 rows.append((doc_id, size, digest, prefix.view(np.int64), sketch))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "prefix", "sketch"])
@@ -174,17 +179,7 @@ def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY)
     facts = own.select("node", F.col("n_shingles").alias("n"), "sketch")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        fact_a, fact_b = facts.toDF("a", "na", "sketch_a"), facts.toDF("b", "nb", "sketch_b")
-        differ = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-        kept = (
-            pairs.join(fact_a, "a")
-            .join(fact_b, "b")
-            .where(f"least(na, nb) >= {shortest_overlap(percent)}")
-            .where(f"{differ} <= na + nb - 2 * {shortest_overlap(percent)}")
-            .select("a", "b")
-        )
-        kept = stored(kept, "pairs")
-
+        kept = stored(alike(pairs, facts, percent), "pairs")
         texts = docs.select(F.col("doc_id").alias("node"), "text")
         return compared(texts, kept, lambda text: shingle_set(text, n), percent)
 
