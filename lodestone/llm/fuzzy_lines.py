@@ -10,8 +10,8 @@ enough, the first fifth of each in a common rare-first order has one in common.
 differ in more places than similar lines can. Neither loses a candidate link.
 With 12 bands of 5, a pair of similarity 0.8 becomes a candidate with probability 0.99, one of 0.9 with 0.9999.
 
-Lines are compared without white space at their ends and in lower case. Lines shorter than ``min_chars`` are kept:
-they repeat by chance.
+Lines are compared without white space at their ends and in lower case. All lines take part but blank ones. Lines
+shorter than a shingle have no near copies, only exact ones: each class of equal lines is a component.
 
 Defined results: a null text stays null; null doc_ids come first; rows equal in doc_id and text are one document and
 keep the same lines; an empty table gives no rows; lines of any length are compared whole.
@@ -34,7 +34,6 @@ SHINGLE = 8
 PERCENT = 80
 BANDS = 12
 ROWS = 5
-MIN_CHARS = 24
 #: Lines a task remembers so as not to sign them twice.
 REMEMBERED = 500_000
 #: Characters signed at a time.
@@ -76,6 +75,7 @@ def signatures(lines: list[str], size: int) -> np.ndarray:
     hashes, owner = line_shingles(lines)
     out = np.full((len(lines), size), _FREE)
     flat = out.reshape(-1)
+    still, open_lines = np.arange(len(lines)), np.empty(len(lines), bool)
     for seed in _SEEDS:
         h = mixed(hashes ^ seed)
         # the low half names the class, the high half decides the minimum
@@ -83,14 +83,12 @@ def signatures(lines: list[str], size: int) -> np.ndarray:
         if seed != _SEEDS[0]:  # only classes that are still empty
             free = flat[place] == _FREE
             place, h = place[free], h[free]
-            fresh = np.full(len(flat), _FREE)
-            np.minimum.at(fresh, place, h)
-            np.minimum(flat, fresh, out=flat)
-        else:
-            np.minimum.at(flat, place, h)
-        open_lines = (out == _FREE).any(axis=1)
-        if not open_lines.any():
+        np.minimum.at(flat, place, h)
+        still = still[(out[still] == _FREE).any(axis=1)]
+        if not len(still):
             break
+        open_lines[:] = False
+        open_lines[still] = True
         todo = open_lines[owner]
         hashes, owner = hashes[todo], owner[todo]
     return out
@@ -167,19 +165,16 @@ def line_components(lines: DataFrame, percent: int, bands: int = BANDS, rows: in
     return linked_components(members, verify, pair=first_common(percent), finer=by_rare_shingles)
 
 
-def dedup_lines(
-    docs: DataFrame, percent: int = PERCENT, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with the text column cut down to its kept lines, and columns n_lines and n_removed.
 
     Other columns stay; n_chars, where there is one, is left as it was.
     """
-    min_chars = max(min_chars, SHINGLE)
     tie = F.xxhash64("text")
     lined = docs.select("doc_id", tie.alias("tie"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lined = lined.withColumn("line", normal(F.col("line"))).where(F.length("line") >= min_chars)
+    lined = lined.withColumn("line", normal(F.col("line"))).where(F.col("line") != "")
     lined = lined.withColumn("node", F.xxhash64("line"))
-    roots = line_components(lined, percent, bands, rows).select("node", "root")
+    roots = line_components(lined.where(F.length("line") >= SHINGLE), percent, bands, rows).select("node", "root")
     placed = lined.select("doc_id", "tie", "at", "node").join(roots, "node", "left")
     placed = placed.select("doc_id", "tie", "at", F.coalesce("root", "node").alias("class"))
     placed = stored(placed, "lines")
