@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than its whole job, against brute force."""
 
-from lodestone.llm import fuzzy_lines
+import textwrap
+
+from lodestone.llm import fuzzy_lines, licenses
 
 
 def test_short_lines_are_deduplicated(spark):
@@ -33,3 +35,36 @@ def test_short_lines_are_deduplicated(spark):
         expected[k] = "\n".join(kept)
     assert found == expected
     assert expected[1] == "\nAll rights reserved." and expected[3] == "and ormd.\nonly here"
+
+
+MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met:"
+)
+GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+    "option) any later version."
+)
+
+
+def test_wrapped_license_headers(spark):
+    lgpl = GPL.replace("program", "library").replace("GNU", "GNU Lesser")
+    prose = "plain words of a text about nothing at all, as it goes on and on for a while\n" * 30
+    texts = [prose]
+    for mark, width in (("", 72), ("# ", 60), (" * ", 40), ("// ", 78)):
+        for text in (MIT, BSD, GPL, lgpl):
+            header = "\n".join(mark + part for part in textwrap.wrap(text, width))
+            texts.append(prose + header + "\n" + prose if mark == "" else f"{mark}x\n{mark.rstrip()}\n{header}\n")
+    texts.append("\n".join(textwrap.wrap(MIT, 70)) + "\n\n" + "\n".join(textwrap.wrap(BSD, 70)))
+    texts.append("\n".join(textwrap.wrap(GPL.replace("version 3", "version 2"), 70)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r for r in licenses.license_scan(docs).orderBy("doc_id").collect()]
+    names = ["mit", "bsd-3-clause", "gpl-3.0", "lgpl-3.0"]
+    assert [r.licenses for r in found] == ["", *names * 4, "bsd-3-clause,mit", ""]
+    assert all(r.n_licensed == 1 and r.n_unknown == 0 for r in found[1:17]) and found[17].n_licensed == 2
