@@ -174,11 +174,11 @@ def first_date(text: Column) -> Column:
     )
 
 
-def extract_date(text: Column) -> Column:
-    """Date of a document: front matter first, then its first 40 lines, dating lines preferred."""
+def extract_date(text: Column, head_lines: int | None = HEAD_LINES) -> Column:
+    """Date of a document: front matter first, then its first ``head_lines`` lines (None: all), dating lines preferred."""
 
     def candidates(body: Column) -> Column:
-        head = F.slice(body, 1, HEAD_LINES)
+        head = body if head_lines is None else F.slice(body, 1, head_lines)
         marked = F.filter(head, lambda line: F.lower(line).rlike("|".join(DATING_WORDS)))
         values = let(
             front_matter(body),

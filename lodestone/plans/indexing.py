@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.dates import extract_date
+from lodestone.functions.dates import HEAD_LINES, extract_date
 from lodestone.operators.chunking import chunk_documents, index_run_stats
 from lodestone.operators.corpus import KEY, changed_documents, upsert_documents
 from lodestone.sources import files
@@ -35,19 +35,21 @@ def index_folder(
     now,
     language: str = "en",
     sectioners: dict[str, Sectioner] | None = None,
+    max_mb: float | None = files.MAX_FILE_MB,
+    head_lines: int | None = HEAD_LINES,
 ) -> IndexRun:
     """Index the supported files below a folder against an ``existing`` documents table.
 
     Oversize files and files whose sectioner fails become error rows and no documents; files without
-    text are reported but stored. Unchanged documents are skipped by content hash.
+    text are reported but stored. Unchanged documents are skipped by content hash. ``max_mb`` and
+    ``head_lines`` may be None, for no limit.
     """
-    scanned = files.scan_files(spark, root).withColumn("project", F.lit(project))
-    oversize = files.oversize_errors(scanned.withColumnRenamed("path", "source_path"))
-    documents = files.scan_corpus(spark, root, project=project, language=language)
+    oversize = files.scan_errors(spark, root, project=project, max_mb=max_mb)
+    documents = files.scan_corpus(spark, root, project=project, language=language, max_mb=max_mb)
     sectioned = sections_by_type(documents, sectioners)
     good = sectioned.where(F.col("error").isNull()).drop("error")
     errors = oversize.unionByName(files.parse_errors(sectioned)).unionByName(files.empty_text_errors(good))
-    dated = good.withColumn("source_date", F.coalesce(extract_date(F.col("content")), "file_mtime"))
+    dated = good.withColumn("source_date", F.coalesce(extract_date(F.col("content"), head_lines), "file_mtime"))
     changes = changed_documents(existing, dated)
     fresh = changes.where("change <> 'unchanged'")
     columns = [*KEY, "source_type", "language", "source_date", "content_hash"]

@@ -75,9 +75,16 @@ def decode(content: Column) -> Column:
     )
 
 
-def scan_corpus(spark: SparkSession, root: str, *, project: str, language: str = "en") -> DataFrame:
-    """Text files of a folder as a documents table with content."""
-    files = scan_files(spark, root).where(F.col("size") <= MAX_FILE_MB * 1024 * 1024)
+def scan_corpus(
+    spark: SparkSession, root: str, *, project: str, language: str = "en", max_mb: float | None = MAX_FILE_MB
+) -> DataFrame:
+    """Text files of a folder as a documents table with content.
+
+    Files above ``max_mb`` (None: no limit) are left out; ``scan_errors`` has a row for each of them.
+    """
+    files = scan_files(spark, root)
+    if max_mb is not None:
+        files = files.where(F.col("size") <= max_mb * 1024 * 1024)
     return files.select(
         F.col("path").alias("source_path"),
         "relative_path",
@@ -107,6 +114,14 @@ def oversize_errors(files: DataFrame, *, size: str = "size", limit: int = MAX_FI
     return error_rows(files.where(F.col(size) > limit), "oversize", message)
 
 
+def scan_errors(spark: SparkSession, root: str, *, project: str, max_mb: float | None = MAX_FILE_MB) -> DataFrame:
+    """Error rows of the files that ``scan_corpus`` leaves out at the same limit."""
+    scanned = scan_files(spark, root).withColumn("project", F.lit(project)).withColumnRenamed("path", "source_path")
+    if max_mb is None:
+        return oversize_errors(scanned.where(F.lit(False)))
+    return oversize_errors(scanned, limit=max_mb * 1024 * 1024)
+
+
 def empty_text_errors(documents: DataFrame) -> DataFrame:
     """Error rows of documents with blank text; the documents themselves are kept."""
     blank = documents.where(strip(F.col("content")) == "")
