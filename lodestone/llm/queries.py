@@ -15,6 +15,7 @@ from lodestone.llm.language_id import held_out, identify
 from lodestone.llm.licenses import license_scan
 from lodestone.llm.mixing import mix, word_count
 from lodestone.llm.ngram_join import ngram_components
+from lodestone.llm.packing import pack_documents
 from lodestone.llm.pii import digest, personal_data
 from lodestone.llm.token_counts import token_counts
 
@@ -125,3 +126,10 @@ def op2_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
