@@ -18,6 +18,7 @@ from lodestone.llm.ngram_join import ngram_components
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.pii import digest, personal_data
 from lodestone.llm.token_counts import token_counts
+from lodestone.llm.turns import repair_conversations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +134,8 @@ def op13_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
