@@ -16,9 +16,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -28,14 +30,16 @@ END_ID = 1
 SLACK = 32
 #: Bytes of ids that wait in a buffer.
 BUFFER = 32 << 20
-#: Characters encoded at a time, and entries of each half of a worker's caches.
+#: Characters of a stretch and of the texts encoded together, and entries of each half of a worker's caches.
 STEP = 1 << 20
-CACHE_SIZE = 200_000
+GROUP = 8 << 20
+CACHE_SIZE = 500_000
 #: Longer pieces are encoded without being kept.
 LONGEST_KEPT = 48
 
-#: Words of letters without combining marks, then marks that every word vocabulary here keeps apart from letters.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Words of letters without combining marks, then marks that the vocabulary's pattern keeps apart from letters, as one
+#: pre-token; neither holds an apostrophe, which may start one with letters, nor the start of a special string.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 _BREAK = re.compile(r"[ \n]")
 _WORKER: dict = {}
 
@@ -76,40 +80,64 @@ class WordEncoder:
         found = self.made.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one pre-token each: one call for all of them, cut where the pre-token changes."""
+        if not words:
+            return []
+        found = self.made.encode(" ".join(words), add_special_tokens=False)
+        cuts = 4 * (np.flatnonzero(np.diff(np.array(found.word_ids))) + 1)
+        ids = np.array(found.ids, "<u4").tobytes()
+        ends = [*cuts.tolist(), len(ids)]
+        if len(ends) != len(words):
+            return self._encoded(words)
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of pieces between white space: plain ones by their lower-case word and their marks, others whole."""
-        parts, wanted, known = {}, {}, {}
+        parts, other = {}, []
         for piece in missing:
             plain = _PLAIN.fullmatch(piece)
-            parts[piece] = (plain[1].lower(), plain[2]) if plain else (piece,)
-            for word in parts[piece]:
-                if word in known or word in wanted or not word:
-                    continue
-                ids = self.words.young.get(word) or self.words.get(word)
-                if ids is None:
-                    wanted[word] = None
-                else:
-                    known[word] = ids
-        order = list(wanted)
-        for word, ids in zip(order, self._encoded(order)):
+            if plain:
+                parts[piece] = plain[1].lower(), plain[2]
+            else:
+                other.append(piece)
+        known, young = {"": b""}, self.words.young
+        for word in dict.fromkeys(w for pair in parts.values() for w in pair):
+            if word:
+                known[word] = young.get(word) or self.words.get(word)
+        order = [word for word, ids in known.items() if ids is None]
+        for word, ids in zip(order, self._words(order)):
             known[word] = ids
             if len(word) <= LONGEST_KEPT:
                 self.words.put(word, ids)
-        return {piece: b"".join(known[w] for w in words if w) for piece, words in parts.items()}
+        found = {piece: known[word] + known[marks] for piece, (word, marks) in parts.items()}
+        found.update(zip(other, self._encoded(other)))
+        return found
 
-    def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces, from the caches where these have them."""
         found = list(map(self.pieces.young.get, pieces))
-        if None in found:
-            late = {}
-            for piece in dict.fromkeys(p for p, ids in zip(pieces, found) if ids is None):
-                late[piece] = self.pieces.get(piece) if piece else b""
-            late |= self._learn([p for p, ids in late.items() if ids is None])
-            for piece, ids in late.items():
-                if len(piece) <= LONGEST_KEPT:
-                    self.pieces.put(piece, ids)
-            found = [late[p] if ids is None else ids for p, ids in zip(pieces, found)]
-        return b"".join(found)
+        late = {p: self.pieces.get(p) for p, ids in zip(pieces, found) if ids is None}
+        new = self._learn([p for p, ids in late.items() if ids is None and p])
+        for piece, ids in new.items():
+            if len(piece) <= LONGEST_KEPT:
+                self.pieces.put(piece, ids)
+        late.update(new)
+        return [(late[p] or b"") if ids is None else ids for p, ids in zip(pieces, found)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Each different piece between white space is looked up once for all of them."""
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        known = self._ids(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, code = np.cumsum(lengths) - lengths, coded.indices.to_numpy()
+        each = lengths[code]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.arange(ends[-1]) + np.repeat(starts[code] - ends[:-1], each)
+        ids = np.frombuffer(b"".join(known), "<u4")[at].tobytes()
+        cuts = (4 * ends[parts.offsets.to_numpy()]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def stretches(text: str, step: int = STEP) -> Iterator[str]:
@@ -271,10 +299,22 @@ def pack_documents(
         encoder = _WORKER["encoder"]
         packer = Packer(window, slack, TaskContext.get().partitionId() << 40, buffer)
 
-        def ids_of(text: str | None) -> Iterator[bytes]:
-            for part in stretches(text or ""):
-                yield encoder.encode(part)
-            yield end
+        def encoded(batch: pa.RecordBatch) -> Iterator[tuple]:
+            """Documents with the ids of their stretches; short texts are encoded together."""
+            names, group, size = [], [], 0
+            for document, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                text = text.as_py() or ""
+                if len(text) > STEP:
+                    yield document, (encoder.encode([part])[0] for part in stretches(text))
+                    continue
+                names.append(document)
+                group.append(text)
+                size += len(text)
+                if size > GROUP:
+                    yield from zip(names, ([ids] for ids in encoder.encode(group)))
+                    names, group, size = [], [], 0
+            if group:
+                yield from zip(names, ([ids] for ids in encoder.encode(group)))
 
         kind = None
 
@@ -291,8 +331,8 @@ def pack_documents(
             nonlocal kind
             for batch in batches:
                 kind = batch.schema.field("doc_id").type
-                for document, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                    yield from packer.document(document, ids_of(text.as_py()))
+                for document, parts in encoded(batch):
+                    yield from packer.document(document, chain(parts, [end]))
             if kind is not None:
                 yield from packer.finish()
 

@@ -65,7 +65,7 @@ def test_stretches_of_long_texts(own):
     encoder = packing.WordEncoder(open(PATH, encoding="utf-8").read())
     lots = random.Random(1)
     for text in [" ".join(lots.choice(["ab", "it's", "x.", "́", "\n"]) for _ in range(5000)), "y" * 9000, *ODD[1:]]:
-        ids = b"".join(encoder.encode(p) for p in packing.stretches(text, 100))
+        ids = b"".join(encoder.encode(list(packing.stretches(text, 100))))
         assert list(np.frombuffer(ids, "<u4")) == own.encode(text, add_special_tokens=False).ids
 
 
@@ -73,8 +73,9 @@ def test_words_are_forgotten_and_found_again(own):
     encoder = packing.WordEncoder(open(PATH, encoding="utf-8").read())
     encoder.pieces, encoder.words = packing.Cache(3), packing.Cache(2)
     text = "One two, three. Four five six one two Three four; five, Six " * 3
-    assert list(np.frombuffer(encoder.encode(text), "<u4")) == own.encode(text, add_special_tokens=False).ids
-    assert list(np.frombuffer(encoder.encode("two Two three"), "<u4")) == own.encode("two Two three", add_special_tokens=False).ids
+    for texts in ([text], ["two Two three", "", "one"], [""]):
+        for part, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert list(np.frombuffer(ids, "<u4")) == own.encode(part, add_special_tokens=False).ids
 
 
 def test_tightest_window_is_found():
