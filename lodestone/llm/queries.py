@@ -13,6 +13,7 @@ from lodestone.llm.graph_search import nearest
 from lodestone.llm.iblt import fingerprints
 from lodestone.llm.language_id import held_out, identify
 from lodestone.llm.licenses import license_scan
+from lodestone.llm.max_sketches import ranked_search
 from lodestone.llm.mixing import mix, word_count
 from lodestone.llm.ngram_join import ngram_components
 from lodestone.llm.packing import pack_documents
@@ -139,3 +140,33 @@ def op13_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_max_sketches"] = r"""
+WITH held AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+docs AS (SELECT row, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM held WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM docs),
+counted AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+            FROM counted, corpus GROUP BY term),
+asked AS (SELECT item, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+scored AS (SELECT item, item_id, d.row, doc_id, CAST(sum(times * w * ((1000000000 * tf)
+             // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN docs d USING (row), corpus GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row) AS rank
+  FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
