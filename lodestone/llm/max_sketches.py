@@ -1,10 +1,10 @@
 """Ranked lexical search over hashed max-sketches, with exact results.
 
-A document's sketch is as wide as a power of two not below twice its number of different terms. Every term is hashed to
-a coordinate, which keeps the greatest term frequency there. For a fixed document the impact of a term grows with its
-frequency, so the sketch holds the coordinatewise maxima of impacts whatever the statistics of the corpus turn out to
-be. Looking up the terms of a query gives an upper bound of its score; lookups of a block of queries over a batch of
-documents are one matrix product.
+Every term of a document is hashed to one of 65 536 coordinates (2**24 in documents of many terms), which keeps the
+greatest term frequency there; only the coordinates in use are stored. For a fixed document the impact of a term grows
+with its frequency, so the sketch holds the coordinatewise maxima of impacts whatever the statistics of the corpus turn
+out to be. Looking up the terms of a query gives an upper bound of its score; a batch of documents looks up all queries
+of a block at once.
 
 The documents of highest bound are scored exactly first, which gives each query a threshold: the score of its last
 place so far. Then every document is scored whose bound reaches the threshold of some query, within a task in the order
@@ -40,13 +40,13 @@ PROBES = 16
 #: Queries, and bytes of their texts, of a block that is broadcast.
 BLOCK_QUERIES = 512
 BLOCK_BYTES = 1 << 20
-#: Least and greatest width of a sketch, coordinates per different term, and the frequency that stands for any higher.
-NARROW, WIDE = 16, 4096
-PER_TERM = 2
+#: Widths of sketches, different terms from which on the greater one is taken, and the frequency that stands for any higher.
+WIDTHS = (1 << 16, 1 << 24)
+WIDE_FROM = 2048
 MANY = 255
-#: Bytes of a text that are split at a time, and cells of sketches looked up at a time.
+#: Bytes of a text that are split at a time, and coordinates of sketches looked up at a time.
 STEP = 4 << 20
-CELLS = 1 << 21
+CELLS = 1 << 20
 
 #: Only A to Z are lowered; all other ASCII characters but letters and digits end a term.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -65,13 +65,14 @@ def split_terms(text: str | None) -> Iterator[list[bytes]]:
     yield data[at:].split()
 
 
-def sketch(counts: Counter) -> bytes:
-    """Greatest frequency per coordinate."""
-    width = min(WIDE, max(NARROW, 1 << (PER_TERM * len(counts) - 1).bit_length()))
-    out = np.zeros(width, np.uint8)
+def sketch(counts: Counter) -> tuple[bytes, bytes]:
+    """Coordinates in use, as 32-bit integers, and the greatest frequency (up to MANY) at each."""
+    width = WIDTHS[len(counts) >= WIDE_FROM]
     places = np.fromiter(map(zlib.crc32, counts), np.int64, len(counts)) & (width - 1)
-    np.maximum.at(out, places, np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), MANY).astype(np.uint8))
-    return out.tobytes()
+    used, at = np.unique(places, return_inverse=True)
+    peaks = np.zeros(len(used), np.int64)
+    np.maximum.at(peaks, at, np.fromiter(counts.values(), np.int64, len(counts)))
+    return used.astype("<u4").tobytes(), np.minimum(peaks, MANY).astype(np.uint8).tobytes()
 
 
 def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -79,22 +80,48 @@ def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, n, sketch) of the documents with terms; ``tie`` is a hash of the text."""
+    """(doc_id, tie, n, wide, places, peaks) of the documents with terms; ``tie`` is a hash of the text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, sketches = [], []
+            rows = []
             for text in batch.column("text"):
                 counts: Counter = Counter()
                 for terms in split_terms(text.as_py()):
                     counts.update(terms)
-                lengths.append(counts.total())
-                sketches.append(sketch(counts) if counts else None)
-            columns = [batch.column("doc_id"), batch.column("tie"), pa.array(lengths, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "n", "sketch"])
+                rows.append((counts.total(), len(counts) >= WIDE_FROM, *sketch(counts)))
+            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("tie"), *columns], names=["doc_id", "tie", "n", "wide", "places", "peaks"]
+            )
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(make, f"doc_id {key}, tie long, n long, sketch binary").where("n > 0")
+    made = docs.mapInArrow(make, f"doc_id {key}, tie long, n long, wide boolean, places binary, peaks binary")
+    return made.where("n > 0")
+
+
+class Lookup:
+    """Weights of the queries by key (a term's number, or a coordinate): per key a stretch of (query, weight)."""
+
+    def __init__(self, keys: np.ndarray, queries: np.ndarray, weights: np.ndarray, many: int):
+        order = np.argsort(keys, kind="stable")
+        self.queries, self.weights, self.many = queries[order], weights[order], many
+        self.keys, self.starts, self.counts = np.unique(keys[order], return_index=True, return_counts=True)
+
+    def sums(self, rows: np.ndarray, keys: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+        """For ``count`` rows the sum per query of value times weight; whole numbers below 2**53 stay exact."""
+        if not len(self.keys):
+            return np.zeros((count, self.many))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        rows, at, values = rows[hit], at[hit], values[hit]
+        each = self.counts[at]
+        ends = np.cumsum(each)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + each, each)
+        cells = np.repeat(rows, each) * self.many + self.queries[places]
+        found = np.bincount(cells, np.repeat(values, each) * self.weights[places], count * self.many)
+        return found.reshape(count, self.many)
 
 
 class Queries:
@@ -106,40 +133,33 @@ class Queries:
 
     def weigh(self, documents: int, total: int, holding: dict[int, int]) -> Queries:
         self.documents, self.total = documents, total
-        self.places = [zlib.crc32(t) for t in self.terms]
-        self.weights = np.zeros((len(self.terms), len(self.ids)))
-        for q, counts in enumerate(self.counts):
-            for term, times in counts.items():
-                k = self.terms[term]
-                weight = math.floor(1000 * math.log((2 * documents + 2) / (2 * holding.get(k, 0) + 1)))
-                self.weights[k, q] = times * weight
+        weight = [math.floor(1000 * math.log((2 * documents + 2) / (2 * holding.get(k, 0) + 1))) for k in range(len(self.terms))]
+        cells = [(self.terms[t], q, n * weight[self.terms[t]]) for q, counts in enumerate(self.counts) for t, n in counts.items()]
+        keys, queries, weights = (np.array(c, np.int64) for c in zip(*cells))
+        hashes = np.array([zlib.crc32(t) for t in self.terms], np.int64)
+        self.by_term = Lookup(keys, queries, weights, len(self.ids))
+        self.by_place = [Lookup(hashes[keys] & (w - 1), queries, weights, len(self.ids)) for w in WIDTHS]
         del self.counts
         return self
 
     def share(self, n: int) -> int:
         return 25 + 75 * n * self.documents // self.total
 
-    def by_place(self, width: int) -> np.ndarray:
-        """Weights that fall on each coordinate of a sketch of this width."""
-        known = self.__dict__.setdefault("widths", {})
-        if width not in known:
-            known[width] = np.zeros((width, len(self.ids)))
-            np.add.at(known[width], np.array(self.places, np.int64) & (width - 1), self.weights)
-        return known[width]
-
     def bounds(self, batch: pa.RecordBatch) -> np.ndarray:
-        """Upper bound per document and query; sums of whole numbers below 2**53, so exact ones."""
-        sketches = batch.column("sketch").to_pylist()
+        """Upper bound per document and query."""
+        places, peaks = batch.column("places").to_pylist(), batch.column("peaks").to_pylist()
         m = np.array([self.share(n) for n in batch.column("n").to_pylist()], np.int64)
-        widths = np.array([len(s) for s in sketches])
-        out = np.empty((len(sketches), len(self.ids)))
-        for width in np.unique(widths):
-            rows = np.flatnonzero(widths == width)
-            step = max(1, CELLS // int(width))
-            for part in (rows[k : k + step] for k in range(0, len(rows), step)):
-                tf = np.frombuffer(b"".join(sketches[r] for r in part), np.uint8).reshape(len(part), -1).astype(np.int64)
-                most = np.where(tf == MANY, 1_000_000, impact(tf, m[part, None]))
-                out[part] = most @ self.by_place(int(width))
+        wide = np.array(batch.column("wide").to_pylist(), bool)
+        sizes = np.array([len(p) for p in peaks], np.int64)
+        out = np.empty((len(sizes), len(self.ids)))
+        for kind, lookup in enumerate(self.by_place):
+            rows = np.flatnonzero(wide == kind)
+            lots = np.flatnonzero(np.diff(np.cumsum(sizes[rows]) // CELLS, prepend=0)) + 1
+            for part in np.split(rows, lots):
+                tf = np.frombuffer(b"".join(peaks[r] for r in part), np.uint8).astype(np.int64)
+                keys = np.frombuffer(b"".join(places[r] for r in part), "<u4").astype(np.int64)
+                most = np.where(tf == MANY, 1_000_000, impact(tf, np.repeat(m[part], sizes[part])))
+                out[part] = lookup.sums(np.repeat(np.arange(len(part)), sizes[part]), keys, most, len(part))
         return out
 
     def scores(self, text: str | None) -> np.ndarray:
@@ -149,11 +169,9 @@ class Queries:
         for terms in split_terms(text):
             n += len(terms)
             found.update(filter(self.terms.__contains__, terms))
-        if not found:
-            return np.zeros(len(self.ids), np.int64)
-        rows = [self.terms[t] for t in found]
+        keys = np.array([self.terms[t] for t in found], np.int64)
         parts = impact(np.fromiter(found.values(), np.int64, len(found)), np.int64(self.share(n)))
-        return (parts @ self.weights[rows]).astype(np.int64)
+        return self.by_term.sums(np.zeros(len(keys), np.int64), keys, parts, 1)[0].astype(np.int64)
 
 
 def holding(docs: DataFrame, terms: dict[bytes, int]) -> dict[int, int]:

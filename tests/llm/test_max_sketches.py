@@ -66,19 +66,24 @@ def given(spark, docs, items):
 def test_equal_to_scoring_all(spark, data, blocks, monkeypatch):
     if blocks > 1:
         monkeypatch.setattr(max_sketches, "BLOCK_QUERIES", 30)
-        monkeypatch.setattr(max_sketches, "STEP", 50)
     found = max_sketches.ranked_search(*given(spark, *data), probes=3 if blocks > 1 else max_sketches.PROBES)
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(*data)
 
 
-def test_bounds_hold_and_prune(data):
+@pytest.mark.parametrize(("wide_from", "widths"), [(2048, (1 << 16, 1 << 24)), (30, (64, 256))])
+def test_bounds_hold_and_prune(data, wide_from, widths, monkeypatch):
+    monkeypatch.setattr(max_sketches, "WIDE_FROM", wide_from)
+    monkeypatch.setattr(max_sketches, "WIDTHS", widths)
+    monkeypatch.setattr(max_sketches, "CELLS", 1000)
     docs, items = data
     held = [t for _, t in docs if terms(t)]
-    queries = next(iter([max_sketches.Queries(*zip(*[(i, Counter(x.encode() for x in terms(t))) for i, t in items if terms(t)]))]))
+    queries = max_sketches.Queries(*zip(*[(i, Counter(x.encode() for x in terms(t))) for i, t in items if terms(t)]))
     holding = Counter(queries.terms[x.encode()] for t in held for x in set(terms(t)) if x.encode() in queries.terms)
     queries.weigh(len(held), sum(len(terms(t)) for t in held), holding)
     counts = [Counter(x.encode() for x in terms(t)) for t in held]
-    batch = pa.record_batch({"n": [c.total() for c in counts], "sketch": [max_sketches.sketch(c) for c in counts]})
+    places, peaks = zip(*map(max_sketches.sketch, counts))
+    wide = [len(c) >= max_sketches.WIDE_FROM for c in counts]
+    batch = pa.record_batch({"n": [c.total() for c in counts], "wide": wide, "places": places, "peaks": peaks})
     scores = np.array([queries.scores(t) for t in held])
     bounds = queries.bounds(batch)
     assert (bounds >= scores).all()
@@ -86,7 +91,7 @@ def test_bounds_hold_and_prune(data):
     reached = bounds >= np.maximum(tenth, 1)
     assert ((scores == 0) | (scores < tenth) | reached).all()
     passage = queries.ids.index(50)  # many documents hold it, few reach the score of the tenth
-    assert reached.mean() < 0.5 and reached[:, passage].mean() < 0.1
+    assert widths[0] == 64 or reached.mean() < 0.15 and reached[:, passage].mean() < 0.05
 
 
 def test_empty_tables(spark, data):
@@ -94,3 +99,10 @@ def test_empty_tables(spark, data):
     for one, other in ((docs.limit(0), items), (docs, items.limit(0)), (docs.where("doc_id = 600"), items)):
         found = max_sketches.ranked_search(one, other)
         assert found.columns == ["item_id", "rank", "doc_id", "score"] and found.count() == 0
+
+
+def test_terms_of_long_texts(data, monkeypatch):
+    monkeypatch.setattr(max_sketches, "STEP", 7)
+    for text in [t for _, t in data[0][:60]] + ["é" * 40, "a" * 9 + "_B" * 9, None, ""]:
+        parts = list(max_sketches.split_terms(text))
+        assert [t.decode() for part in parts for t in part] == terms(text)
