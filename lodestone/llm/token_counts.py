@@ -123,16 +123,14 @@ def token_counts(
     state = _tokenizer(content)
     pieces = [p for p in frequent_pieces(docs, table_size) if not any(s in p for s in state["special"])]
     lengths = [len(e.ids) for e in state["made"].encode_batch([" " + p for p in pieces], add_special_tokens=False)]
-    shared = spark.sparkContext.broadcast((content, "\n".join(p.replace("\n", "\r\r") for p in pieces), bytes(lengths)))
+    shared = spark.sparkContext.broadcast((content, dict(zip(pieces, lengths))))
 
     @F.pandas_udf("long")
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        content, names, lengths = shared.value
+        content, lengths = shared.value
         state = _tokenizer(content)
         if state["table"] is None:
-            table = dict(zip(names.split("\n"), lengths)) if names else {}
-            state["table"] = {p.replace("\r\r", "\n"): n for p, n in table.items()}
-            state["known"] = dict(state["table"])
+            state["table"], state["known"] = lengths, dict(lengths)
         table, special = state["table"], state["special"]
         for texts in batches:
             out = []

@@ -1,8 +1,26 @@
 """Cases in which an operator once did less than its whole job, against brute force."""
 
+import random
 import textwrap
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 from lodestone.llm import fuzzy_lines, licenses
+from lodestone.llm.token_counts import token_counts
+
+
+def test_token_counts_of_odd_white_space(spark):
+    """Pieces with line ends and returns inside, and pieces of more than 255 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    lots = random.Random(11)
+    parts = ["a", "b", " ", " ", "\n", "\r", "\r\r", "\t", "é", "\U0001f40c" * 3, "1", "'s", "\u2003", "x" * 70]
+    texts = ["foo a\r\rb bar", "foo a\nb bar", "see " + "\U0001f40c" * 64 + " end " + "\U00012345" * 64 + " x", "ab" * 3000 + " c"]
+    texts += ["".join(lots.choice(parts) for _ in range(lots.randrange(80))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in token_counts(docs, path).collect():
+        assert r.n_tokens == len(own.encode(texts[r.doc_id], add_special_tokens=False).ids)
 
 
 def test_short_lines_are_deduplicated(spark):
