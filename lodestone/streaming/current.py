@@ -87,9 +87,10 @@ def session_changes(feedback: DataFrame, *, gap_seconds: int = 21_600, delay: st
             state.setTimeoutTimestamp(int(still[:, 1].min() // 1000 + 1))
         elif state.exists:
             state.remove()
-        out = pd.DataFrame(changed, columns=["start", "end", "total", "didnt_answer", "_deleted"])
-        out.insert(0, "user_id", key[0])
-        yield out
+        if changed:
+            out = pd.DataFrame(changed, columns=["start", "end", "total", "didnt_answer", "_deleted"])
+            out.insert(0, "user_id", key[0])
+            yield out
 
     user = feedback.schema["user_id"].dataType.simpleString()
     changes = rows.groupBy("user_id").applyInPandasWithState(
@@ -157,10 +158,11 @@ def cooldown_changes(
             state.setTimeoutTimestamp(max(rest[0][0] if rest else last + cooldown, watermark) // 1000 + 1)
         elif state.exists:
             state.remove()
-        out = pd.DataFrame(changed, columns=["event_id", "at", "shown"])
-        out.insert(1, "project", key[0])
-        out.insert(2, "suggestion_type", key[1])
-        yield out
+        if changed:
+            out = pd.DataFrame(changed, columns=["event_id", "at", "shown"])
+            out.insert(1, "project", key[0])
+            out.insert(2, "suggestion_type", key[1])
+            yield out
 
     changes = rows.groupBy("project", "suggestion_type").applyInPandasWithState(
         change,

@@ -1,8 +1,9 @@
 """Windowed log metrics as Structured Streaming queries.
 
 Event time must be a TIMESTAMP, so logs with TIMESTAMP_NTZ columns are cast (the session runs in
-UTC) and the window bounds are cast back. All of them work in append mode: a window is written once
-the watermark has passed it, and its state is then dropped.
+UTC) and the window bounds are cast back. In append mode a window is written once the watermark has
+passed it, and its state is then dropped; in update mode, with ``streaming.current``, a table holds all
+windows with their counts so far.
 """
 
 from __future__ import annotations
@@ -66,9 +67,10 @@ def stream_error_counts(
 
 
 def stream_suggestion_cooldown(suggestions: DataFrame, *, cooldown: str = "7 days") -> DataFrame:
-    """First suggestion per (project, type); repeats within the cooldown are dropped.
+    """First suggestion per (project, type) in order of arrival, written at once.
 
-    The watermark delay is the cooldown, so a key is forgotten once that much event time has passed.
+    The watermark delay is the cooldown, so a key is forgotten once that much event time has passed, which depends on
+    the batches. ``streaming.current.cooldown_changes`` decides by event time, dismissals included.
     """
     return on_event_time(suggestions, "logged_at", cooldown).dropDuplicatesWithinWatermark(
         ["project", "suggestion_type"]
