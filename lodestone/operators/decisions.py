@@ -260,59 +260,93 @@ def supersede(decisions: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def supersession_chain(decisions: DataFrame, *, max_depth: int | None = None) -> DataFrame:
-    """root_id, position, decision_id along superseded_by, for every decision as a root.
-
-    A chain stops at a cycle or a missing decision. By default it is followed to its end: every open
-    path is extended by the path of the decision it points to, so paths double in length per step. With
-    ``max_depth`` rows at most, each step is one left join with the same (id, next) table, whose
-    shuffle is reused. Ids are unique there, so a decision many others point to is a skewed left side
-    that AQE can split. Only ids travel; a path is a short array in its root's row.
+def supersession_chain(decisions: DataFrame, *, max_depth: int | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """root_id, position, decision_id along superseded_by, for every decision, or those of ``roots``, as a root.
+
+    A chain stops at a cycle, at a missing decision, and with ``max_depth`` at that many rows. Tables of jumps over one to
+    four times 1, 4, 16, ... decisions hold a few ids per row and only the decisions from which a jump that long exists.
+    From the longest jumps down, each row of a path adds the rows that lie one to three jumps behind it, so all steps
+    together make hardly more rows than the result. Ids are unique in a table of jumps, so a decision that many paths
+    meet is a skewed left side that AQE can split. Where 4**k exceeds the number of links, only decisions that lead into
+    a cycle have a jump left; just for these the length of the path up to its first repetition is worked out.
     """
-    if max_depth is None:
-        return _whole_chains(decisions)
-    links = decisions.select(F.col("decision_id").alias("_id"), F.col("superseded_by").alias("_to"))
-    paths = decisions.select(
-        F.col("decision_id").alias("root_id"),
-        F.array("decision_id").alias("_path"),
-        F.col("superseded_by").alias("_next"),
+    tables, endless = _jumps(decisions)
+    ids = (decisions if roots is None else roots.join(decisions.select("decision_id"), "decision_id", "left_semi")).select(
+        F.col("decision_id").alias("root_id")
     )
-    for _ in range(max_depth - 1):
-        # Finished paths have no next id; a key of their own keeps them from meeting in one partition.
-        key = F.coalesce("_next", -1 - F.col("root_id"))
-        step = (key == F.col("_id")) & F.col("_next").isNotNull() & ~F.array_contains("_path", F.col("_next"))
-        paths = paths.join(links, step, "left").select(
-            "root_id",
-            F.when(F.col("_id").isNotNull(), F.array_append("_path", F.col("_id"))).otherwise(F.col("_path")).alias("_path"),
-            F.col("_to").alias("_next"),
+    paths = ids.select("root_id", F.lit(0).alias("position"), F.col("root_id").alias("decision_id"))
+    limit = F.lit(max_depth if max_depth is not None else 2**31 - 1)
+    if endless is None:
+        paths = paths.withColumn("_limit", limit)
+    else:
+        lengths = _path_lengths(tables, endless)
+        paths = paths.join(lengths, F.col("root_id") == F.col("_id"), "left").select(
+            *paths.columns, F.least("_length", limit).cast("int").alias("_limit")
         )
-    return paths.select("root_id", F.posexplode("_path").alias("position", "decision_id"))
-
-
-def _whole_chains(decisions: DataFrame) -> DataFrame:
-    spark = decisions.sparkSession
-    paths = decisions.select(
-        F.col("decision_id").alias("root_id"),
-        F.array("decision_id").alias("_path"),
-        F.col("superseded_by").alias("_next"),
-    )
-    while not paths.where("_next is not null").isEmpty():
-        after = paths.select(F.col("root_id").alias("_id"), F.col("_path").alias("_more"), F.col("_next").alias("_to"))
-        # Finished paths have no next id; a key of their own keeps them from meeting in one partition.
-        key = F.coalesce("_next", -1 - F.col("root_id"))
-        joined = paths.join(after, (key == F.col("_id")) & F.col("_next").isNotNull(), "left")
-        # where the further path comes back to this one
-        back = F.array_position(F.transform(F.arrays_zip("_more", F.array_repeat("_path", F.size("_more")).alias("_own")), lambda z: F.array_contains(z["_own"], z["_more"])), True)
-        cut = F.when(back > 0, F.slice("_more", F.lit(1), (back - 1).cast("int"))).otherwise(F.col("_more"))
-        paths = joined.select(
-            "root_id",
-            F.when(F.col("_more").isNull(), F.col("_path")).otherwise(F.concat("_path", cut)).alias("_path"),
-            F.when((back > 0) | F.col("_more").isNull(), F.lit(None)).otherwise(F.col("_to")).alias("_next"),
+    for k, ahead in reversed(list(enumerate(tables))):
+        if max_depth is not None and 4**k >= max_depth:
+            continue
+        ways = [
+            F.struct((F.col("position") + n * 4**k).alias("position"), F.col(to).alias("decision_id"))
+            for n, to in enumerate(("decision_id", "_to", "_to2", "_to3"))
+        ]
+        there = F.filter(F.array(*ways), lambda w: w["decision_id"].isNotNull() & (w["position"] < F.col("_limit")))
+        paths = paths.join(ahead.drop("_to4"), F.col("decision_id") == F.col("_id"), "left").select("root_id", F.inline(there), "_limit")
+    return paths.select("root_id", "position", "decision_id")
+
+
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    folder = scratch_path(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _jumps(decisions: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (_id, _to, _to2, _to3, _to4) of one to four jumps over 4**k decisions; what goes on for ever as (_id, _to)."""
+    ids = decisions.select(F.col("decision_id").alias("_known"))
+    links = decisions.select(F.col("decision_id").alias("_id"), F.col("superseded_by").alias("_to"))
+    jump = _kept(links.join(ids, F.col("_to") == F.col("_known"), "left_semi"), "jumps")
+    count, tables = jump.count(), []
+    while not jump.isEmpty():
+        if 4 ** len(tables) > count:
+            return tables, jump
+        ahead = jump
+        for before, to in (("_to", "_to2"), ("_to2", "_to3"), ("_to3", "_to4")):
+            on = jump.select(F.col("_id").alias("_via"), F.col("_to").alias(to))
+            ahead = ahead.join(on, F.col(before) == F.col("_via"), "left").drop("_via")
+        tables.append(_kept(ahead, "jumps"))
+        jump = tables[-1].where("_to4 IS NOT NULL").select("_id", F.col("_to4").alias("_to"))
+    return tables, None
+
+
+def _path_lengths(tables: list[DataFrame], endless: DataFrame) -> DataFrame:
+    """(_id, _length) of the decisions of ``endless``: how many come before the first repetition."""
+    jumps = []  # over 1, 2, 4, 8, ... decisions
+    for ahead in tables:
+        jumps += [ahead.select("_id", F.col(to).alias("_to")).where("_to IS NOT NULL") for to in ("_to", "_to2")]
+    ring = endless.select(F.col("_to").alias("_ring")).distinct()
+    # the least id of a cycle names it: over 1, 2, 4, ... decisions ahead
+    least = ring.select("_ring", F.col("_ring").alias("_least"))
+    for jump in jumps:
+        on = least.select(F.col("_ring").alias("_at"), F.col("_least").alias("_other"))
+        least = least.join(jump, F.col("_ring") == F.col("_id")).join(on, F.col("_to") == F.col("_at"))
+        least = _kept(least.select("_ring", F.least("_least", "_other").alias("_least")), "rings")
+    sizes = least.groupBy("_least").agg(F.count("*").alias("_size"))
+    sizes = _kept(least.join(sizes, "_least").select("_ring", "_size"), "rings")
+    # the tail: as many steps as stay outside of any cycle, then one more
+    walk = endless.select(F.col("_id").alias("_start"), F.col("_id").alias("_now"), F.lit(0).alias("_steps"))
+    for k, jump in reversed(list(enumerate(jumps))):
+        outside = jump.join(ring, F.col("_to") == F.col("_ring"), "left_anti")
+        walk = walk.join(outside, F.col("_now") == F.col("_id"), "left").select(
+            "_start",
+            F.coalesce("_to", "_now").alias("_now"),
+            (F.col("_steps") + F.when(F.col("_to").isNotNull(), 2**k).otherwise(0)).alias("_steps"),
         )
-        folder = scratch_path(spark, "chains")
-        paths.write.parquet(folder)
-        paths = spark.read.schema(paths.schema).parquet(folder)
-    return paths.select("root_id", F.posexplode("_path").alias("position", "decision_id"))
+    walk = walk.join(sizes, F.col("_now") == F.col("_ring"), "left")
+    entry = jumps[0].join(sizes.select(F.col("_ring").alias("_entry"), F.col("_size").alias("_around")), F.col("_to") == F.col("_entry"))
+    walk = walk.join(entry.select("_id", "_around"), F.col("_now") == F.col("_id"), "left")
+    length = F.col("_steps") + F.when(F.col("_size").isNotNull(), F.col("_size")).otherwise(1 + F.col("_around"))
+    return _kept(walk.select(F.col("_start").alias("_id"), length.alias("_length")), "lengths")
 
 
 def decision_history(decisions: DataFrame, *, max_depth: int | None = None) -> DataFrame:

@@ -39,9 +39,12 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """New folder under the shared checkpoint directory of the cluster.
 
-    A machine-local temporary folder is used only where no directory is configured, as in tests.
+    A machine-local temporary folder is used only in local mode where no directory is configured, as in tests; on a
+    cluster executors would not see each other's files there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lodestone-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
