@@ -221,15 +221,68 @@ def chunk_documents(spark, sf):
     return chunks.select("document_id", "content", "locator.heading", "token_count", "chunk_index")
 
 
-@register("chunk_text")
-def chunk_text(spark, sf):
-    """Chunks of all documents; those above the size limit go through the packing kernel."""
-    chunks = chunking.chunk_documents(sections.markdown_sections(texts(spark, sf).select("document_id", "content")))
+#: Chunks of one section per document of ``bodies``: target 2048, overlap 200, merged tail below 400, whole up to 4099.
+PACKED_SQL = f"""
+    paras AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS no, para FROM (
+      SELECT document_id, generate_subscripts(p, 1) AS pos, {sql_strip("unnest(p)")} AS para FROM (
+        SELECT document_id, regexp_split_to_array(body, '\\n\\s*\\n') AS p FROM bodies WHERE length(body) // 4 > 1024)) WHERE para <> ''),
+    sized AS (SELECT *, length(para) > 4096 AS big, lag(length(para) > 4096, 1, false) OVER (PARTITION BY document_id ORDER BY no)
+      AS after_big FROM paras),
+    grouped AS (SELECT *, sum((big OR after_big)::INTEGER) OVER (PARTITION BY document_id ORDER BY no) AS grp FROM sized),
+    split AS (SELECT document_id, grp, no, big, CASE WHEN big THEN
+      string_split(regexp_replace(para, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) ELSE [para] END AS parts FROM grouped),
+    pieces AS (SELECT document_id, grp, big, piece, row_number() OVER w AS i, sum(length(piece)) OVER w AS place FROM (
+      SELECT document_id, grp, no, big, generate_subscripts(parts, 1) AS k, unnest(parts) AS piece FROM split)
+      WINDOW w AS (PARTITION BY document_id, grp ORDER BY no, k)),
+    borders AS (SELECT document_id, grp, i, place FROM pieces UNION ALL SELECT DISTINCT document_id, grp, 0, 0 FROM pieces),
+    starts AS (SELECT b.document_id, b.grp, b.i, min(a.place) AS base FROM borders b JOIN borders a ON a.document_id = b.document_id
+      AND a.grp = b.grp AND a.i <= b.i AND a.place >= b.place - 200 GROUP BY ALL),
+    nexts AS (SELECT s.document_id, s.grp, s.i, s.base, greatest(s.i + 1, max(c.i)) AS next FROM starts s JOIN borders c
+      ON c.document_id = s.document_id AND c.grp = s.grp AND c.place <= s.base + 2048 GROUP BY s.document_id, s.grp, s.i, s.base),
+    ends AS (SELECT document_id, grp, max(i) AS n FROM borders GROUP BY ALL),
+    runs AS (SELECT document_id, grp, 0 AS i FROM ends UNION ALL SELECT r.document_id, r.grp, x.next FROM runs r JOIN nexts x
+      ON x.document_id = r.document_id AND x.grp = r.grp AND x.i = r.i JOIN ends e ON e.document_id = r.document_id
+      AND e.grp = r.grp WHERE x.next < e.n),
+    texts AS (SELECT r.document_id, r.grp, r.i, any_value(p.big) AS big,
+      CASE WHEN any_value(p.big) THEN string_agg(p.piece, ' ' ORDER BY p.i) ELSE string_agg(p.piece, chr(10) || chr(10) ORDER BY p.i)
+      END AS content
+      FROM runs r JOIN nexts x ON x.document_id = r.document_id AND x.grp = r.grp AND x.i = r.i
+      JOIN pieces p ON p.document_id = r.document_id AND p.grp = r.grp AND p.i <= x.next AND p.place > x.base GROUP BY ALL),
+    listed AS (SELECT document_id, list(content ORDER BY grp, i) AS parts, arg_max(big, (grp, i)) AS last_big FROM texts GROUP BY 1),
+    tailed AS (SELECT document_id, CASE WHEN NOT last_big AND len(parts) > 1 AND length(parts[-1]) < 400
+      THEN list_concat(parts[:-3], [parts[-2] || chr(10) || chr(10) || parts[-1]]) ELSE parts END AS parts FROM listed),
+    cut AS (SELECT document_id, unnest(parts) AS content, generate_subscripts(parts, 1)::INTEGER AS chunk_part,
+      len(parts)::INTEGER AS chunk_total FROM tailed
+      UNION ALL SELECT document_id, body, NULL, NULL FROM bodies WHERE body <> '' AND length(body) // 4 <= 1024),
+    ok AS (SELECT *, (length(content) // 4)::INTEGER AS token_count FROM (SELECT *, {sql_strip("content")} AS b FROM cut)
+      WHERE b <> '' AND length(content) // 4 >= 5 AND NOT regexp_matches(lower(b), '{BOILERPLATE_RE}') AND {minimal_sql("b")})
+    SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY chunk_part) - 1)::INTEGER AS chunk_index,
+      token_count, chunk_part, chunk_total, content FROM ok"""
+
+
+def packed_sql(text: str) -> str:
+    return f"WITH RECURSIVE bodies AS (SELECT doc_id AS document_id, {sql_strip(text)} AS body FROM documents), {PACKED_SQL}"
+
+
+def packed(rows):
+    chunks = chunking.chunk_documents(sections.markdown_sections(rows))
     return chunks.select(
         "document_id", "chunk_index", "token_count", "locator.chunk_part", "locator.chunk_total", "content"
     )
 
 
+@register("chunk_text", packed_sql("text"))
+def chunk_text(spark, sf):
+    """Chunks of all documents; those above the size limit go through the packing kernel."""
+    return packed(texts(spark, sf).select("document_id", "content"))
+
+
+@register("chunk_paragraphs", packed_sql("replace(text, chr(10), chr(10) || chr(10))"))
+def chunk_paragraphs(spark, sf):
+    """The same with every line a paragraph, so paragraphs are packed, and long ones cut at sentences."""
+    return packed(texts(spark, sf).select("document_id", F.replace("content", F.lit("\n"), F.lit("\n\n")).alias("content")))
+
+
 @register(
     "chunk_sequence",
     LINES_SQL

@@ -30,3 +30,23 @@ def test_every_file_has_a_document_or_an_error(spark, tmp_path):
 
     assert seen(4096 / 1024 / 1024) == (["small.md"], ["large.md"])
     assert seen(None) == seen(50) == (["large.md", "small.md"], [])
+
+
+def test_runs_of_pieces():
+    """Each run is as long as the target allows and starts as far back as the overlap allows."""
+    import random
+
+    from lodestone.operators.chunking import _runs
+
+    lots = random.Random(6)
+    for _ in range(300):
+        sizes = [lots.choice([1, 5, 20, 60]) for _ in range(lots.randrange(25))]
+        target, overlap = lots.choice([1, 30, 90]), lots.choice([0, 10, 70])
+        runs, done = _runs(sizes, target, overlap), 0
+        for start, end in runs:
+            assert start <= done < end and sum(sizes[start:done]) <= overlap
+            assert start == 0 or sum(sizes[start - 1 : done]) > overlap
+            assert end == done + 1 or sum(sizes[start:end]) <= target
+            assert end == len(sizes) or sum(sizes[start : end + 1]) > target
+            done = end
+        assert done == len(sizes)
