@@ -115,11 +115,11 @@ def repeated_counts(feedback: DataFrame, *, now, window_hours: int = REPEAT_WIND
 
 
 def repeated_questions(
-    feedback: DataFrame, *, now, window_hours: int = REPEAT_WINDOW_HOURS, limit: int = 5
+    feedback: DataFrame, *, now, window_hours: int = REPEAT_WINDOW_HOURS, limit: int | None = None
 ) -> DataFrame:
-    """The most repeated (question, project) pairs of the window."""
+    """The repeated (question, project) pairs of the window, or the ``limit`` most repeated of them."""
     rows = repeated_counts(feedback, now=now, window_hours=window_hours)
-    return rows.orderBy(F.desc("repeat_count"), "question", "project").limit(limit)
+    return rows.orderBy(F.desc("repeat_count"), "question", "project").limit(limit) if limit else rows
 
 
 def counts_by(df: DataFrame, column: str, *, now, window_hours: int | None, blank: str = "unknown") -> DataFrame:
@@ -150,14 +150,14 @@ def missing_metadata_total(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count_if(filters.lacks_metadata()).alias("missing_count"))
 
 
-def missing_metadata_by_project(documents: DataFrame, *, limit: int = 5) -> DataFrame:
-    return (
+def missing_metadata_by_project(documents: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Documents lacking metadata per project, or of the ``limit`` projects with most of them."""
+    counts = (
         documents.where(filters.lacks_metadata())
         .groupBy(label("project", "unknown"))
         .agg(F.count("*").alias("missing_count"))
-        .orderBy(F.desc("missing_count"), "project")
-        .limit(limit)
     )
+    return counts.orderBy(F.desc("missing_count"), "project").limit(limit) if limit else counts
 
 
 def bucket_days(days) -> list[int]:

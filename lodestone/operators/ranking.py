@@ -42,6 +42,18 @@ def scale(value: Column, low: Column, high: Column) -> Column:
     return F.when(high == low, F.lit(1.0)).otherwise((value - low) / F.nullif(high - low, F.lit(0.0)))
 
 
+def numbered(df: DataFrame, block: list[str], order: str, out: str) -> DataFrame:
+    """Place of every row from 1 in the order of the ``block`` columns, then ``order``.
+
+    Blocks are counted first, so each is numbered by a task of its own; only one row per block is ordered as a whole.
+    """
+    counts = df.groupBy(*block).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*block).orderBy(order)
+    return df.join(offsets, block).withColumn(out, F.row_number().over(inside) + F.col("_offset")).drop("_offset")
+
+
 def running_total(
     df: DataFrame, by: list[str], order: str, value: Column, out: str, block: int = 4096
 ) -> DataFrame:

@@ -82,7 +82,7 @@ def coach_health_candidates(t: HealthTables, *, now, thresholds: Thresholds | No
 
     feedback = health.feedback_by_scope(t).where((F.col("total") >= MIN_FEEDBACK) & (F.col("not_found_frequency") > 0))
     freq = F.col("not_found_frequency")
-    repeats = health.repeats_by_scope(t, now, th).where("place = 1 AND question <> ''")
+    repeats = health.repeats_by_scope(t, now, th, 1).where("place = 1 AND question <> ''")
     question = text.strip(F.col("question"))
     missing = health.missing_by_scope(t)
     path = F.nullif(F.col("first.source_path"), F.lit(""))

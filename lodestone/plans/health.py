@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.functions.scoring import priority_from_count, priority_from_ratio
 from lodestone.operators import filters, metrics
-from lodestone.operators.ranking import first_per, top_k
+from lodestone.operators.ranking import first_per, numbered, top_k
 
 GLOBAL = "*"
 PREVIEW = 3
@@ -71,8 +71,15 @@ class Thresholds:
     denial_hours: int = metrics.DENIAL_WINDOW_HOURS
     repeat_hours: int = metrics.REPEAT_WINDOW_HOURS
     stale_days: tuple[int, ...] = metrics.STALE_BUCKETS
-    recent: int = metrics.RECENT_ROWS
-    lint: int = 10
+    # tasks per family, newest or first ones; None for all
+    metadata: int | None = None
+    repeats: int | None = None
+    recent: int | None = None
+    lint: int | None = None
+
+
+#: Document ids that are numbered by one task.
+NUMBERED_TOGETHER = 65_536
 
 
 def scoped(df: DataFrame) -> DataFrame:
@@ -92,11 +99,11 @@ def feedback_by_scope(t: HealthTables) -> DataFrame:
     return metrics.feedback_metrics(scoped(t.feedback), ["scope"])
 
 
-def repeats_by_scope(t: HealthTables, now, th: Thresholds) -> DataFrame:
+def repeats_by_scope(t: HealthTables, now, th: Thresholds, limit: int = 5) -> DataFrame:
     """The most repeated questions per scope, with their place."""
     counted = metrics.repeated_counts(t.feedback, now=now, window_hours=th.repeat_hours)
     order = [F.desc("repeat_count"), F.asc("question"), F.asc("project")]
-    return top_k(scoped(counted), ["scope"], order, 5, "place")
+    return top_k(scoped(counted), ["scope"], order, limit, "place")
 
 
 def missing_by_scope(t: HealthTables) -> DataFrame:
@@ -223,7 +230,7 @@ def failure_signals(t: HealthTables, *, now, thresholds: Thresholds | None = Non
     )
     offenders = scoped(offenders)
     by_count = [F.desc("n"), F.asc("label")]
-    top = top_k(offenders, ["scope"], by_count, 5, "place").groupBy("scope").agg(F.count("*").alias("value"))
+    top = offenders.groupBy("scope").agg(F.count("*").alias("value"))
     top = top.join(_preview(offenders, by_count, F.concat("label", F.lit(" ("), "n", F.lit(")"))), "scope")
     volume = low_volume_by_scope(t, th)
     volume_item = F.concat(
@@ -253,7 +260,9 @@ def failure_signals(t: HealthTables, *, now, thresholds: Thresholds | None = Non
         signal(stale_by_scope(t, now, th, "Decisions"), "stale_decisions", "value", F.col("details")),
         signal(errors_by_scope(t, now, th), "ingestion_errors", "total", F.col("details")),
         signal(
-            repeats_by_scope(t, now, th).groupBy("scope").agg(F.count("*").alias("value")),
+            scoped(metrics.repeated_counts(t.feedback, now=now, window_hours=th.repeat_hours))
+            .groupBy("scope")
+            .agg(F.count("*").alias("value")),
             "repeated_questions",
             "value",
             F.lit(SIGNALS["repeated_questions"]),
@@ -325,12 +334,11 @@ def fix_tasks_feedback(feedback: DataFrame, project: str | None = None) -> DataF
     )
 
 
-def fix_tasks_metadata(documents: DataFrame, project: str | None = None, *, limit: int = 5) -> DataFrame:
+def fix_tasks_metadata(documents: DataFrame, project: str | None = None, *, limit: int | None = None) -> DataFrame:
     found = filters.missing_metadata_docs(documents, limit=limit)
-    # At most ``limit`` rows are left here, so numbering them in one window is fine.
-    number = F.row_number().over(Window.orderBy("document_id"))
+    found = found.withColumn("_block", F.floor(F.col("document_id") / NUMBERED_TOGETHER))
     return _task(
-        found.withColumn("_i", number),
+        numbered(found, ["_block"], "document_id", "_i"),
         F.concat(F.lit("metadata-"), "document_id", F.lit("-"), "_i"),
         F.lit("fix_metadata"),
         F.col("source_path"),
@@ -341,9 +349,9 @@ def fix_tasks_metadata(documents: DataFrame, project: str | None = None, *, limi
 
 
 def fix_tasks_repeats(
-    feedback: DataFrame, project: str | None = None, *, now, window_hours: int = metrics.REPEAT_WINDOW_HOURS
-) -> DataFrame:
-    rows = metrics.repeated_questions(feedback, now=now, window_hours=window_hours)
+    feedback: DataFrame, project: str | None = None, *, now, window_hours: int = metrics.REPEAT_WINDOW_HOURS, limit: int | None = None
+) -> DataFrame:
+    rows = metrics.repeated_questions(feedback, now=now, window_hours=window_hours, limit=limit)
     return _task(
         rows,
         F.concat(F.lit("repeat-"), text.short_hash(F.col("question"))),
@@ -355,12 +363,17 @@ def fix_tasks_repeats(
     )
 
 
+def _newest(rows: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+    """The newest row per key; with a limit the newest of these."""
+    order = [F.desc("created_at"), F.desc("event_id")]
+    found = first_per(rows, keys, order)
+    return found.orderBy(*order).limit(limit) if limit else found
+
+
 def fix_tasks_permissions(denials: DataFrame, project: str | None = None, *, now, thresholds=None) -> DataFrame:
     th = thresholds or Thresholds()
-    recent = metrics.recent_log_rows(denials, now=now, window_hours=th.denial_hours, limit=th.recent)
-    rows = first_per(
-        recent, ["reason_code", "action_name", "target_path"], [F.desc("created_at"), F.desc("event_id")]
-    )
+    recent = metrics.within(denials, "created_at", now, th.denial_hours)
+    rows = _newest(recent, ["reason_code", "action_name", "target_path"], th.recent)
     code, routine, path = F.col("reason_code"), F.col("action_name"), F.col("target_path")
     blocked = F.concat(
         F.lit("Routine '"),
@@ -385,7 +398,7 @@ def fix_tasks_permissions(denials: DataFrame, project: str | None = None, *, now
     )
 
 
-def fix_tasks_lint(issues: DataFrame, *, limit: int | None = 10) -> DataFrame:
+def fix_tasks_lint(issues: DataFrame, *, limit: int | None = None) -> DataFrame:
     rows = issues.orderBy("path", "position").limit(limit) if limit else issues
     code = F.col("code")
     return _task(
@@ -401,11 +414,11 @@ def fix_tasks_lint(issues: DataFrame, *, limit: int | None = 10) -> DataFrame:
 
 def fix_tasks_ingestion(errors: DataFrame, *, now, thresholds=None) -> DataFrame:
     th = thresholds or Thresholds()
-    recent = metrics.recent_log_rows(errors, now=now, window_hours=th.error_hours, limit=th.recent)
+    recent = metrics.within(errors, "created_at", now, th.error_hours)
     kinds = recent.where(F.col("source_path") != "").withColumn(
         "error_type", F.coalesce(F.nullif("error_type", F.lit("")), F.lit("ingestion_error"))
     )
-    rows = first_per(kinds, ["source_path", "error_type"], [F.desc("created_at"), F.desc("event_id")])
+    rows = _newest(kinds, ["source_path", "error_type"], th.recent)
     kind = F.col("error_type")
     label = F.replace(kind, F.lit("_"), F.lit(" "))
     message = text.strip(F.col("error_message"))
@@ -512,8 +525,8 @@ def fix_queue(t: HealthTables, *, now, project: str | None = None, thresholds: T
         t = t.only(project)
     parts = [
         fix_tasks_feedback(t.feedback, project),
-        fix_tasks_metadata(t.documents, project),
-        fix_tasks_repeats(t.feedback, project, now=now, window_hours=th.repeat_hours),
+        fix_tasks_metadata(t.documents, project, limit=th.metadata),
+        fix_tasks_repeats(t.feedback, project, now=now, window_hours=th.repeat_hours, limit=th.repeats),
         fix_tasks_permissions(t.denials, project, now=now, thresholds=th),
         fix_tasks_ingestion(t.errors, now=now, thresholds=th),
         fix_tasks_indexing(t.documents, t.searches, now=now, thresholds=th),
@@ -533,3 +546,10 @@ def union_fix_tasks(parts: list[DataFrame]) -> DataFrame:
 
 def sort_fix_queue(tasks: DataFrame) -> DataFrame:
     return tasks.orderBy("priority", "task_id")
+
+
+def placed_fix_queue(tasks: DataFrame) -> DataFrame:
+    """The queue with the place of every task, numbered in blocks of a priority and the start of an id."""
+    start = F.regexp_extract("task_id", "^[^-]*-?.{0,3}", 0)
+    found = numbered(tasks.withColumn("_start", start), ["priority", "_start"], "task_id", "place")
+    return found.drop("_start").withColumn("place", F.col("place").cast("int"))

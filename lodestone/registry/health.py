@@ -296,7 +296,7 @@ SIGNALS_SQL = f"""
           || string_agg(label || ' (' || n || ')', ', ' ORDER BY place) FILTER (WHERE place <= 3) FROM (
         SELECT *, row_number() OVER (PARTITION BY scope ORDER BY n DESC, label) AS place FROM {_scope('''(
           SELECT coalesce(nullif(project, ''), 'unknown') AS label, project, count(*) AS n FROM gappy
-          WHERE source_date IS NULL OR project = '' OR language = '' GROUP BY 1, 2)''')}) WHERE place <= 5 GROUP BY 1
+          WHERE source_date IS NULL OR project = '' OR language = '' GROUP BY 1, 2)''')}) GROUP BY 1
       UNION ALL SELECT scope, 'stale_notes', count(*) FILTER (WHERE source_date <= {NOW_SQL} - INTERVAL 90 DAY),
         'Notes older than 90d+: ' || count(*) FILTER (WHERE source_date <= {NOW_SQL} - INTERVAL 90 DAY) || ', 180d+: '
           || count(*) FILTER (WHERE source_date <= {NOW_SQL} - INTERVAL 180 DAY) || ', 365d+: '
@@ -318,7 +318,7 @@ SIGNALS_SQL = f"""
             ORDER BY created_at DESC, event_id DESC) FILTER (WHERE r <= 3)
         FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, event_id DESC) AS r
           FROM {_scope(RECENT_ERRORS)}) GROUP BY 1
-      UNION ALL SELECT scope, 'repeated_questions', least(5, count(*)), 'Repeated queries observed over the past 48 hours'
+      UNION ALL SELECT scope, 'repeated_questions', count(*), 'Repeated queries observed over the past 48 hours'
         FROM {_scope(f'''(SELECT question, project, count(*) AS n FROM feedback WHERE created_at >= {NOW_SQL} - INTERVAL 48 HOUR
           GROUP BY 1, 2 HAVING count(*) > 1)''')} GROUP BY 1
       UNION ALL SELECT scope, 'permission_denials', count(*), coalesce(nullif(rtrim(
@@ -358,7 +358,7 @@ TASKS["fix_tasks_metadata"] = """
       source_path AS target, nullif(project, '') AS project, 'Missing metadata fields: ' || array_to_string(list_filter([
       CASE WHEN source_date IS NULL THEN 'source_date' END, CASE WHEN project = '' THEN 'project' END,
       CASE WHEN language = '' THEN 'language' END], lambda x: x IS NOT NULL), ', ') AS reason, 3 AS priority
-    FROM (SELECT * FROM gappy WHERE source_date IS NULL OR project = '' OR language = '' ORDER BY document_id LIMIT 5)"""
+    FROM (SELECT * FROM gappy WHERE source_date IS NULL OR project = '' OR language = '')"""
 TASKS["fix_tasks_repeats"] = f"""
     SELECT 'repeat-' || substr(sha256(question), 1, 10) AS task_id, 'run_query' AS action, question AS target,
       nullif(project, '') AS project, 'Question repeated ' || repeat_count || ' times in the last 48h' AS reason,
@@ -374,12 +374,11 @@ TASKS["fix_tasks_permissions"] = f"""
         ELSE 'Permission denial for ''' || action_name || ''' writing to ' || target_path END AS reason,
       (CASE reason_code WHEN 'scope' THEN 2 ELSE 3 END)::INTEGER AS priority
     FROM (SELECT *, row_number() OVER (PARTITION BY reason_code, action_name, target_path ORDER BY created_at DESC, event_id DESC)
-      AS r FROM (SELECT * FROM denials WHERE created_at >= {NOW_SQL} - INTERVAL 168 HOUR
-      ORDER BY created_at DESC, event_id DESC LIMIT 5)) WHERE r = 1"""
+      AS r FROM denials WHERE created_at >= {NOW_SQL} - INTERVAL 168 HOUR) WHERE r = 1"""
 TASKS["fix_tasks_lint"] = (
     LINT_SQL
     + """, ordered AS (SELECT *, CASE code WHEN 'missing_metadata' THEN 0 WHEN 'missing_rationale' THEN 1
-      WHEN 'missing_rejected_options' THEN 2 ELSE 3 END AS o FROM issues ORDER BY path, o LIMIT 10)
+      WHEN 'missing_rejected_options' THEN 2 ELSE 3 END AS o FROM issues)
     SELECT 'lint-' || code || '-' || substr(sha256(code || ':' || path), 1, 10) AS task_id,
       CASE code WHEN 'missing_metadata' THEN 'fix_metadata' ELSE 'fix_capture' END AS action, path AS target,
       NULL::VARCHAR AS project, message AS reason, priority::INTEGER AS priority FROM ordered"""
@@ -391,8 +390,8 @@ TASKS["fix_tasks_ingestion"] = f"""
         THEN substr(trim(error_message), 1, 157) || '...' ELSE trim(error_message) END END AS reason,
       (CASE kind WHEN 'parse_error' THEN 2 WHEN 'no_text' THEN 3 WHEN 'oversize' THEN 3 ELSE 4 END)::INTEGER AS priority
     FROM (SELECT *, coalesce(nullif(error_type, ''), 'ingestion_error') AS kind, row_number() OVER (
-      PARTITION BY source_path, error_type ORDER BY created_at DESC, event_id DESC) AS r FROM (SELECT * FROM errors
-      WHERE created_at >= {NOW_SQL} - INTERVAL 168 HOUR ORDER BY created_at DESC, event_id DESC LIMIT 5)) WHERE r = 1"""
+      PARTITION BY source_path, error_type ORDER BY created_at DESC, event_id DESC) AS r FROM errors
+      WHERE created_at >= {NOW_SQL} - INTERVAL 168 HOUR) WHERE r = 1"""
 TASKS["fix_tasks_indexing"] = f"""
     SELECT 'index-volume-' || coalesce(nullif(project, ''), 'unknown') AS task_id, 'open_indexing' AS action,
       coalesce(nullif(project, ''), 'unknown') AS target, coalesce(nullif(project, ''), 'unknown') AS project,
@@ -442,9 +441,9 @@ def fix_queue(spark, sf):
     "union_fix_tasks",
     " UNION ALL ".join(
         f"SELECT task_id, action, priority FROM ({TASKS[n]})"
-        for n in ("fix_tasks_feedback", "fix_tasks_metadata", "fix_tasks_ingestion")
+        for n in TASKS
     ),
-    LOGS,
+    LOGS + " notes",
 )
 def union_fix_tasks(spark, sf):
     t = health_tables(spark, sf)
@@ -452,7 +451,12 @@ def union_fix_tasks(spark, sf):
         [
             health.fix_tasks_feedback(t.feedback),
             health.fix_tasks_metadata(t.documents),
+            health.fix_tasks_repeats(t.feedback, now=NOW),
+            health.fix_tasks_permissions(t.denials, now=NOW),
+            health.fix_tasks_lint(t.lint),
             health.fix_tasks_ingestion(t.errors, now=NOW),
+            health.fix_tasks_indexing(t.documents, t.searches, now=NOW, thresholds=THRESHOLDS),
+            health.fix_tasks_staleness(t.documents, t.decisions, now=NOW),
         ]
     )
     return tasks.select("task_id", "action", "priority")
@@ -461,14 +465,10 @@ def union_fix_tasks(spark, sf):
 @register(
     "sort_fix_queue",
     f"""
-    SELECT task_id, priority, row_number() OVER (ORDER BY priority, task_id)::INTEGER AS place FROM ({ALL_TASKS})
-    ORDER BY priority, task_id LIMIT 10""",
+    SELECT task_id, priority, row_number() OVER (ORDER BY priority, task_id)::INTEGER AS place FROM ({ALL_TASKS})""",
     LOGS + " notes",
 )
 def sort_fix_queue(spark, sf):
-    """The ten most urgent tasks; their place is numbered after the cut."""
-    from pyspark.sql import Window
-
-    queue = health.fix_queue(health_tables(spark, sf), now=NOW, thresholds=THRESHOLDS).limit(10)
-    place = F.row_number().over(Window.orderBy("priority", "task_id"))
-    return queue.select("task_id", "priority", place.alias("place"))
+    """Every task with its place in the queue."""
+    queue = health.fix_queue(health_tables(spark, sf), now=NOW, thresholds=THRESHOLDS)
+    return health.placed_fix_queue(queue).select("task_id", "priority", "place")

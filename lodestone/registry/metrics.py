@@ -81,8 +81,7 @@ def feedback_reason_counts(spark, sf):
 
 REPEATED = f"""
     SELECT question, project, count(*) AS repeat_count FROM feedback
-    WHERE created_at >= {NOW_SQL} - INTERVAL 48 HOUR GROUP BY 1, 2 HAVING count(*) > 1
-    ORDER BY repeat_count DESC, question, project LIMIT 5"""
+    WHERE created_at >= {NOW_SQL} - INTERVAL 48 HOUR GROUP BY 1, 2 HAVING count(*) > 1"""
 
 
 @register("repeated_questions", REPEATED, "ev feedback")
@@ -124,7 +123,7 @@ def missing_metadata_total(spark, sf):
     "missing_metadata_by_project",
     """
     SELECT coalesce(nullif(project, ''), 'unknown') AS project, count(*) AS missing_count FROM gappy
-    WHERE source_date IS NULL OR project = '' OR language = '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""",
+    WHERE source_date IS NULL OR project = '' OR language = '' GROUP BY 1""",
     "docs gappy",
 )
 def missing_metadata_by_project(spark, sf):
@@ -184,12 +183,12 @@ def recent_log_rows(spark, sf):
 @register(
     "low_volume_projects",
     """
-    SELECT project, count(*) AS document_count, greatest(0, 50 - count(*)) AS gap FROM docs WHERE n_chars > 600
-    GROUP BY 1 HAVING count(*) < 50""",
+    SELECT project, count(*) AS document_count, greatest(0, 600 - count(*)) AS gap FROM docs
+    GROUP BY 1 HAVING count(*) < 600""",
     "docs",
 )
 def low_volume_projects(spark, sf):
-    return metrics.low_volume_projects(docs(spark, sf).where("n_chars > 600"), threshold=50)
+    return metrics.low_volume_projects(docs(spark, sf), threshold=600)
 
 
 @register("low_hit_rate_projects", HIT_RATE + " WHERE total >= 5 AND (total - not_found) / total < 0.4", "ev searches")

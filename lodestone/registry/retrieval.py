@@ -113,11 +113,14 @@ def bm25_corpus(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
-# Candidate lists: chunks and queries that share a residue, so all chunks take part.
+# Candidate lists: the nearest chunks of every query, over all chunks.
+CANDIDATES = 40
 CANDIDATES_SQL = f"""
-    WITH cand AS (SELECT query_id, text AS query_text, chunk_id,
-        {sql_tokens("content")} AS t
-      FROM docs JOIN asked ON chunk_id % 40 = query_id),
+    WITH near AS (SELECT q.query_id, v.chunk_id, round(list_cosine_distance(q.embedding, v.embedding), 9) AS d
+      FROM asked q, vecs v JOIN docs USING (chunk_id)),
+    cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS place FROM near)
+      WHERE place <= {CANDIDATES}),
+    cand AS (SELECT query_id, chunk_id, {sql_tokens("content")} AS t FROM cut JOIN docs USING (chunk_id)),
     stats AS (SELECT query_id, count(*) AS n, sum(len(t)) / count(*) AS mean FROM cand GROUP BY 1),
     post AS (SELECT query_id, chunk_id, term, count(*) AS tf FROM
       (SELECT query_id, chunk_id, unnest(t) AS term FROM cand) GROUP BY 1, 2, 3),
@@ -130,21 +133,20 @@ CANDIDATES_SQL = f"""
     bm AS (SELECT query_id, chunk_id, coalesce(s, 0) AS bm25 FROM cand LEFT JOIN scored USING (query_id, chunk_id))"""
 
 
-def _residue_candidates(spark, sf):
-    left = texts(spark, sf).withColumn("_r", F.col("chunk_id") % 40)
-    right = asked(spark, sf).select(F.col("query_id"), F.col("text").alias("query_text"))
-    if small_enough(right):
-        right = F.broadcast(right)
-    return left.join(right, F.col("_r") == F.col("query_id")).drop("_r")
+def _candidates(spark, sf):
+    asks = asked(spark, sf)
+    found = search.batch_vector_search(_corpus(spark, sf), asks.select("query_id", "embedding"), k=CANDIDATES)
+    found = found.select("query_id", "chunk_id").join(asks.select("query_id", F.col("text").alias("query_text")), "query_id")
+    return texts(spark, sf).join(found, "chunk_id")
 
 
 @register(
     "bm25_candidates",
     CANDIDATES_SQL + " SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM bm",
-    "docs asked",
+    CORPUS,
 )
 def bm25_candidates(spark, sf):
-    scored = search.bm25_candidates(_residue_candidates(spark, sf))
+    scored = search.bm25_candidates(_candidates(spark, sf))
     return scored.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -213,11 +215,11 @@ SCORED_SQL = f"""
         chunk_id AS position FROM bm JOIN docs USING (chunk_id)), {SCORED_SQL}
     SELECT query_id, chunk_id, rank::INTEGER AS rank, round(v, 6) AS vector_part, round(kw, 6) AS keyword_part,
       round(recency, 6) AS recency, round(boost, 6) AS boost, round(final, 6) AS final_score FROM rk WHERE rank <= 10""",
-    "docs asked",
+    CORPUS,
 )
 def hybrid_score(spark, sf):
     rows = (
-        _residue_candidates(spark, sf)
+        _candidates(spark, sf)
         .withColumn("vector_score", F.col("chunk_id") * 37 % 101 / 100.0)
         .withColumn("position", F.col("chunk_id"))
         .withColumn("query_projects", F.array().cast("array<string>"))
