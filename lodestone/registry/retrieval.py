@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import ranking, search
-from lodestone.session import small_enough
 from lodestone.registry.base import (
     NOW,
+    VIEWS,
     asked,
+    decided,
     docs,
     register,
     sql_recency,
@@ -301,3 +302,61 @@ def vector_only_search(spark, sf):
 
 def vector_only_results(spark, sf, k=5):
     return search.vector_only_search(docs(spark, sf), vecs(spark, sf), asked(spark, sf).drop("text"), k=k, mode="candidate")
+
+
+# Queries with phrases, exclusions that hit and a decision status, over some source types and dates.
+VIEWS["sought"] = """
+SELECT query_id, text, embedding, NULL::VARCHAR AS scope, CASE WHEN query_id % 4 IN (0, 3) THEN 'an' END AS phrase,
+  CASE query_id % 4 WHEN 1 THEN 'qu' WHEN 3 THEN 'ch' END AS excluded, query_id % 4 = 2 AS decided_only FROM asked"""
+SOUGHT_NEAR = """
+    WITH near AS (SELECT q.query_id, q.text AS query_text, q.scope, v.chunk_id,
+        round(list_cosine_distance(q.embedding, v.embedding), 9) AS d
+      FROM sought q, vecs v JOIN docs USING (chunk_id)
+      WHERE source_type IN ('markdown', 'pdf', 'word') AND source_date >= TIMESTAMP '2022-06-01'
+        AND (phrase IS NULL OR contains(lower(content), phrase)) AND (excluded IS NULL OR NOT contains(lower(content), excluded))
+        AND (NOT decided_only OR v.chunk_id IN (SELECT chunk_id FROM decided WHERE status = 'active'))),"""
+SOUGHT_FILTERS = dict(source_types=["markdown", "pdf", "word"], date_after="2022-06-01")
+
+
+def sought(spark, sf):
+    n = F.col("query_id") % 4
+    raw = F.concat(
+        "text",
+        F.when(n.isin(0, 3), ' "An"').otherwise(""),
+        F.when(n == 1, " -QU").when(n == 3, " -ch").when(n == 2, " decision:active").otherwise(""),
+    )
+    return asked(spark, sf).select("query_id", raw.alias("raw"), "embedding")
+
+
+@register(
+    "hybrid_search_filtered",
+    SOUGHT_NEAR
+    + HYBRID_SQL[HYBRID_SQL.index("\n    cut AS") :]
+    .replace("CASE WHEN query_id % 3 = 0 THEN 15 ELSE 25 END", "25")
+    .replace("FROM asked)", "FROM sought)")
+    + """ SELECT query_id, chunk_id, rank::INTEGER AS rank, round(v, 6) AS vector_part, round(kw, 6) AS keyword_part,
+      round(recency, 6) AS recency, round(boost, 6) AS boost, round(final, 6) AS final_score FROM rk WHERE rank <= 5""",
+    CORPUS + " sought decided",
+)
+def hybrid_search_filtered(spark, sf):
+    """The exhaustive mode: all filters hold before the nearest chunks are taken."""
+    found = search.hybrid_search(
+        texts(spark, sf), vecs(spark, sf), sought(spark, sf), now=NOW, config=search.ScoringConfig(recency=True),
+        decisions=decided(spark, sf), **SOUGHT_FILTERS,
+    )
+    return _rounded(found)
+
+
+@register(
+    "vector_only_filtered",
+    SOUGHT_NEAR
+    + """ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank
+      FROM near JOIN docs USING (chunk_id) WHERE language = 'en')
+    SELECT query_id, chunk_id, rank::INTEGER AS rank, round(greatest(0.0, 1 - d), 6) AS final_score FROM ranked WHERE rank <= 5""",
+    CORPUS + " sought decided",
+)
+def vector_only_filtered(spark, sf):
+    found = search.vector_only_search(
+        texts(spark, sf), vecs(spark, sf), sought(spark, sf), decisions=decided(spark, sf), language="en", **SOUGHT_FILTERS
+    )
+    return found.select("query_id", "chunk_id", "rank", F.round("final_score", 6).alias("final_score"))
