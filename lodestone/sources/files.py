@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions.text import strip
 from lodestone.schemas import GOLDEN
+from lodestone.sources.sections import UNSUPPORTED
 
 # Ignored names, extensions per source type, and the size limit.
 IGNORED_NAMES = ["node_modules", ".git", "__pycache__", ".venv", "venv", ".env", ".DS_Store"]
@@ -45,7 +46,8 @@ def source_type_of(path: Column) -> Column:
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """Supported files below a folder: path, relative_path, source_type, size, modified, content.
 
-    Columns that are not selected later are pruned, so listing alone never opens a file.
+    Columns that are not selected later are pruned, so listing alone never opens a file. Files of zero bytes are not
+    seen, as Spark's file sources skip them.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -76,15 +78,20 @@ def decode(content: Column) -> Column:
 
 
 def scan_corpus(
-    spark: SparkSession, root: str, *, project: str, language: str = "en", max_mb: float | None = MAX_FILE_MB
-) -> DataFrame:
-    """Text files of a folder as a documents table with content.
+    spark: SparkSession, root: str, *, project: str, language: str = "en", max_mb: float | None = MAX_FILE_MB,
+    byte_types: list[str] | None = None,
+) -> DataFrame:
+    """Files of a folder as a documents table with their content as text.
 
-    Files above ``max_mb`` (None: no limit) are left out; ``scan_errors`` has a row for each of them.
+    Files above ``max_mb`` (None: no limit) are left out; ``scan_errors`` has a row for each of them. Files of the
+    ``byte_types`` have no text yet but their bytes, in a column that the others leave empty.
     """
     files = scan_files(spark, root)
     if max_mb is not None:
         files = files.where(F.col("size") <= max_mb * 1024 * 1024)
+    as_bytes = F.col("source_type").isin(list(byte_types or []))
+    raw = [F.when(as_bytes, F.col("content")).alias("bytes")] if byte_types else []
+    decoded = decode(F.col("content"))
     return files.select(
         F.col("path").alias("source_path"),
         "relative_path",
@@ -92,7 +99,8 @@ def scan_corpus(
         F.lit(project).alias("project"),
         F.lit(language).alias("language"),
         F.col("modified").alias("file_mtime"),
-        decode(F.col("content")).alias("content"),
+        (F.when(~as_bytes, decoded) if byte_types else decoded).alias("content"),
+        *raw,
     )
 
 
@@ -129,8 +137,10 @@ def empty_text_errors(documents: DataFrame) -> DataFrame:
 
 
 def parse_errors(parsed: DataFrame) -> DataFrame:
-    """Error rows of documents whose sectioner failed (see ``sources.sections.custom_sections``)."""
-    return error_rows(parsed.where(F.col("error").isNotNull()), "parse_error", F.col("error"))
+    """Error rows of documents whose sectioner failed or that have none (see ``sources.sections.sections_by_type``)."""
+    rows = error_rows(parsed.where(F.col("error").isNotNull()), "parse_error", F.col("error"))
+    unsupported = F.col("error_message").startswith(UNSUPPORTED)
+    return rows.withColumn("error_type", F.when(unsupported, "unsupported_type").otherwise(F.col("error_type")))
 
 
 def load_golden_set(spark: SparkSession, path: str) -> DataFrame:

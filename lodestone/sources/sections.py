@@ -273,12 +273,16 @@ def git_locator(documents: DataFrame, *, url: str, commit: str) -> DataFrame:
 
 
 Sectioner = Callable[[str, str], list[dict]]
+ByteSectioner = Callable[[str, bytes], list[dict]]
 
+#: Error rows that are no failure of a sectioner start with this.
+UNSUPPORTED = "No sectioner for "
 
-def custom_sections(documents: DataFrame, sectioner: Sectioner) -> DataFrame:
+
+def custom_sections(documents: DataFrame, sectioner: Sectioner | ByteSectioner, column: str = "content") -> DataFrame:
     """Sections from a Python callable, for formats Spark has no functions for.
 
-    ``sectioner(path, content)`` returns dicts with content, locator_type, locator (dict of known
+    ``sectioner(path, content)``, which gets what ``column`` holds, returns dicts with content, locator_type, locator (dict of known
     keys) and optionally extra. A failure fills ``error`` for that document only.
     """
     schema = T.StructType(
@@ -288,7 +292,7 @@ def custom_sections(documents: DataFrame, sectioner: Sectioner) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, texts = batch.column("source_path").to_pylist(), batch.column("content").to_pylist()
+            paths, texts = batch.column("source_path").to_pylist(), batch.column(column).to_pylist()
             sections, errors = [], []
             for path, content in zip(paths, texts, strict=True):
                 try:
@@ -314,13 +318,19 @@ def parse_locators(rows: DataFrame, column: str) -> DataFrame:
     )
 
 
-def sections_by_type(documents: DataFrame, sectioners: dict[str, Sectioner] | None = None) -> DataFrame:
-    """Adds ``sections`` and ``error`` by source type.
+def sections_by_type(
+    documents: DataFrame,
+    sectioners: dict[str, Sectioner] | None = None,
+    byte_sectioners: dict[str, ByteSectioner] | None = None,
+) -> DataFrame:
+    """Adds ``sections`` and ``error`` by source type; every document comes out with one of them.
 
-    Markdown, bookmarks and recipes are built in and share one pass over the texts; ``sectioners``
-    adds or replaces types. Documents of other types drop out.
+    Markdown, bookmarks and JSON recipes are built in and share one pass over the texts; ``sectioners`` adds or replaces
+    types. ``byte_sectioners`` get the file's bytes, from a column ``bytes``; the content of such a document is that of
+    its sections. A document of another type, or a recipe in YAML, gets an error that names the type.
     """
-    sectioners = sectioners or {}
+    sectioners, byte_sectioners = sectioners or {}, byte_sectioners or {}
+    own = {*sectioners, *byte_sectioners}
     built_in = {
         "markdown": (markdown_section_array, None),
         "bookmarks": (bookmark_section_array, NO_BOOKMARKS),
@@ -329,12 +339,23 @@ def sections_by_type(documents: DataFrame, sectioners: dict[str, Sectioner] | No
     kind, content = F.col("source_type"), F.col("content")
     sections = error = F.lit(None)
     for name, (fn, message) in built_in.items():
-        if name not in sectioners:
+        if name not in own:
             sections = F.when(kind == name, fn(content)).otherwise(sections)
             empty = F.coalesce(F.size("sections"), F.lit(0)) <= 0
             error = F.when((kind == name) & empty, F.lit(message)).otherwise(error)
-    native = documents.where(kind.isin([n for n in built_in if n not in sectioners]))
-    result = native.withColumn("sections", sections).withColumn("error", error.cast("string"))
+    known = kind.isin([n for n in built_in if n not in own])
+    if "recipe" not in own and "source_path" in documents.columns:
+        known = known & ~((kind == "recipe") & F.lower("source_path").endswith(".yaml"))
+    sections = F.when(known, sections)
+    error = F.when(F.coalesce(known, F.lit(False)), error).otherwise(
+        F.concat(F.lit(UNSUPPORTED), F.coalesce(kind, F.lit("unknown type")), F.when(kind == "recipe", " in YAML").otherwise(""))
+    )
+    others = documents.where(F.coalesce(~kind.isin(list(own)), F.lit(True))) if own else documents
+    result = others.withColumn("sections", sections).withColumn("error", error.cast("string"))
     for name, fn in sectioners.items():
         result = result.unionByName(custom_sections(documents.where(kind == name), fn))
-    return result
+    for name, fn in byte_sectioners.items():
+        found = custom_sections(documents.where(kind == name), fn, "bytes")
+        joined = F.array_join(F.transform("sections", lambda s: s["content"]), "\n\n")
+        result = result.unionByName(found.withColumn("content", F.when(F.col("error").isNull(), joined)))
+    return result.drop("bytes")

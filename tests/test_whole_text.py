@@ -50,3 +50,41 @@ def test_runs_of_pieces():
             assert end == len(sizes) or sum(sizes[start : end + 1]) > target
             done = end
         assert done == len(sizes)
+
+
+def test_files_of_every_type_end_as_a_document_or_an_error(spark, tmp_path):
+    from lodestone.plans.indexing import index_folder
+
+    def pages(path, data):
+        """A made-up format: pages between form feeds, after a magic byte that is no UTF-8."""
+        if data[:1] != b"\xff":
+            raise ValueError("no such file")
+        return [
+            {"content": p.decode("latin-1"), "locator_type": "page", "locator": {"page": n}}
+            for n, p in enumerate(data[1:].split(b"\x0c"), 1)
+        ]
+
+    body = "A page with a good number of different words, enough of them to be kept as one chunk of text"
+    (tmp_path / "a.md").write_text(f"# Title\n{body} one.")
+    (tmp_path / "b.pdf").write_bytes(b"\xff" + f"{body} two.".encode() + b"\x0c" + f"{body} drei für é.".encode("latin-1"))
+    (tmp_path / "c.pdf").write_bytes(b"else")
+    (tmp_path / "d.docx").write_bytes(b"\x00\x01")
+    (tmp_path / "e.xlsx").write_bytes(b"x")
+    (tmp_path / "f.recipe.yaml").write_text("name: Soup\n")
+    (tmp_path / "g.recipe.json").write_text('{"name": "Soup", "description": "Warm"}')
+    (tmp_path / "h.html").write_text("nothing")
+    existing = spark.createDataFrame([], "source_path string, project string, source_type string, language string, source_date timestamp_ntz, content_hash string")
+    run = index_folder(spark, str(tmp_path), existing, project="p", now="2024-01-31", byte_sectioners={"pdf": pages})
+    name = F.regexp_extract("source_path", "[^/]*$", 0)
+    documents = {r[0] for r in run.documents.select(name).collect()}
+    errors = {(r[0], r.error_type, r.error_message) for r in run.errors.select(name, "error_type", "error_message").collect()}
+    assert documents == {"a.md", "b.pdf", "g.recipe.json"}
+    assert errors == {
+        ("c.pdf", "parse_error", "no such file"),
+        ("d.docx", "unsupported_type", "No sectioner for word"),
+        ("e.xlsx", "unsupported_type", "No sectioner for excel"),
+        ("f.recipe.yaml", "unsupported_type", "No sectioner for recipe in YAML"),
+        ("h.html", "parse_error", "No bookmark entries found."),
+    }
+    chunks = {(r[0], r.content.split()[-1], r.locator.page) for r in run.chunks.select(name, "content", "locator").collect() if r[0] == "b.pdf"}
+    assert chunks == {("b.pdf", "two.", 1), ("b.pdf", "é.", 2)}
