@@ -132,6 +132,14 @@ def front_matter_value(block: Column, key: str) -> Column:
     return F.when(~raw.isin("", "~", "null", "Null", "NULL") & (strip(value) != ""), value)
 
 
+def front_matter_has(block: Column, key: str) -> Column:
+    """Whether a key has a value: one on its line, or a list or mapping on the lines below it."""
+    below = F.transform(
+        block, lambda line, i: line.rlike(rf"^{key}\s*:\s*(#.*)?$") & F.get(block, i + 1).rlike(r"^(\s*-(\s|$)|\s+[^\s#])")
+    )
+    return front_matter_value(block, key).isNotNull() | F.coalesce(F.exists(below, lambda x: x), F.lit(False))
+
+
 def _iso(found: Column) -> Column:
     """Wall-clock part of an ISO match, moved to UTC when it names an offset."""
     offset_re = r"([+-])(\d{2}):(\d{2})$"

@@ -104,6 +104,12 @@ def average_precision(expected: DataFrame, retrieved: DataFrame, golden: DataFra
     return golden.select("id").distinct().join(scored, "id", "left").na.fill(1.0, ["average_precision"])
 
 
+def recall_metric(expected: DataFrame, retrieved: DataFrame, golden: DataFrame, *, k: int = 5) -> DataFrame:
+    """Share of the expected chunks among the first ``k``; 1 for a query that expects nothing, whatever was retrieved."""
+    shares = overlap(expected, retrieved, k=k).select("id", (F.col("overlap") / F.col("expected_count")).alias("recall"))
+    return golden.select("id").distinct().join(shares, "id", "left").na.fill(1.0, ["recall"])
+
+
 def f1(precision: Column, recall: Column) -> Column:
     both = precision + recall
     return F.coalesce(2 * precision * recall / F.nullif(both, F.lit(0.0)), F.lit(0.0))

@@ -100,11 +100,20 @@ def f1_at_k(spark, sf):
 
 @register(
     "average_precision",
-    RUN + " SELECT id, round(ap / n, 6) AS average_precision FROM met WHERE n IS NOT NULL",
+    RUN + " SELECT id, CASE WHEN n IS NULL THEN 1.0 ELSE round(ap / n, 6) END::DOUBLE AS average_precision FROM met",
     "docs",
 )
 def average_precision(spark, sf):
-    return _rounded(ev.average_precision(expected(spark, sf), retrieved(spark, sf)))
+    return _rounded(ev.average_precision(expected(spark, sf), retrieved(spark, sf), golden(spark, sf)))
+
+
+@register(
+    "recall_metric",
+    RUN + " SELECT id, CASE WHEN n IS NULL THEN 1.0 ELSE round(recall, 6) END::DOUBLE AS recall FROM met",
+    "docs",
+)
+def recall_metric(spark, sf):
+    return _rounded(ev.recall_metric(expected(spark, sf), retrieved(spark, sf), golden(spark, sf), k=5))
 
 
 @register("eval_run", RUN + f" SELECT {MEASURES} FROM met", "docs")

@@ -88,3 +88,20 @@ def test_files_of_every_type_end_as_a_document_or_an_error(spark, tmp_path):
     }
     chunks = {(r[0], r.content.split()[-1], r.locator.page) for r in run.chunks.select(name, "content", "locator").collect() if r[0] == "b.pdf"}
     assert chunks == {("b.pdf", "two.", 1), ("b.pdf", "é.", 2)}
+
+
+def test_lint_accepts_lists_in_front_matter(spark):
+    from lodestone.operators.chunking import capture_lint
+
+    front = {
+        "lists": "project: p\ndate:\n  - 2024-01-01\nlanguage: [en, de]\nsource:\n- desk\n- mail",
+        "mapping": "project:\n  name: p\ndate: 2024-01-01\nlanguage: en\nsource: # where from\n  kind: desk",
+        "blank": "project: p\ndate:\nlanguage: en\nsource:\n",
+        "next": "date:\n\nproject: p\nsource: # none\nlanguage: en",
+    }
+    notes = spark.createDataFrame([(f"notes/{k}.md", f"---\n{v}\n---\n# Note\n") for k, v in front.items()], "path string, content string")
+    found = {r.path: r.message for r in capture_lint(notes).collect()}
+    assert found == {
+        "notes/blank.md": "Missing metadata fields: date, source",
+        "notes/next.md": "Missing metadata fields: date, source",
+    }
