@@ -47,10 +47,12 @@ def vector_search(corpus: DataFrame, vector: list[float], *, k: int = 5) -> Data
     The query vector becomes a unit literal, so a row costs two passes over its own vector.
     """
     size = math.sqrt(sum(float(x) ** 2 for x in vector))
-    # A zero vector has no direction: NULL distances.
-    unit = F.lit([float(x) / size for x in vector]) if size else F.lit(None).cast("array<double>")
-    embedding = F.col("embedding")
-    cosine = _dot(embedding, unit) / F.nullif(F.sqrt(_dot(embedding, embedding)), F.lit(0.0))
+    # A zero vector has no direction: NULL distances. One expression text is cheaper to build than a literal per number.
+    unit = "array(" + ", ".join(f"{float(x) / size!r}D" for x in vector) + ")" if size else "CAST(NULL AS array<double>)"
+    cosine = F.expr(
+        f"aggregate(zip_with(embedding, {unit}, (x, y) -> CAST(x AS double) * y), 0.0D, (s, x) -> s + x)"
+        " / nullif(sqrt(aggregate(embedding, 0.0D, (s, x) -> s + CAST(x AS double) * CAST(x AS double))), 0.0D)"
+    )
     return (
         corpus.withColumn("distance", F.round(1.0 - cosine, matching.DECIMALS))
         .orderBy(F.col("distance").asc_nulls_last(), "chunk_id")
