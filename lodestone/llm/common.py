@@ -37,6 +37,17 @@ def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def packed(docs: DataFrame, needed: list[str], results: list[str]) -> tuple[DataFrame, list[str]]:
+    """The ``needed`` columns and one struct ``_more`` of the others, and what to select to have these back.
+
+    So further columns clash with no name inside an operator. Those named like a result give way to it.
+    """
+    taken = {c.lower() for c in (*needed, *results)}
+    others = [c for c in docs.columns if c.lower() not in taken]
+    more = [F.struct(*[docs[c] for c in others]).alias("_more")] if others else []
+    return docs.select(*needed, *more), ["_more.*"] if others else []
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is worked out once per row however often the body names it."""
     return F.transform(F.array(value), body)[0]

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let, stored
+from lodestone.llm.common import let, packed, stored
 from lodestone.llm.links import alike, compared, first_common, linked_components, only
 from lodestone.llm.ngram_join import heavy_classes, mixed, parities, rarest
 
@@ -168,8 +168,10 @@ def line_components(lines: DataFrame, percent: int, bands: int = BANDS, rows: in
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with the text column cut down to its kept lines, and columns n_lines and n_removed.
 
-    Other columns stay; n_chars, where there is one, is left as it was.
+    Other columns stay, but for those named like the two; n_chars, where there is one, is left as it was.
     """
+    order = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    docs, more = packed(docs, ["doc_id", "text"], ["n_lines", "n_removed"])
     tie = F.xxhash64("text")
     lined = docs.select("doc_id", tie.alias("tie"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lined = lined.withColumn("line", normal(F.col("line"))).where(F.col("line") != "")
@@ -189,11 +191,15 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, row
         removed, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("_t")), "left"
     )
     cut = let(F.split("text", "\n"), lambda lines: F.array_join(_without(lines, F.col("_removed")), "\n"))
-    return joined.select(
-        *[F.when(F.col("_removed").isNull(), docs[c]).otherwise(cut).alias(c) if c == "text" else docs[c] for c in docs.columns],
+    found = joined.select(
+        "doc_id",
+        F.when(F.col("_removed").isNull(), docs["text"]).otherwise(cut).alias("text"),
+        *[docs["_more"] for _ in more],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"),
         F.coalesce(F.when(F.col("_removed").isNotNull(), F.size("_removed")), F.lit(0)).alias("n_removed"),
     )
+    places = {c: F.col(c if c in ("doc_id", "text") else f"_more.`{c}`") for c in order}
+    return found.select(*[places[c].alias(c) for c in order], "n_lines", "n_removed")
 
 
 def _without(lines: Column, removed: Column) -> Column:

@@ -233,6 +233,6 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, order: int = ORDER, train_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """``docs`` with a struct column ``_language``; trained on the rows that are not held out."""
+    """``docs`` with a struct column ``_language``, in place of any other of that name; trained on the rows not held out."""
     trees = train(docs.where(~held_out(F.col("doc_id"))), order, train_bytes)
     return docs.withColumn("_language", language_of(docs.sparkSession, trees, F.col("text")))

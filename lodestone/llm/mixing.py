@@ -6,7 +6,7 @@ stretch crosses. Sampling in order of size keeps the sampled words close to the
 
 Defined results: null text has size 0; null is a source of its own and the last in order; repeated rows are separate
 documents; equal sizes are ordered by a hash of doc_id, then doc_id; an empty table gives no rows; a source of size 0
-has target 0 and emits nothing. Reruns give the same rows.
+has target 0 and emits nothing. Reruns give the same rows. Further columns stay, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, broadcast_checked, stored
+from lodestone.llm.common import WORD, broadcast_checked, packed, stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_COPIES = 3
 SEED = "mix"
+RESULTS = ["source_size", "target", "copies"]
 
 
 def word_count(text: Column) -> Column:
@@ -78,6 +79,7 @@ def mix(
     rows of the source in earlier partitions, so a source that holds a third of the rows is spread over many tasks.
     The numbered rows are stored before use, since a repeated sort may order equal rows differently.
     """
+    docs, more = packed(docs, ["doc_id", "source", "size"], RESULTS)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [
         F.col("source").asc_nulls_last(),
@@ -107,7 +109,7 @@ def mix(
             broadcast_checked(stretches), F.col("_s").eqNullSafe(F.col("source")) & (F.col("_p") == F.col("_part"))
         )
         .withColumn("copies", crossed)
-        .drop("_s", "_p", "_at", "_part", "_from", "_before")
+        .select("doc_id", "source", "size", *more, *RESULTS)
     )
 
 

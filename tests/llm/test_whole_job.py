@@ -86,3 +86,22 @@ def test_wrapped_license_headers(spark):
     names = ["mit", "bsd-3-clause", "gpl-3.0", "lgpl-3.0"]
     assert [r.licenses for r in found] == ["", *names * 4, "bsd-3-clause,mit", ""]
     assert all(r.n_licensed == 1 and r.n_unknown == 0 for r in found[1:17]) and found[17].n_licensed == 2
+
+
+def test_columns_named_like_results_or_inner_ones(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import mixing
+
+    schema = "doc_id long, text string, source string, n_lines int, N_removed int, _t int, _id int, _removed int, Target double, copies string, _s int, _part int, size long"
+    rows = [(k, f"line {k % 3} of some words here\nand another", "ab"[k % 2], 1, 2, 3, 4, 5, 0.5, "c", 6, 7, 4) for k in range(8)]
+    docs = spark.createDataFrame(rows, schema)
+    lines = fuzzy_lines.dedup_lines(docs.drop("source"))
+    assert lines.columns == [c for c in docs.columns if c not in ("source", "n_lines", "N_removed")] + ["n_lines", "n_removed"]
+    assert {(r.doc_id, r._id, r.copies, r.n_lines) for r in lines.collect()} == {(k, 4, "c", 2) for k in range(8)}
+    assert fuzzy_lines.dedup_lines(docs.select("doc_id", "text")).columns == ["doc_id", "text", "n_lines", "n_removed"]
+    mixed = mixing.mix(docs)
+    assert len({c.lower() for c in mixed.columns}) == len(mixed.columns)
+    found = mixed.select("doc_id", "_s", "_part", F.col("target"), "copies").collect()
+    assert {(r.doc_id, r._s, r._part) for r in found} == {(k, 6, 7) for k in range(8)} and all(isinstance(r.copies, int) for r in found)
+    assert mixing.emitted(mixed).columns == mixed.columns
