@@ -20,13 +20,13 @@ def followed(links, depth=None):
 
 def test_random_forests_and_cycles(spark):
     lots = random.Random(8)
-    for n, loops in ((1, True), (12, True), (40, True), (70, False)):
+    for n, loops in ((14, True), (50, True), (60, False)):
         links = {
             k: lots.choice([None, 9999, k, *range(n)] if loops else [None, *range(k)]) if lots.random() < 0.3 else k + 1 if loops or k % 7 else None
             for k in range(n)
         }
         table = spark.createDataFrame(list(links.items()), SCHEMA)
-        for depth in (None, 1, 3, 10):
+        for depth in (None, 3):
             rows = decisions.supersession_chain(table, max_depth=depth).collect()
             assert len(rows) == len({tuple(r) for r in rows}) and {tuple(r) for r in rows} == followed(links, depth)
         some = spark.createDataFrame([(0,), (n - 1,), (12345,)], "decision_id long")
