@@ -16,9 +16,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only in local mode where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lodestone-llm-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
