@@ -14,7 +14,7 @@ from lodestone.functions import dates
 from lodestone.functions.text import strip
 from lodestone.operators.ranking import first_per
 from lodestone.schemas import DECISION_MATCH
-from lodestone.session import scratch_path
+from lodestone.session import stored
 
 # Name, pattern, confidence and type of decision phrases, most explicit first.
 DECISION_PATTERNS = [
@@ -295,17 +295,11 @@ def supersession_chain(decisions: DataFrame, *, max_depth: int | None = None, ro
     return paths.select("root_id", "position", "decision_id")
 
 
-def _kept(df: DataFrame, label: str) -> DataFrame:
-    folder = scratch_path(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def _jumps(decisions: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
     """Tables (_id, _to, _to2, _to3, _to4) of one to four jumps over 4**k decisions; what goes on for ever as (_id, _to)."""
     ids = decisions.select(F.col("decision_id").alias("_known"))
     links = decisions.select(F.col("decision_id").alias("_id"), F.col("superseded_by").alias("_to"))
-    jump = _kept(links.join(ids, F.col("_to") == F.col("_known"), "left_semi"), "jumps")
+    jump = stored(links.join(ids, F.col("_to") == F.col("_known"), "left_semi"), "jumps")
     count, tables = jump.count(), []
     while not jump.isEmpty():
         if 4 ** len(tables) > count:
@@ -314,7 +308,7 @@ def _jumps(decisions: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
         for before, to in (("_to", "_to2"), ("_to2", "_to3"), ("_to3", "_to4")):
             on = jump.select(F.col("_id").alias("_via"), F.col("_to").alias(to))
             ahead = ahead.join(on, F.col(before) == F.col("_via"), "left").drop("_via")
-        tables.append(_kept(ahead, "jumps"))
+        tables.append(stored(ahead, "jumps"))
         jump = tables[-1].where("_to4 IS NOT NULL").select("_id", F.col("_to4").alias("_to"))
     return tables, None
 
@@ -330,9 +324,9 @@ def _path_lengths(tables: list[DataFrame], endless: DataFrame) -> DataFrame:
     for jump in jumps:
         on = least.select(F.col("_ring").alias("_at"), F.col("_least").alias("_other"))
         least = least.join(jump, F.col("_ring") == F.col("_id")).join(on, F.col("_to") == F.col("_at"))
-        least = _kept(least.select("_ring", F.least("_least", "_other").alias("_least")), "rings")
+        least = stored(least.select("_ring", F.least("_least", "_other").alias("_least")), "rings")
     sizes = least.groupBy("_least").agg(F.count("*").alias("_size"))
-    sizes = _kept(least.join(sizes, "_least").select("_ring", "_size"), "rings")
+    sizes = stored(least.join(sizes, "_least").select("_ring", "_size"), "rings")
     # the tail: as many steps as stay outside of any cycle, then one more
     walk = endless.select(F.col("_id").alias("_start"), F.col("_id").alias("_now"), F.lit(0).alias("_steps"))
     for k, jump in reversed(list(enumerate(jumps))):
@@ -346,7 +340,7 @@ def _path_lengths(tables: list[DataFrame], endless: DataFrame) -> DataFrame:
     entry = jumps[0].join(sizes.select(F.col("_ring").alias("_entry"), F.col("_size").alias("_around")), F.col("_to") == F.col("_entry"))
     walk = walk.join(entry.select("_id", "_around"), F.col("_now") == F.col("_id"), "left")
     length = F.col("_steps") + F.when(F.col("_size").isNotNull(), F.col("_size")).otherwise(1 + F.col("_around"))
-    return _kept(walk.select(F.col("_start").alias("_id"), length.alias("_length")), "lengths")
+    return stored(walk.select(F.col("_start").alias("_id"), length.alias("_length")), "lengths")
 
 
 def decision_history(decisions: DataFrame, *, max_depth: int | None = None) -> DataFrame:

@@ -212,7 +212,8 @@ def term_statistics(docs: DataFrame, vocabulary: DataFrame | None = None) -> Dat
     totals and frequencies come out of one scan. Counting is combined map-side; a vocabulary of
     checked size is applied before the shuffle, a larger one after it.
     """
-    marks = F.concat(F.array(F.lit("")), F.array_distinct("tokens"))
+    # A chunk without text has no terms, but counts as a chunk.
+    marks = F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct("tokens"), F.array().cast("array<string>")))
     # The outer form keeps Catalyst from tokenising twice to test for an empty array.
     seen = docs.select(F.size("tokens").alias("length"), F.explode_outer(marks).alias("term"))
     counted = [
@@ -278,7 +279,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: floa
         freq = np.array([known[t] for t in vocab], dtype=float)
         weight = np.log((n - freq + 0.5) / (freq + 0.5) + 1)
         asks = [
-            np.array([vocab[t] for t in terms if t in vocab], dtype=np.int64)
+            np.array([vocab[t] for t in terms or [] if t in vocab], dtype=np.int64)
             for terms in table.column("terms").to_pylist()
         ]
         shared = spark.sparkContext.broadcast(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import ranking, search
+from lodestone.operators.postings import PostingsIndex
 from lodestone.registry.base import (
     NOW,
     VIEWS,
@@ -16,6 +17,7 @@ from lodestone.registry.base import (
     texts,
     vecs,
 )
+from lodestone.session import scratch_path
 
 CORPUS = "docs vecs asked"
 
@@ -114,6 +116,17 @@ def bm25_corpus(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+@register(
+    "bm25_postings",
+    BM25_SQL + " SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10",
+    "docs asked",
+)
+def bm25_postings(spark, sf):
+    index = PostingsIndex(spark, scratch_path(spark, "postings")).add(texts(spark, sf))
+    found = index.search(asked(spark, sf).select("query_id", "text"), k=10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 # Candidate lists: the nearest chunks of every query, over all chunks.
 CANDIDATES = 40
 CANDIDATES_SQL = f"""
