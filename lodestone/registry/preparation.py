@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking
-from lodestone.registry.base import VIEWS, docs, register, spread, sql_strip, table, texts
+from lodestone.registry.base import VIEWS, decided, docs, register, spread, sql_strip, table, texts, vecs
 from lodestone.registry.filters import LINES_SQL, document_lines, minimal_sql
 from lodestone.functions.text import BOILERPLATE_RE
 from lodestone.session import scratch_path
@@ -130,6 +130,22 @@ def corpus_store(spark, sf):
     return back.select("document_id", "project", "source_date", F.sha2("content", 256).alias("content_hash"))
 
 
+@register(
+    "corpus_store_bucketed",
+    """
+    SELECT chunk_id, project, label, decision_id, status, length(content) AS size
+    FROM docs JOIN vecs USING (chunk_id) LEFT JOIN decided USING (chunk_id)""",
+    "docs vecs decided",
+)
+def corpus_store_bucketed(spark, sf):
+    """Chunks, embeddings and decisions stored by chunk and joined bucket by bucket."""
+    tables = {"chunks": docs(spark, sf), "embeddings": vecs(spark, sf), "decisions": decided(spark, sf)}
+    kept = store.write_bucketed(tables, scratch_path(spark, "bucketed"), buckets=16)
+    joined = kept["chunks"].join(kept["embeddings"], "chunk_id").join(kept["decisions"], "chunk_id", "left")
+    size = F.length("content").cast("long").alias("size")
+    return joined.select("chunk_id", "project", "label", "decision_id", "status", size)
+
+
 # Markdown notes, one per part.
 VIEWS["md"] = f"""
 SELECT p_partkey AS document_id, 'notes/part-' || p_partkey || '.md' AS source_path,
