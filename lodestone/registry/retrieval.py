@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import ranking, search
+from lodestone.operators.pivots import PivotIndex
 from lodestone.operators.postings import PostingsIndex
 from lodestone.registry.base import (
     NOW,
@@ -64,14 +65,17 @@ def vector_topk(spark, sf):
     return found.select("chunk_id", "label", F.round("distance", 6).alias("distance"))
 
 
-@register(
-    "batch_vector_search",
-    """
+NEAREST_SQL = """
     SELECT query_id, chunk_id, round(d, 6) AS distance, rank::INTEGER AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM (
         SELECT q.query_id, v.chunk_id, round(list_cosine_distance(q.embedding, v.embedding), 9) AS d
         FROM asked q, vecs v JOIN docs USING (chunk_id)))
-    WHERE rank <= 5""",
+    WHERE rank <= 5"""
+
+
+@register(
+    "batch_vector_search",
+    NEAREST_SQL,
     CORPUS,
 )
 def batch_vector_search(spark, sf):
@@ -79,6 +83,15 @@ def batch_vector_search(spark, sf):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@register("ann_vector_search", NEAREST_SQL, CORPUS)
+def ann_vector_search(spark, sf):
+    """Blocks beyond reach are skipped by the triangle inequality, so the rows are those of the full scan."""
+    corpus = _corpus(spark, sf)
+    index = PivotIndex(spark, scratch_path(spark, "pivots")).build(corpus, width=len(first_vector(spark, sf)))
+    found = index.search(asked(spark, sf).select("query_id", "embedding"), k=5)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @register(
     "idf",
     f"""
