@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 from lodestone.operators.ranking import top_k
-from lodestone.session import small_enough
+from lodestone.session import bounded_batches, small_enough
 
 QUERY_SLICE = 20_000
 QUERY_TILE = 512
 TILE_WORDS = 20_000  # words of the queries scored together, which bounds the matrix of a tile
 ROW_BLOCK = 128
+BATCH_WORDS = 200_000  # words of the texts scored together, which bounds the arrays of a batch
 DECIMALS = 9  # scores are compared after rounding, so equal texts tie and the id decides
 
 RESULT = "query_id long, chunk_id long, score double"
@@ -118,6 +119,8 @@ class Best:
             row, col = np.nonzero((scores <= limit) & np.isfinite(scores))
         else:
             row, col = np.nonzero(np.isfinite(scores))
+        if not len(row):
+            return
         self.parts.append((col + first_query, scores[row, col], ids[row]))
         self.held += len(row)
         if self.held > 4 * self.k * len(self.query_ids) + 100_000:
@@ -158,7 +161,28 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out / norm[:, None]
 
 
+def pieces(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of up to ``limit`` in size together, at least one row each."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def cut(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of up to ``limit`` words or bytes in a column of lists or strings."""
+    for batch in batches:
+        values = batch.column(column)
+        measure = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        sizes = np.asarray(measure(values).fill_null(0)).astype(np.int64)
+        for lo, hi in pieces(sizes, limit):
+            yield batch.slice(lo, hi - lo)
+
+
 def _scan(corpus: DataFrame, kernel: Callable, k: int, order: Column, parts: list[DataFrame]):
+    bounded_batches(corpus.sparkSession)
     found = corpus.mapInArrow(kernel, RESULT)
     parts.append(top_k(found, ["query_id"], [order, F.col("chunk_id").asc()], k))
 
@@ -291,7 +315,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: floa
             query_ids, terms, idf, asks, limits = shared.value
             best = Best(query_ids, k)
             names = pa.array(terms, pa.string())
-            for batch in batches:
+            for batch in cut(batches, "tokens", BATCH_WORDS):
                 words = batch.column("tokens")
                 ids = batch.column("chunk_id").to_numpy()
                 length = np.asarray(pc.list_value_length(words).fill_null(0)).astype(np.int64)

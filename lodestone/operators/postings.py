@@ -43,6 +43,22 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``block`` rows, the last one of the rest, whatever the borders of those given."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        start = 0
+        while start < batch.num_rows:
+            held.append(batch.slice(start, block - rows))
+            start, rows = start + held[-1].num_rows, rows + held[-1].num_rows
+            if rows == block:
+                yield pa.concat_batches(held)
+                held, rows = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _block_rows(batch: pa.RecordBatch, block: int) -> pa.RecordBatch:
     """One row per term of a block, and one of the empty term that lists all its chunks."""
     rows = batch.num_rows
@@ -179,10 +195,9 @@ class PostingsIndex:
 
         def kernel(batches: Iterator[pa.RecordBatch]):
             number = (batch << 48) | (TaskContext.get().partitionId() << 24)
-            for rows in batches:
-                for start in range(0, rows.num_rows, block):
-                    yield _block_rows(rows.slice(start, block), number)
-                    number += 1
+            for rows in _blocks(batches, block):
+                yield _block_rows(rows, number)
+                number += 1
 
         words = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), tokens(F.col("content")).alias("tokens"))
         rows = words.mapInArrow(kernel, ROWS).withColumn("bucket", self._bucket())

@@ -8,13 +8,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.matching import slices
+from lodestone.operators.matching import cut, slices
 from lodestone.operators.ranking import running_total
+from lodestone.session import bounded_batches
 
 # Reciprocal rank that passes, and the tolerance of comparisons.
 PASS_MRR = 0.5
 TOLERANCE = 0.05
 
+# Bytes of texts scanned together.
+SCAN_BYTES = 1 << 20
+
 
 def passages_in_documents(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     """(item_id, chunk_id) for every passage found as a case-insensitive substring of a chunk.
@@ -25,6 +29,7 @@ def passages_in_documents(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     import ahocorasick
 
     spark = chunks.sparkSession
+    bounded_batches(spark)
     texts = chunks.select("chunk_id", F.lower("content").alias("content"))
     found: list[DataFrame] = []
     needles = passages.select(F.col("item_id").alias("query_id"), F.lower("text").alias("text"))
@@ -42,7 +47,7 @@ def passages_in_documents(chunks: DataFrame, passages: DataFrame) -> DataFrame:
             if not len(automaton):
                 return
             automaton.make_automaton()
-            for batch in batches:
+            for batch in cut(batches, "content", SCAN_BYTES):
                 ids, contents = batch.column("chunk_id").to_pylist(), batch.column("content").to_pylist()
                 hits = {
                     (item, chunk)

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 # Rows a side may have before an explicit broadcast is ruled out.
 BROADCAST_ROW_LIMIT = 200_000
 
+# Bytes of an Arrow batch on its way to a Python kernel over texts.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -36,6 +40,16 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` from here on; a lower setting stays.
+
+    Spark's own bound is 64 MB or 10 000 rows, of which a Python worker holds several forms at once.
+    """
+    size = str(spark.conf.get(BATCH_SETTING)).rstrip("bB")
+    if not size.lstrip("-").isdigit() or not 0 < int(size) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """New folder under the shared checkpoint directory of the cluster.
 

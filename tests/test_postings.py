@@ -76,3 +76,13 @@ def test_plan_reads_only_the_columns_and_buckets_it_needs(corpus, tmp_path, caps
     index.search(asks.where("query_id = 44"), k=2).explain("formatted")
     plan = capsys.readouterr().out
     assert "content" not in plan and "front_tf" not in plan and "PartitionFilters: [bucket" in plan.replace("bucket#", "bucket")
+
+
+def test_blocks_do_not_depend_on_the_borders_of_batches():
+    import pyarrow as pa
+
+    from lodestone.operators.postings import _blocks
+
+    given = [pa.record_batch({"chunk_id": pa.array(range(lo, hi))}) for lo, hi in ((0, 5), (5, 5), (5, 6), (6, 17))]
+    found = [b.column(0).to_pylist() for b in _blocks(iter(given), 4)]
+    assert found == [list(range(lo, min(lo + 4, 17))) for lo in range(0, 17, 4)]
