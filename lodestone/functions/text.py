@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SPACES = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# Their complement. The class within the class keeps ASCII letters from being tested against one range after another.
+VISIBLE = (
+    r"[!-~[\x00-\x08\x0e-\x1b\x7f-\x{84}\x{86}-\x{9f}\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}"
+    r"\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}]]"
+)
 SPACE_CHARACTERS = "".join(
     map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
 ) + "\u2028\u2029\u202f\u205f\u3000"
@@ -54,7 +59,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of non-space characters."""
-    return F.regexp_extract_all(text, F.lit(f"[^{SPACES}]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"{VISIBLE}+"), F.lit(0))
 
 
 def collapse(text: Column) -> Column:
