@@ -57,11 +57,11 @@ def index_batch(rows: DataFrame, batch: int, base: str, compact_every: int = 20)
         compared = changed_documents(known, hashed.where("NOT vanished"))
         fresh = compared.where("change <> 'unchanged'").drop("change", "vanished")
         gone = hashed.where("vanished").drop("vanished").withColumn("_deleted", F.lit(True))
-        # A changed document may have no chunk left: its old ones go by tombstone.
-        made = chunk_documents(markdown_sections(fresh.select(CHUNKED)))
-        emptied = fresh.select(*KEY).unionByName(gone.select(*KEY)).join(made.select(*KEY).distinct(), KEY, "left_anti")
+        # Texts are chunked once: a changed document without a chunk gives its own tombstone.
+        made = chunk_documents(markdown_sections(fresh.select(CHUNKED)), keep_empty=True)
+        made = made.withColumn("_deleted", F.col("chunk_index").isNull())
         # Documents last: a batch that stops before is indexed anew as a whole.
-        chunks.write(made.withColumn("_deleted", F.lit(False)).unionByName(emptied.withColumn("_deleted", F.lit(True)), allowMissingColumns=True), batch)
+        chunks.write(made.unionByName(gone.select(*KEY, "_deleted"), allowMissingColumns=True), batch)
         documents.write(fresh.withColumn("_deleted", F.lit(False)).unionByName(gone), batch)
     finally:
         hashed.unpersist()
