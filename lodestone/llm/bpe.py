@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -82,19 +81,34 @@ class Codec:
         self.ranks = ranks
         self.split = regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.symbols = {i: b for b, i in ranks.items()}
-        self.bytes = [bytes([i]) for i in range(256)]
-        # longer than any symbol, so nothing merges with it
-        self.barrier = bytes(max(map(len, ranks), default=0) + 1)
-        self.first = np.full(256, NO_RANK, np.int64)
+        # symbols are numbers: ranks, then bytes without a rank, then the barrier, with which nothing merges
+        self.unranked = max(ranks.values(), default=0) + 1
+        self.barrier = self.unranked + 256
+        self.first = np.arange(256) + self.unranked
         self.pairs = np.full(1 << 16, NO_RANK, np.int64)
         for symbol, rank in ranks.items():
             if len(symbol) == 1:
                 self.first[symbol[0]] = rank
             elif len(symbol) == 2:
                 self.pairs[symbol[0] << 8 | symbol[1]] = rank
+        numbers = {bytes([i]): n for i, n in enumerate(self.first.tolist())} | ranks
+        #: Rank by left symbol times ``base`` plus right symbol, for all ways to put a symbol together from two.
+        self.base = self.barrier + 1
+        self.into: dict[int, int] = {}
+        for symbol, rank in ranks.items():
+            for cut in range(1, len(symbol)):
+                left, right = numbers.get(symbol[:cut]), numbers.get(symbol[cut:])
+                if left is not None and right is not None:
+                    self.into[left * self.base + right] = rank
+        by_rank = sorted((rank, symbol) for symbol, rank in ranks.items())
+        self.letters = np.frombuffer(b"".join(symbol for _, symbol in by_rank), np.uint8)
+        self.lengths = np.zeros(self.unranked, np.int64)
+        self.lengths[[rank for rank, _ in by_rank]] = [len(symbol) for _, symbol in by_rank]
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.pretokens: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pretokens: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def merged(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of each pre-token, from one queue over all of them."""
@@ -102,10 +116,7 @@ class Codec:
         bars = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
         barred = np.zeros(len(data), bool)
         barred[bars] = True
-        symbols = list(map(self.bytes.__getitem__, data.tolist()))
-        for bar in bars.tolist():
-            symbols[bar] = self.barrier
-        ids = np.where(barred, NO_RANK, self.first[data]).tolist()
+        symbols = np.where(barred, self.barrier, self.first[data]).tolist()
         ranks = np.where(barred[:-1] | barred[1:], NO_RANK, self.pairs[data[:-1] << 8 | data[1:]])
         at = np.flatnonzero(ranks != NO_RANK)
         at = at[np.argsort(ranks[at], kind="stable")]
@@ -113,36 +124,32 @@ class Codec:
             borders = np.flatnonzero(np.diff(ranks[at])) + 1
             for part in np.split(at, borders):
                 self.queue.open(int(ranks[part[0]]), part.tolist())
-        self._merge(symbols, ids)
-        kept = np.array(ids, np.int64)
-        live = kept != NO_RANK
+        self._merge(symbols)
+        kept = np.array(symbols, np.int64)
+        live = (kept != NO_RANK) & (kept < self.unranked)
         ends = (np.cumsum(live) * 4)[bars].tolist()
         packed = kept[live].astype("<u4").tobytes()
         return [packed[a:b] for a, b in zip(ends, ends[1:])]
 
-    def _merge(self, symbols: list, ids: list[int]) -> None:
-        """Works the queue off; ids of symbols that went into others become NO_RANK."""
-        rank_of, queue = self.ranks.get, self.queue
+    def _merge(self, symbols: list[int]) -> None:
+        """Works the queue off; symbols that went into others become NO_RANK."""
+        rank_of, base, queue = self.into.get, self.base, self.queue
         buckets = queue.buckets
         following = list(range(1, len(symbols) + 1))
         preceding = list(range(-1, len(symbols) - 1))
         while queue.top:
             rank, positions = queue.pop()
-            whole = self.symbols[rank]
             for turn, i in enumerate(positions):
-                symbol = symbols[i]
-                if symbol is None:
-                    continue
                 j = following[i]
-                if symbol + symbols[j] != whole:
+                # NO_RANK makes a negative number, which is never found
+                if rank_of(symbols[i] * base + symbols[j]) != rank:
                     continue
-                symbols[i], symbols[j] = whole, None
-                ids[i], ids[j] = rank, NO_RANK
+                symbols[i], symbols[j] = rank, NO_RANK
                 after = following[i] = following[j]
                 preceding[after] = i
                 before = preceding[i]
                 lowest = rank
-                right = rank_of(whole + symbols[after])
+                right = rank_of(rank * base + symbols[after])
                 if right is not None:
                     if right in buckets:
                         buckets[right].append(i)
@@ -150,7 +157,7 @@ class Codec:
                         queue.open(right, [i])
                     if right < lowest:
                         lowest = right
-                left = rank_of(symbols[before] + whole)
+                left = rank_of(symbols[before] * base + rank)
                 if left is not None:
                     if left in buckets:
                         buckets[left].append(before)
@@ -177,16 +184,23 @@ class Codec:
             known.update(zip((w for w, _ in step), self.merged([d for _, d in step])))
         return known
 
+    def _matches(self, text: str) -> list[str]:
+        """All matches of the pattern; ``findall`` gives groups where the pattern has any."""
+        if self.split.groups:
+            return [m.group() for m in self.split.finditer(text)]
+        return self.split.findall(text)
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text: little-endian, 32 bits each; every match of the pattern is encoded separately.
 
         Texts go by way of pieces cut before single spaces, which are looked up first. Texts with other white space
         next to such a space, or at the ends of pieces, are matched whole.
         """
-        if len(self.pieces) > CACHE_SIZE:
-            self.pieces.clear()
-        if len(self.pretokens) > CACHE_SIZE:
-            self.pretokens.clear()
+        # what was not used since the cache was last half full goes
+        if len(self.pieces) > CACHE_SIZE // 2:
+            self.pieces, self.old_pieces = {}, self.pieces
+        if len(self.pretokens) > CACHE_SIZE // 2:
+            self.pretokens, self.old_pretokens = {}, self.pretokens
         cut, missing, whole = [], set(), {}
         for text in texts:
             first, *rest = text.split(" ")
@@ -198,12 +212,17 @@ class Codec:
             else:
                 cut.append((text, []))
                 whole.setdefault(text)
-        split = self.split.finditer
-        matches = {p: [m.group() for m in split(" " + p)] for p in missing}
-        heads = {t: [m.group() for m in split(t)] for t in whole}
+        found = [p for p in missing if p in self.old_pieces]
+        self.pieces.update((p, self.old_pieces.pop(p)) for p in found)
+        missing.difference_update(found)
+        matches = {p: self._matches(" " + p) for p in missing}
+        heads = {t: self._matches(t) for t in whole}
         wanted = {w for words in matches.values() for w in words}
         wanted.update(w for words in heads.values() for w in words)
         wanted.difference_update(self.pretokens)
+        found = [w for w in wanted if w in self.old_pretokens]
+        self.pretokens.update((w, self.old_pretokens.pop(w)) for w in found)
+        wanted.difference_update(found)
         fresh = self._words(wanted)
         self.pretokens.update(fresh)
         ids_of = self.pretokens.__getitem__
@@ -219,7 +238,11 @@ class Codec:
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of packed ids."""
-        return b"".join(map(self.symbols.__getitem__, array("I", ids)))
+        ids = np.frombuffer(ids, "<u4")
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self.starts[ids] - ends + lengths, lengths)
+        return self.letters[places + np.arange(len(places))].tobytes()
 
 
 def _steps(todo: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
