@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import let, packed, stored
 from lodestone.llm.links import alike, compared, first_common, linked_components, only
-from lodestone.llm.ngram_join import heavy_classes, mixed, parities, rarest
+from lodestone.llm.ngram_join import class_counts, mixed, parities, rarest
 
 SHINGLE = 8
 PERCENT = 80
@@ -143,7 +143,7 @@ def line_components(lines: DataFrame, percent: int, bands: int = BANDS, rows: in
     def by_rare_shingles(nodes: DataFrame) -> DataFrame:
         nonlocal texts, facts
         texts = only(texts, nodes)
-        frequency = lines.sparkSession.sparkContext.broadcast(heavy_classes(texts, line_set, CLASSES, 0))
+        frequency = lines.sparkSession.sparkContext.broadcast(class_counts(texts, line_set, CLASSES))
 
         def describe(batches):
             for batch in batches:

@@ -1,13 +1,15 @@
 """Links between nodes that share buckets, and their connected components, without pairs within known components.
 
 ``members`` has rows (bucket, node): nodes that share a bucket may link. Comparing all pairs of a bucket grows with
-the square of a group of near copies, so the search takes two steps. First each bucket names one of its nodes by
+the square of a group of near copies, so the search takes three steps. First each bucket names one of its nodes by
 lot as its centre, and every node is compared with the centres of its buckets: as many pairs as rows at most. The
-links found join most groups. Then only pairs of a bucket whose nodes lie in different components are compared: all
+links found join most groups. Then the nodes outside a bucket's most frequent component are compared with a sample of
+that component, about the square root of its rows there: loose groups, whose members link to some of the others
+only, are joined by it. Last, only pairs of a bucket whose nodes lie in different components are compared: all
 nodes outside the bucket's most frequent component with all others. Every pair that shares a bucket is thus either
 compared or known to lie in one component, so the components are those of all links.
 
-Buckets that say little of similarity can hold many nodes that do not link. The second step may then deal the nodes
+Buckets that say little of similarity can hold many nodes that do not link. The later steps may then deal the nodes
 of mixed buckets into finer buckets, of which any two that link share one.
 """
 
@@ -166,21 +168,32 @@ def linked_components(
     links = stored(verify(ordered(stars)).select("a", "b"), "links")
     known = components(links)
 
-    def of_mixed(members: DataFrame) -> DataFrame:
+    def of_mixed(members: DataFrame, known: DataFrame) -> DataFrame:
         labelled = members.join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
         return stored(labelled.join(mixed.where("_low <> _high").select("bucket"), "bucket"), "labelled")
 
-    labelled = of_mixed(members)
+    labelled = of_mixed(members, known)
     if finer:
-        labelled = of_mixed(finer(labelled.select("node")))
-    most = (
-        labelled.groupBy("bucket", "label")
-        .count()
-        .groupBy("bucket")
-        .agg(F.max_by("label", F.struct("count", "label")).alias("most"))
-    )
-    rest = sided(labelled.join(most, "bucket").where("label <> most").drop("most"), "x")
+        labelled = of_mixed(finer(labelled.select("node")), known)
+
+    def with_most(labelled: DataFrame) -> DataFrame:
+        """``labelled`` with the label that most rows of the bucket have, and their number."""
+        counted = labelled.groupBy("bucket", "label").count().groupBy("bucket")
+        most = F.max_by("label", F.struct("count", "label")).alias("most")
+        return labelled.join(counted.agg(most, F.max("count").alias("rows")), "bucket")
+
+    # what the centres missed
+    placed = with_most(labelled)
+    draw = F.pmod(F.xxhash64(F.lit("hub"), "node"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    hubs = placed.where("label = most").where(draw * draw * F.col("rows") < 1).drop("most", "rows")
+    near = sided(placed.where("label <> most").drop("most", "rows"), "x").join(sided(hubs, "y"), "bucket")
+    found = stored(verify(ordered(near.where(f"({star}) and ({pair})"))).select("a", "b"), "links")
+    if not found.isEmpty():
+        links = links.union(found)
+        known = components(links)
+        labelled = of_mixed(labelled.drop("label"), known)
+    rest = sided(with_most(labelled).where("label <> most").drop("most", "rows"), "x")
     pairs = rest.join(sided(labelled, "y"), "bucket").where(f"label_x <> label_y and ({pair})")
     more = stored(verify(ordered(pairs)).select("a", "b"), "links")
     return known if more.isEmpty() else components(links.union(more))

@@ -6,8 +6,8 @@ much (length filter), if too few n-grams can follow or precede it (positional fi
 counts in 512 hash classes differ in more classes than the sets may differ in elements (suffix filter: a
 lower bound of the Hamming distance from a partition of the elements). What remains is verified on the full sets.
 
-Frequencies come from all documents: each task counts hash classes in a table of fixed size and reports those well
-above its mean. They only order the n-grams, so counts of whole classes give exact results too. Sets of equal content
+Frequencies come from all documents: each task counts hash classes in a table of fixed size, and the tables are added
+up. They only order the n-grams, so counts of whole classes give exact results too. Sets of equal content
 are joined as one node. The result is components, so pairs within a known component are not compared
 (see ``links``).
 
@@ -35,6 +35,8 @@ SIMILARITY = 80
 #: Hash classes of the frequency table, and of the suffix filter (times 64).
 CLASSES = 1 << 22
 SKETCH = 8
+#: Classes whose counts are one row.
+SLICE = 1 << 12
 #: Bytes hashed at a time.
 STEP = 1 << 18
 
@@ -103,33 +105,42 @@ def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(mixed(sums)) if many else sums
 
 
-def heavy_classes(texts: DataFrame, grams, classes: int = CLASSES, least: int = 3) -> np.ndarray:
-    """Counts of hash classes of the ``grams`` of all ``texts`` (text), where a task found a class well above its mean.
+def class_counts(texts: DataFrame, grams, classes: int = CLASSES) -> np.ndarray:
+    """Counts of hash classes of the ``grams`` of all ``texts`` (text), summed over all tasks.
 
-    A class found at most ``least`` times in a task is none of these.
+    There are at most as many tasks as cores, so the tables that are added up do not grow with the texts. They travel
+    in slices of SLICE classes.
     """
 
     def count(batches):
-        table, waiting, size = np.zeros(classes, np.int32), [], 0
+        table, waiting, size = np.zeros(classes, np.int64), [], 0
         for batch in batches:
             for text in batch.text:
                 found = grams(text) & np.uint64(classes - 1)
                 waiting.append(found.astype(np.int64))
                 size += len(found)
-                if size > 4 * classes:
-                    table += np.bincount(np.concatenate(waiting), minlength=classes).astype(np.int32)
+                if size > classes // 2:
+                    table += np.bincount(np.concatenate(waiting), minlength=classes)
                     waiting, size = [], 0
         if waiting:
-            table += np.bincount(np.concatenate(waiting), minlength=classes).astype(np.int32)
-        mean = table.sum() / classes
-        high = np.flatnonzero(table > least + mean + 4 * mean**0.5)
-        yield pd.DataFrame({"class": high, "n": table[high]})
-
-    counted = texts.select("text").mapInPandas(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"))
-    table = np.zeros(classes, np.int64)
-    found = counted.toPandas()
-    table[found["class"].to_numpy(np.int64)] = found["n"]
-    return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
+            table += np.bincount(np.concatenate(waiting), minlength=classes)
+        table = np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
+        for at in range(0, classes, SLICE):
+            yield pd.DataFrame({"slice": [at], "counts": [table[at : at + SLICE].tobytes()]})
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SLICE, np.int64)
+        for counts in part.counts:
+            total += np.frombuffer(counts, np.int32)
+        total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+        return pd.DataFrame({"slice": [part["slice"].iloc[0]], "counts": [total.tobytes()]})
+
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    counted = texts.select("text").coalesce(cores).mapInPandas(count, "slice int, counts binary")
+    table = np.zeros(classes, np.int32)
+    for row in counted.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():
+        table[row["slice"] : row["slice"] + SLICE] = np.frombuffer(row.counts, np.int32)
+    return table
 
 
 def rarest(found: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
@@ -148,7 +159,7 @@ def parities(found: np.ndarray) -> np.ndarray:
 
 def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, digest, prefix, sketch) of every document."""
-    frequency = docs.sparkSession.sparkContext.broadcast(heavy_classes(docs, lambda text: shingle_set(text, n)))
+    frequency = docs.sparkSession.sparkContext.broadcast(class_counts(docs, lambda text: shingle_set(text, n)))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = frequency.value

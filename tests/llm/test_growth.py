@@ -1,9 +1,12 @@
-"""Work that has to grow no faster than the texts: words that come again and again."""
+"""Work that has to grow no faster than the texts: frequent n-grams, loose groups, words that come again and again."""
 
 import base64
+import random
 
 import public_tokenizers
-from lodestone.llm import bpe
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, links, ngram_join
 
 
 def ranks():
@@ -11,6 +14,38 @@ def ranks():
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
+def test_prefixes_avoid_a_passage_that_each_task_sees_once(spark):
+    # 40 texts over 40 partitions share 60 words; no partition sees a shared n-gram twice
+    draw = random.Random(3)
+    passage = " ".join(f"shared{k}" for k in range(60))
+    texts = [(d, " ".join(f"w{draw.randrange(10**9)}" for _ in range(300)) + " " + passage) for d in range(40)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(texts, 40), "doc_id long, text string")
+    placed = ngram_join._described(docs, 5, 80).select("doc_id", F.explode("prefix").alias("bucket"))
+    assert placed.groupBy("bucket").count().where("count > 1").count() == 0
+
+
+def test_class_counts_are_sums_over_all_tasks(spark):
+    rows = [("a b c d e",)] * 30 + [("f g h i j",), (None,), ("",)]
+    texts = spark.createDataFrame(spark.sparkContext.parallelize(rows, 33), "text string")
+    counts = ngram_join.class_counts(texts, ngram_join.shingle_set, 1 << 14)
+    assert sorted(counts[counts > 0].tolist()) == [1, 30]
+    assert not ngram_join.class_counts(texts.limit(0), ngram_join.shingle_set, 1 << 14).any()
+
+
+def test_loose_groups_are_not_compared_pair_by_pair(spark):
+    # any two of 400 nodes in one bucket link by the toss of a coin
+    compared = []
+
+    def verify(pairs):
+        compared.append(pairs.count())
+        return pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0)
+
+    members = spark.range(400).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("node"))
+    found = links.linked_components(members, verify)
+    assert {(r.node, r.root) for r in found.collect()} == {(n, 0) for n in range(400)}
+    assert sum(compared) < 10_000
+
+
 def test_words_in_use_stay_in_the_cache(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_SIZE", 40)
     codec = bpe.Codec(ranks(), public_tokenizers.PATTERN)
