@@ -1,11 +1,16 @@
 """License scan: a trained paragraph classifier, confirmed by comparison with templates, in DataFrame operations only.
 
-Paragraphs (lines) are described by hashed word 1- to 3-grams. Multinomial logistic regression tells license families
-from each other, from licensing talk of no known family, and from other text. It is trained on the templates, on
-stretches of their words and variations of their frames, and on a sample of the corpus's paragraphs bounded by
-``train_paragraphs``. A held-out part of that sample calibrates the probability from which a family is believed, so
-that other text passes it at most once in a thousand paragraphs. A believed family must also share enough of its
-n-grams with one of the family's templates; a paragraph about licensing for which that fails is ``unknown``.
+Paragraphs (lines) are described by the word 1- to 3-grams they share with the statements below, and by a class of the
+number of their other words. Multinomial logistic regression tells license families from each other, from licensing
+talk of no known family, and from other text. It is trained on the templates, on stretches of their words and variations
+of their frames, and on all paragraphs of the corpus without a word of licensing; these weigh as much as
+``other_weight`` examples together, however many they are. Each half of them, dealt by description, is scored by a model
+that learned from the other half only; this calibrates the probability from which a family is believed, so that other
+text passes it at most once in a thousand paragraphs. A believed family must also share enough of its n-grams with one
+of the family's templates; a paragraph about licensing for which that fails is ``unknown``.
+
+The texts are read once. What is left of them, known words and n-grams by run of lines, is stored; paragraphs of one
+description are counted together and scored once.
 
 Notices are also wrapped over lines. Runs of lines up to a blank one (or a bare comment mark) are read in overlapping
 windows, of which one holds any stretch as long as the longest template. A window is of a family if it has enough of
@@ -17,15 +22,15 @@ in order of name; an empty table gives no rows. Paragraphs of any length are sco
 
 from __future__ import annotations
 
-import functools
+import math
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let
+from lodestone.llm.common import broadcast_checked, let, stored
 
 # Statements by which the families are named or quoted.
 TEMPLATES = {
@@ -82,14 +87,22 @@ UNNAMED = [
 # Frames in which a named license is mentioned.
 FRAMES = ("", "this file is ", "this project is ", "the software is ", "note: ")
 
-FEATURES = 1 << 15
-TRAIN_PARAGRAPHS = 6_000
+#: Examples as which all other text together counts, if it has more paragraphs.
+OTHER_WEIGHT = 3_000
+#: Parts of words that paragraphs of other text must not have: it must hold no license.
+TALK = ("licens", "licenc", "copyright", "spdx", "warrant", "redistribut", "rights reserved", "permission")
+#: Classes of the number of words that no statement has: 0, 1, 2 to 3, 4 to 7, ...
+SIZES = 7
+#: Classes that a statement may have, as it may stand among other words.
+AMONG = 4
 #: Share of a template's n-grams that a paragraph must have.
 CONTAINED = 0.6
 #: Share that a window must have of the template's n-grams that no other family's templates have.
 OWN = 0.7
 #: Share of held-out other paragraphs that may pass for a family or for licensing talk.
 FALSE_ALARMS = 0.001
+#: Steps of the log-odds of being other text, per unit, in which paragraphs are counted, and the least log-odds told apart.
+STEPS, LEAST = 100, -30
 
 
 def runs(docs: DataFrame) -> DataFrame:
@@ -101,19 +114,14 @@ def runs(docs: DataFrame) -> DataFrame:
     )
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, run, paragraph) of the lines that have a word."""
-    lined = runs(docs).select("doc_id", "tie", "run", F.explode_outer(F.split("block", "\n")).alias("paragraph"))
-    return lined.where(F.col("paragraph").rlike(r"\w"))
-
-
 def words_of(paragraph: Column) -> Column:
-    return F.regexp_extract_all(F.lower(paragraph), F.lit(r"[\p{L}\p{N}](?:[^\s]*[\p{L}\p{N}])?"), F.lit(0))
+    """Of a paragraph in lower case."""
+    return F.regexp_extract_all(paragraph, F.lit(r"[\p{L}\p{N}](?:[^\s]*[\p{L}\p{N}])?"), F.lit(0))
 
 
 def grams(paragraph: Column) -> Column:
     """Word 1- to 3-grams in lower case, without marks at the ends of words."""
-    return let(words_of(paragraph), spans)
+    return let(words_of(F.lower(paragraph)), spans)
 
 
 def spans(w: Column) -> Column:
@@ -131,11 +139,53 @@ def spans(w: Column) -> Column:
     return let(pairs, joined)
 
 
-def described(rows: DataFrame, features: int = FEATURES) -> DataFrame:
-    """``rows`` (paragraph, ...) with grams and their hashed vector."""
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True).transform(
-        rows.withColumn("grams", grams(F.col("paragraph")))
-    )
+def size_class(n: Column) -> Column:
+    return F.concat(F.lit("+"), F.when(n == 0, 0).otherwise(F.least(F.length(F.bin(n)), F.lit(SIZES - 1))))
+
+
+def tokens_of(marked: Column, vocabulary: list[str]) -> Column:
+    """Sorted n-grams of the vocabulary and size class of a paragraph whose words outside the vocabulary are empty."""
+    n = F.size(marked)
+
+    def with_next(a: Column, b: Column) -> Column:
+        return F.when((a != "") & (b != ""), F.concat_ws(" ", a, b)).otherwise("")
+
+    def found(two: Column) -> Column:
+        three = F.zip_with(two, F.slice(marked, 3, n), with_next)
+        return F.array_sort(F.array_distinct(F.filter(F.concat(marked, two, three), lambda g: g.isin(vocabulary))))
+
+    known = let(F.zip_with(marked, F.slice(marked, 2, n), with_next), found)
+    own = F.filter(marked, lambda x: x != "")
+    known = F.when(F.size(own) < 2, own).otherwise(known)
+    return F.concat(known, F.array(size_class(n - F.size(own))))
+
+
+def read(docs: DataFrame, vocabulary: list[str], cue_words: list[str]) -> DataFrame:
+    """(doc_id, tie, run, found) of the runs of lines, stored.
+
+    found has lines, of those that have a word the tokens and whether they are plain, without a word of licensing; and
+    words, all of the run, if a template may be among them. Words outside the vocabulary are empty.
+    """
+    single = [g for g in vocabulary if " " not in g]
+
+    def marked(line: Column) -> Column:
+        return F.transform(words_of(line), lambda x: F.when(x.isin(single), x).otherwise(""))
+
+    def described(line: Column) -> Column:
+        talk = F.lit(False)
+        for part in TALK:
+            talk = talk | line.contains(part)
+        has = line.rlike(r"\w").alias("has")
+        return let(marked(line), lambda w: F.struct(tokens_of(w, vocabulary).alias("tokens"), w.alias("w"), (~talk).alias("plain"), has))
+
+    def found(lines: Column) -> Column:
+        words = F.flatten(F.transform(lines, lambda x: x["w"]))
+        lines = F.transform(F.filter(lines, lambda x: x["has"]), lambda x: F.struct(x["tokens"].alias("tokens"), x["plain"].alias("plain")))
+        words = let(words, lambda w: F.when(F.exists(w, lambda x: x.isin(cue_words)), w))
+        return F.struct(lines.alias("lines"), words.alias("words"))
+
+    lines = F.transform(F.split(F.lower("block"), "\n"), described)
+    return stored(runs(docs).select("doc_id", "tie", "run", let(lines, found).alias("found")), "runs")
 
 
 def classes() -> list[str]:
@@ -152,29 +202,60 @@ def _examples(spark: SparkSession) -> DataFrame:
             for frame in FRAMES:
                 for cut in range(0, max(1, len(words) // 3)):
                     rows.append((frame + " ".join(words[: len(words) - cut]), float(names.index(name))))
-    return spark.createDataFrame(rows, "paragraph string, label double")
+    return spark.createDataFrame(rows, "paragraph string, label double").coalesce(1)
 
 
-def train(docs: DataFrame, train_paragraphs: int = TRAIN_PARAGRAPHS) -> tuple[LogisticRegressionModel, float]:
-    """The classifier, and the probability of being other text under which a paragraph is taken for licensing talk."""
-    total = docs.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))).head()[0] or 0
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "paragraph", "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    # cue words are kept out of the sample of other text: it must hold no license
-    cue = r"(?i)licen[sc]|copyright|spdx|warrant|redistribut|rights reserved|permission"
-    sampled = paragraphs(docs).where(draw < train_paragraphs / max(total, 1)).where(~F.col("paragraph").rlike(cue))
-    spark = docs.sparkSession
-    other = [r.paragraph for r in sampled.select("paragraph").orderBy("paragraph").collect()]
-    negative = spark.createDataFrame([(p, 0.0) for p in other[::2]], "paragraph string, label double")
-    examples = described(_examples(spark).union(negative)).select("label", "features").coalesce(2)
-    model = LogisticRegression(
-        family="multinomial", regParam=0.002, maxIter=60, featuresCol="features", labelCol="label"
-    ).fit(examples)
-    limit = 0.5
-    if other[1::2]:
-        held = described(spark.createDataFrame([(p,) for p in other[1::2]], "paragraph string"))
-        scored = model.transform(held).select(vector_to_array("probability")[0].alias("p"))
-        limit = min(limit, scored.agg(F.percentile("p", F.lit(FALSE_ALARMS))).head()[0])
-    return model, limit
+def vocabulary_of(spark: SparkSession) -> list[str]:
+    """All n-grams of the examples: a fixed number."""
+    found = _examples(spark).select(F.explode(grams(F.col("paragraph"))).alias("gram")).distinct()
+    return sorted(r.gram for r in found.collect())
+
+
+def vectors(vocabulary: list[str]) -> CountVectorizerModel:
+    every = [*vocabulary, *[f"+{k}" for k in range(SIZES)]]
+    return CountVectorizerModel.from_vocabulary(every, inputCol="tokens", outputCol="features", minTF=0.0).setBinary(True)
+
+
+def train(counted: DataFrame, vocabulary: list[str], other_weight: int = OTHER_WEIGHT) -> tuple[LogisticRegressionModel, float]:
+    """The classifier, and the probability of being other text under which a paragraph is taken for licensing talk.
+
+    ``counted`` has the descriptions (tokens) of all paragraphs and n, the number of plain ones of each.
+    """
+    spark = counted.sparkSession
+    vectorized = vectors(vocabulary)
+    other = counted.where("n > 0").withColumn("fold", F.pmod(F.xxhash64("tokens"), F.lit(2)))
+    totals = {r.fold: r.n for r in other.groupBy("fold").agg(F.sum("n").alias("n")).collect()}
+    total = sum(totals.values())
+
+    among = F.explode(F.array(*[F.lit(f"+{k}") for k in range(AMONG)]))
+    examples = _examples(spark).select("label", F.array_sort(F.array_distinct(grams(F.col("paragraph")))).alias("grams"), among.alias("size"))
+    examples = examples.select("label", F.concat("grams", F.array("size")).alias("tokens"), F.lit(1.0 / AMONG).alias("weight"))
+
+    def fitted(rows: DataFrame, n: int) -> LogisticRegressionModel:
+        weight = F.col("n") * F.lit(min(1.0, other_weight / max(n, 1)))
+        rows = rows.select(F.lit(0.0).alias("label"), "tokens", weight.alias("weight"))
+        return LogisticRegression(
+            family="multinomial", regParam=0.002, maxIter=60, featuresCol="features", labelCol="label", weightCol="weight"
+        ).fit(vectorized.transform(examples.union(rows)))
+
+    model = fitted(other, total)
+    if not total:
+        return model, 0.5
+    low: dict[int, int] = {}
+    for fold in (0, 1):
+        of_others = fitted(other.where(F.col("fold") != fold), totals.get(1 - fold, 0))
+        scored = of_others.transform(vectorized.transform(other.where(F.col("fold") == fold)))
+        p = vector_to_array("probability")[0]
+        step = F.floor(F.greatest(F.ln(p / (1 - p)), F.lit(float(LEAST))) * STEPS).cast("int")
+        # a fixed number of steps, whatever the number of paragraphs
+        for r in scored.where(p < 0.5).groupBy(step.alias("step")).agg(F.sum("n").alias("n")).collect():
+            low[r.step] = low.get(r.step, 0) + r.n
+    passed = 0
+    for step, n in sorted(low.items()):
+        passed += n
+        if passed > FALSE_ALARMS * total:
+            return model, 1 / (1 + math.exp(-step / STEPS))
+    return model, 0.5
 
 
 def _templates(spark: SparkSession) -> list[tuple[str, list[str], list[str], list[str]]]:
@@ -200,13 +281,9 @@ def cues(templates: list[tuple[str, list[str], list[str], list[str]]]) -> list[s
     return sorted(out)
 
 
-def wrapped(docs: DataFrame, model: LogisticRegressionModel) -> DataFrame:
+def wrapped(found: DataFrame, templates: list, model: LogisticRegressionModel, vocabulary: list[str]) -> DataFrame:
     """(doc_id, tie, run, hit) of the runs of lines that hold a family's template; hit has family and probability."""
-    spark = docs.sparkSession
-    templates = _templates(spark)
     span = max(sum(" " not in g for g in t[1]) for t in templates) * 2
-    low = F.lower("block")
-    has_cue = functools.reduce(Column.__or__, [low.contains(w) for w in cues(templates)])
 
     def constant(values: list[str]) -> Column:
         return F.split(F.lit("\n".join(values)), "\n") if values else F.array().cast("array<string>")
@@ -229,15 +306,14 @@ def wrapped(docs: DataFrame, model: LogisticRegressionModel) -> DataFrame:
         enough = (common("known") >= CONTAINED * F.size(t["known"])) & (common("own") >= OWN * F.size(t["own"]))
         return enough & (common("numbered") == F.size(t["numbered"]))
 
-    cut = runs(docs).where(has_cue)
-    cut = cut.select("doc_id", "tie", "run", F.explode_outer(let(words_of(F.col("block")), windows)).alias("words"))
+    cut = found.where("found.words is not null").select("doc_id", "tie", "run", F.col("found.words").alias("words"))
+    cut = cut.select("doc_id", "tie", "run", F.explode_outer(windows(F.col("words"))).alias("words"))
     # One intersection with the n-grams of all templates; what is left of a window is short.
     cut = cut.select("doc_id", "tie", "run", F.array_intersect(spans(F.col("words")), union).alias("common"))
     cut = cut.where(F.size("common") >= least)
     cut = cut.select("doc_id", "tie", "run", "common", F.explode(F.filter(known, held)).alias("t"))
-    grams_of = F.array_intersect("common", "t.known").alias("grams")
-    cut = cut.select("doc_id", "tie", "run", "t.family", grams_of)
-    cut = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(cut)
+    tokens = F.concat(F.array_intersect("common", "t.known"), F.array(size_class(F.lit(0)))).alias("tokens")
+    cut = vectors(vocabulary).transform(cut.select("doc_id", "tie", "run", "t.family", tokens))
     listed = F.array(*[F.lit(n) for n in classes()])
     p = F.get(vector_to_array("probability"), (F.array_position(listed, F.col("family")) - 1).cast("int"))
     return model.transform(cut).groupBy("doc_id", "tie", "run", "family").agg(F.max(p).alias("p")).select(
@@ -245,7 +321,7 @@ def wrapped(docs: DataFrame, model: LogisticRegressionModel) -> DataFrame:
     )
 
 
-def license_scan(docs: DataFrame, train_paragraphs: int = TRAIN_PARAGRAPHS) -> DataFrame:
+def license_scan(docs: DataFrame, other_weight: int = OTHER_WEIGHT) -> DataFrame:
     """(doc_id, licenses, n_licensed, n_unknown, best) of ``docs`` (doc_id, text).
 
     licenses: families that are confirmed, joined by commas; n_licensed and n_unknown: paragraphs of a confirmed
@@ -254,27 +330,34 @@ def license_scan(docs: DataFrame, train_paragraphs: int = TRAIN_PARAGRAPHS) -> D
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    model, limit = train(docs, train_paragraphs)
+    vocabulary, by_template = vocabulary_of(spark), _templates(spark)
+    found = read(docs, vocabulary, cues(by_template))
+    lines = found.select("doc_id", "tie", "run", F.explode(F.col("found.lines")).alias("line"))
+    lines = lines.select("doc_id", "tie", "run", "line.tokens", "line.plain")
+    counted = stored(lines.groupBy("tokens").agg(F.count_if("plain").alias("n")), "described")
+    model, limit = train(counted, vocabulary, other_weight)
     names = classes()
     # one row per family: a fixed number
     rows = [(name, s) for name, statements in TEMPLATES.items() for s in statements]
     known = spark.createDataFrame(rows, "family string, paragraph string")
     known = known.groupBy("family").agg(F.collect_list(grams(F.col("paragraph"))).alias("templates"))
 
-    scored = model.transform(described(paragraphs(docs))).where(vector_to_array("probability")[0] < limit)
-    scored = scored.select("doc_id", "tie", "run", "grams", vector_to_array("probability").alias("p"))
+    scored = model.transform(vectors(vocabulary).transform(counted)).where(vector_to_array("probability")[0] < limit)
+    scored = scored.select("tokens", vector_to_array("probability").alias("p"))
     family = F.slice("p", 3, len(names) - 2)
     best = F.array_max(family)
     listed = F.array(*[F.lit(n) for n in names[2:]])
     guess = let(best, lambda b: F.struct(listed[(F.array_position(family, b) - 1).cast("int")].alias("family"), b.alias("p")))
-    scored = scored.select("doc_id", "tie", "run", "grams", guess.alias("guess"))
+    scored = scored.select("tokens", guess.alias("guess"))
     scored = scored.join(F.broadcast(known), F.col("guess.family") == F.col("family"))
     share = F.transform(
-        "templates", lambda t: F.size(F.array_intersect("grams", t)) / F.size(F.array_distinct(t))
+        "templates", lambda t: F.size(F.array_intersect("tokens", t)) / F.size(F.array_distinct(t))
     )
     confirmed = F.coalesce(F.array_max(share), F.lit(0.0)) >= CONTAINED
-    scored = scored.select("doc_id", "tie", "run", F.when(confirmed, F.col("guess")).alias("hit"), F.lit(False).alias("joined"))
-    scored = scored.unionByName(wrapped(docs, model).withColumn("joined", F.lit(True)))
+    hits = stored(scored.select("tokens", F.when(confirmed, F.col("guess")).alias("hit")), "hits")
+    scored = lines.join(broadcast_checked(hits), "tokens")
+    scored = scored.select("doc_id", "tie", "run", "hit", F.lit(False).alias("joined"))
+    scored = scored.unionByName(wrapped(found, by_template, model, vocabulary).withColumn("joined", F.lit(True)))
     line, single = ~F.col("joined"), F.col("hit.family").isNotNull() & ~F.col("joined")
     # rows per run first: a run of a family leaves no unknown lines
     by_run = scored.groupBy("doc_id", "tie", "run").agg(
