@@ -205,7 +205,8 @@ def train(
         sample.mapInPandas(count, "lang int, size int, gram long, n long")
         .groupBy("lang", "size", "gram")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .toArrow()  # whatever the session's settings: a Python object per row takes ten times the memory
+        .to_pandas()
     )
     return ContextTrees(languages, order, counts)
 

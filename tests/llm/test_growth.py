@@ -2,11 +2,13 @@
 
 import base64
 import random
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, links, ngram_join
+from lodestone.llm import bpe, language_id, links, ngram_join
 
 
 def ranks():
@@ -61,3 +63,25 @@ def test_bytes_without_a_rank_still_merge():
     codec = bpe.Codec({b"a": 0, b"bc": 1, b"abc": 2}, r"\w+")
     assert codec.encode_all(["abc", "bc", "b", "ab"]) == [b"\2\0\0\0", b"\1\0\0\0", b"", b"\0\0\0\0"]
     assert codec.decode(b"\2\0\0\0\0\0\0\0") == b"abca"
+
+
+def test_counts_reach_the_driver_without_an_object_per_row(spark, monkeypatch):
+    letters = np.random.default_rng(3).integers(97, 123, 60_000, dtype=np.uint8).tobytes().decode()
+    docs = spark.createDataFrame([(1, letters, "aa")], "doc_id long, text string, lang string")
+    seen = {}
+
+    def trees(languages, order, counts):
+        seen.update(rows=len(counts), total=int(counts["n"].sum()), peak=tracemalloc.get_traced_memory()[1])
+
+    monkeypatch.setattr(language_id, "ContextTrees", trees)
+    arrow = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(arrow)
+    spark.conf.set(arrow, "false")  # Spark's own setting
+    tracemalloc.start()
+    try:
+        language_id.train(docs)
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(arrow, before)
+    assert seen["rows"] > 100_000 and seen["total"] == 5 * 60_000 - 10
+    assert seen["peak"] < 20 << 20
