@@ -26,8 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let, packed, stored
-from lodestone.llm.links import alike, compared, first_common, linked_components, only
+from lodestone.llm.common import broadcast_checked, let, packed, stored
+from lodestone.llm.links import BROADCAST_IDS, alike, compared, ends, first_common, linked_components, only
 from lodestone.llm.ngram_join import class_counts, mixed, parities, rarest
 
 SHINGLE = 8
@@ -36,6 +36,14 @@ BANDS = 12
 ROWS = 5
 #: Lines a task remembers so as not to sign them twice.
 REMEMBERED = 500_000
+#: Rows of bands that a task packs at a time, and bytes of lines to a part of the bands.
+PACKED = 1 << 19
+PART = 4 << 20
+PACKED_ROW = "part int, proven boolean, rows binary"
+#: Rows of a bucket of rare shingles that are compared pair by pair in its part.
+SMALL = 32
+#: Bytes of places of removed lines that may be broadcast.
+REMOVED_BYTES = 32 << 20
 #: Characters signed at a time.
 STEP = 1 << 16
 #: Hash classes in which shingles of lines that share a band are counted, to know the rare ones.
@@ -115,8 +123,8 @@ def _groups(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
         yield np.array(nodes, np.int64), lines
 
 
-def line_components(lines: DataFrame, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, root) of the ``lines`` (node, line) that are near copies of others with another text."""
+def line_components(lines: DataFrame, size: float, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, root) of the ``lines`` (node, line) that are near copies of others with another text; ``size``: their bytes, roughly."""
 
     def sign(batches):
         seen: set[int] = set()
@@ -128,19 +136,23 @@ def line_components(lines: DataFrame, percent: int, bands: int = BANDS, rows: in
             seen.update(batch.node)
             for nodes, texts in _groups(batch):
                 keys = band_keys(signatures(texts, bands * rows), bands, rows)
-                yield pd.DataFrame({"bucket": keys.reshape(-1), "node": np.repeat(nodes, bands)})
+                yield keys.reshape(-1), np.repeat(nodes, bands)
 
-    members = stored(lines.select("node", "line").mapInPandas(sign, "bucket long, node long"), "bands")
+    members = in_shared_bands(lines.select("node", "line"), sign, parts_of(size, PART))
 
     texts = lines.select("node", F.col("line").alias("text"))
 
     facts = None
 
     def verify(pairs: DataFrame) -> DataFrame:
-        kept = pairs if facts is None else alike(pairs, facts, percent)
-        return compared(texts, stored(kept, "pairs"), line_set, percent)
-
-    def by_rare_shingles(nodes: DataFrame) -> DataFrame:
+        nonlocal texts
+        kept = stored(pairs if facts is None else alike(pairs, facts, percent), "pairs")
+        own = only(texts, ends(kept))
+        if facts is None:  # every line of a shared band is in a pair with one of its centres
+            texts = own
+        return compared(own, kept, line_set, percent)
+
+    def by_rare_shingles(nodes: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
         nonlocal texts, facts
         texts = only(texts, nodes)
         frequency = lines.sparkSession.sparkContext.broadcast(class_counts(texts, line_set, CLASSES))
@@ -160,9 +172,141 @@ def line_components(lines: DataFrame, percent: int, bands: int = BANDS, rows: in
         described = texts.mapInPandas(describe, "node long, n long, sketch array<long>, prefix array<long>")
         described = stored(described, "rare")
         facts = described.select("node", "n", "sketch")
-        return described.select("node", "n", F.posexplode("prefix").alias("at", "bucket"))
+        labelled = described.join(broadcast_checked(known, BROADCAST_IDS // 2), "node", "left").select(
+            "node", F.coalesce("root", "node").alias("label"), "n", "prefix"
+        )
+        rows = described.select(F.sum(F.size("prefix").cast("double"))).first()[0] or 0.0
+        return rare_pairs(labelled, parts_of(rows, PACKED // 4), percent)
+
+    return linked_components(members, verify, pair=first_common(percent), finer=by_rare_shingles, all_shared=True)
+
+
+def parts_of(size: float, each: int) -> int:
+    return int(min(max(64, size // each), 1 << 20))
+
+
+def in_shared_bands(lines: DataFrame, sign, parts: int) -> DataFrame:
+    """(bucket, node) of the buckets of ``lines`` that several nodes share. Rows come twice at most where lines do.
+
+    ``sign`` turns batches of ``lines`` into arrays of buckets and nodes. They are dealt by bucket in packed form, a row
+    for each part of the buckets with the bytes of many: most bands are of one line, and go no further.
+    """
+
+    def unpack(part: pd.DataFrame) -> pd.DataFrame:
+        asked, proven = unpacked(part, 2)
+        bucket, node = asked
+        several = in_runs(bucket) > 1
+        return pd.DataFrame({
+            "bucket": np.concatenate([bucket[several], proven[0]]),
+            "node": np.concatenate([node[several], proven[1]]),
+        })
+
+    dealt = lines.mapInPandas(lambda batches: packed_parts(sign(batches), parts, 2), PACKED_ROW)
+    return stored(dealt.groupBy("part").applyInPandas(unpack, "bucket long, node long"), "members")
+
+
+def rare_pairs(labelled: DataFrame, parts: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of ``labelled`` (node, label, n, prefix) that meet in a bucket of the prefixes, and crowded buckets.
+
+    Buckets of up to SMALL rows give their pairs of different label that meet ``first_common``; the others come as
+    rows (bucket, node, n, at).
+    """
+
+    def explode(batches):
+        for batch in batches:
+            sizes = batch.prefix.map(len).to_numpy(np.int64)
+            if sizes.sum():
+                starts = np.cumsum(sizes) - sizes
+                own = [np.repeat(batch[c].to_numpy(np.int64), sizes) for c in ("node", "label", "n")]
+                yield np.concatenate(batch.prefix.to_list()), *own, np.arange(sizes.sum()) - np.repeat(starts, sizes)
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        asked, proven = unpacked(part, 5)
+        rows = in_runs(asked[0])
+        bucket, node, label, n, at = (x[rows <= SMALL] for x in asked)
+        found = [np.zeros((0, 2), np.int64)]
+        for far in range(1, min(SMALL, len(bucket))):
+            x, y = slice(None, -far), slice(far, None)
+            both = n[x] + n[y]
+            least = -(-percent * both // (100 + percent))
+            near = (bucket[x] == bucket[y]) & (label[x] != label[y]) & (np.minimum(n[x], n[y]) >= least)
+            near &= np.minimum(n[x] - at[x], n[y] - at[y]) >= least
+            found.append(np.sort(np.stack([node[x][near], node[y][near]], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        crowd = [np.concatenate([x[rows > SMALL], more]) for x, more in zip(asked, proven)]
+        none = np.zeros(len(pairs), np.int64)
+        return pd.DataFrame({
+            "bucket": np.concatenate([none, crowd[0]]),
+            "a": np.concatenate([pairs[:, 0], crowd[1]]),
+            "n": np.concatenate([none, crowd[3]]),
+            "at": np.concatenate([none, crowd[4]]).astype(np.int32),
+            "b": pd.Series(np.concatenate([pairs[:, 1], crowd[1]])),
+        })
+
+    dealt = labelled.mapInPandas(lambda batches: packed_parts(explode(batches), parts, SMALL + 1), PACKED_ROW)
+    met = stored(dealt.groupBy("part").applyInPandas(meet, "bucket long, a long, n long, at int, b long"), "rare")
+    crowded = met.where("a = b").select("bucket", F.col("a").alias("node"), "n", "at")
+    return met.where("a <> b").select("a", "b").distinct(), crowded
+
+
+def in_runs(bucket: np.ndarray) -> np.ndarray:
+    """For each of the sorted values, how many there are of it."""
+    _, row, many = np.unique(bucket, return_inverse=True, return_counts=True)
+    return many[row]
+
+
+def without_repeats(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of ``columns``, of which the first two are bucket and node, sorted by these, each of them once."""
+    order = np.lexsort((columns[1], columns[0]))
+    columns = [x[order] for x in columns]
+    bucket, node = columns[:2]
+    new = np.ones(len(bucket), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
+    return [x[new] for x in columns]
+
+
+def packed_parts(found, parts: int, enough: int) -> Iterator[pd.DataFrame]:
+    """Rows of ``found``, tuples of arrays of which the first two are bucket and node, packed by part of the bucket.
+
+    Of a bucket's rows, ``enough`` of each PACKED go to its part, so that this sees whether there are as many; the
+    others are marked as proven and go to any part. So none gets a whole large bucket.
+    """
 
-    return linked_components(members, verify, pair=first_common(percent), finer=by_rare_shingles)
+    def pack(waiting):
+        columns = without_repeats([np.concatenate(x) for x in zip(*waiting)])
+        bucket, node = columns[:2]
+        first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+        start = np.maximum.accumulate(np.where(first, np.arange(len(bucket)), 0))
+        surplus = np.arange(len(bucket)) - start >= enough
+        for proven in (False, True):
+            own = [x[surplus == proven] for x in columns]
+            if not len(own[0]):
+                continue
+            part = (own[1 if proven else 0].view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, own = part[order], np.stack([x[order] for x in own])
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            rows = [own[:, a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+            yield pd.DataFrame({"part": part[cuts[:-1]], "proven": proven, "rows": rows})
+
+    waiting, count = [], 0
+    for rows in found:
+        waiting.append(rows)
+        count += len(rows[0])
+        if count > PACKED:
+            yield from pack(waiting)
+            waiting, count = [], 0
+    if count:
+        yield from pack(waiting)
+
+
+def unpacked(part: pd.DataFrame, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The columns of a part's packed rows, sorted without repeats, and those of the proven ones."""
+    out = []
+    for proven in (False, True):
+        rows = [np.frombuffer(x, np.int64).reshape(width, -1) for x in part.rows[part.proven == proven]]
+        out.append(list(np.concatenate([np.zeros((width, 0), np.int64), *rows], axis=1)))
+    return without_repeats(out[0]), out[1]
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -173,10 +317,13 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, row
     order = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     docs, more = packed(docs, ["doc_id", "text"], ["n_lines", "n_removed"])
     tie = F.xxhash64("text")
-    lined = docs.select("doc_id", tie.alias("tie"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lined = lined.withColumn("line", normal(F.col("line"))).where(F.col("line") != "")
+    # as one array, and the outer form: else filters make the optimizer split and normalize again
+    lined = docs.select("doc_id", tie.alias("tie"), F.transform(F.split("text", "\n"), normal).alias("lines"))
+    lined = lined.select("doc_id", "tie", F.posexplode_outer("lines").alias("at", "line")).where(F.col("line") != "")
     lined = lined.withColumn("node", F.xxhash64("line"))
-    roots = line_components(lined.where(F.length("line") >= SHINGLE), percent, bands, rows).select("node", "root")
+    size = docs.select(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
+    roots = line_components(lined.where(F.length("line") >= SHINGLE), size, percent, bands, rows).select("node", "root")
+    roots = broadcast_checked(roots, BROADCAST_IDS // 2)
     placed = lined.select("doc_id", "tie", "at", "node").join(roots, "node", "left")
     placed = placed.select("doc_id", "tie", "at", F.coalesce("root", "node").alias("class"))
     placed = stored(placed, "lines")
@@ -186,7 +333,9 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, row
     removed = placed.join(first.select("class", "first"), "class").where(place != F.col("first"))
     # rows that occur twice give a place twice
     removed = removed.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("at")).alias("_removed"))
-    removed = removed.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_removed")
+    removed = stored(removed.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_removed"), "removed")
+    if (removed.select(F.sum(F.size("_removed").cast("double") * 4 + 64)).first()[0] or 0.0) <= REMOVED_BYTES:
+        removed = F.broadcast(removed)
     joined = docs.withColumn("_t", tie).join(
         removed, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("_t")), "left"
     )

@@ -10,7 +10,8 @@ nodes outside the bucket's most frequent component with all others. Every pair t
 compared or known to lie in one component, so the components are those of all links.
 
 Buckets that say little of similarity can hold many nodes that do not link. The later steps may then deal the nodes
-of mixed buckets into finer buckets, of which any two that link share one.
+of mixed buckets into finer buckets, of which any two that link share one. Finer buckets of a few rows give their pairs
+at once; only the crowded ones take the later steps.
 """
 
 from __future__ import annotations
@@ -86,14 +87,18 @@ def only(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(texts.join(broadcast_checked(wanted, BROADCAST_IDS), "node", "left_semi").distinct(), "texts")
 
 
-def compared(texts: DataFrame, pairs: DataFrame, grams, percent: int) -> DataFrame:
+def ends(pairs: DataFrame) -> DataFrame:
+    """The nodes (node) of the ``pairs`` (a, b), with repeats."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def compared(own: DataFrame, pairs: DataFrame, grams, percent: int) -> DataFrame:
     """Those of the ``pairs`` (a, b) whose sets are similar: percent hundredths of their union is common to both.
 
-    ``texts`` (node, text) are joined to the pairs, and ``grams`` makes a text's sorted set of hashes in the task:
-    texts are a fraction of the size of their sets. The sets last made are remembered up to a
+    The texts ``own`` (node, text) are joined to the pairs, and ``grams`` makes a text's sorted set of hashes in the
+    task: texts are a fraction of the size of their sets. The sets last made are remembered up to a
     bounded size, as a text may be in many pairs.
     """
-    own = only(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
 
     def check(batches):
         last: dict[int, tuple[str, np.ndarray]] = {}
@@ -143,18 +148,23 @@ def linked_components(
     facts: list[str] | None = None,
     star: str = "true",
     pair: str = "true",
-    finer: Callable[[DataFrame], DataFrame] | None = None,
+    finer: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+    all_shared: bool = False,
 ) -> DataFrame:
     """(node, root) of the nodes that link to any other. ``verify`` keeps those of the pairs (a, b) that link.
 
     ``facts`` are further columns of the members. ``star`` and ``pair`` are conditions on them, with the suffixes _x
     and _y, that any linked pair meets: ``star`` in each bucket that it shares, ``pair`` in one of them at least.
+    ``finer`` gets the nodes of mixed buckets and the components known so far, and returns the pairs (a, b) of small
+    finer buckets that may link, and the members of the others. ``all_shared``: members are stored already, and each
+    of their buckets has several nodes.
     """
     facts = facts or []
-    shared = members.groupBy("bucket").agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
-    shared = stored(shared.where("_low <> _high").select("bucket"), "shared")
-    members = members.join(broadcast_checked(shared, BROADCAST_IDS), "bucket")
-    members = stored(members.select("bucket", "node", *facts), "members")
+    if not all_shared:
+        shared = members.groupBy("bucket").agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
+        shared = stored(shared.where("_low <> _high").select("bucket"), "shared")
+        members = members.join(broadcast_checked(shared, BROADCAST_IDS), "bucket")
+        members = stored(members.select("bucket", "node", *facts), "members")
 
     def sided(df: DataFrame, side: str) -> DataFrame:
         return df.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "bucket"])
@@ -175,7 +185,12 @@ def linked_components(
 
     labelled = of_mixed(members, known)
     if finer:
-        labelled = of_mixed(finer(labelled.select("node")), known)
+        pairs, members = finer(labelled.select("node"), known)
+        found = stored(verify(pairs).select("a", "b"), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            known = components(links)
+        labelled = of_mixed(members, known)
 
     def with_most(labelled: DataFrame) -> DataFrame:
         """``labelled`` with the label that most rows of the bucket have, and their number."""

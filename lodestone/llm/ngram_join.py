@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
-from lodestone.llm.links import alike, compared, first_common, linked_components, shortest_overlap
+from lodestone.llm.links import alike, compared, ends, first_common, linked_components, only, shortest_overlap
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -192,7 +192,7 @@ def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY)
     def verify(pairs: DataFrame) -> DataFrame:
         kept = stored(alike(pairs, facts, percent), "pairs")
         texts = docs.select(F.col("doc_id").alias("node"), "text")
-        return compared(texts, kept, lambda text: shingle_set(text, n), percent)
+        return compared(only(texts, ends(kept)), kept, lambda text: shingle_set(text, n), percent)
 
     most_before = "least(at_x, at_y) + 1 + least(n_x - at_x, n_y - at_y) - 1"
     least = shortest_overlap(percent, "n_x", "n_y")
